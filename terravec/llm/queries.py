@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from terravec.llm.line_dedup import OP1_SQL, op1_line_dedup
+from terravec.llm.quality import OP6_SQL, op6_quality
+from terravec.llm.simhash import op7_simhash
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op6_quality": op6_quality,
+    "op7_simhash": op7_simhash,
 }
 
 ORACLES = {
     "op1_line_dedup": OP1_SQL,
+    "op6_quality": OP6_SQL,
 }

@@ -118,14 +118,14 @@ _WITHIN = " AND ".join(f"coalesce({m}, 0) <= coalesce(greatest({floor}, {_limit(
 #: Exact quantiles in place of sketches; the two agree while a language has fewer rows than a sketch keeps.
 OP6_SQL = f"""
 WITH w AS (
-  SELECT doc_id, lang, source, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS ws,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls
+  SELECT doc_id, lang, source, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls
   FROM documents),
 t AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM t),
 p AS (SELECT doc_id, count(DISTINCT i + d) AS n_repeat_words FROM r, (VALUES (0), (1), (2)) AS o(d) WHERE n > 1 GROUP BY doc_id),
 c AS (
-  SELECT w.doc_id, lang, source, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, x -> length(x))), 0) AS BIGINT) AS word_chars,
+  SELECT w.doc_id, lang, source, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
          coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM w LEFT JOIN p USING (doc_id)),

@@ -5,9 +5,11 @@ from __future__ import annotations
 from terravec.llm.line_dedup import OP1_SQL, op1_line_dedup
 from terravec.llm.quality import OP6_SQL, op6_quality
 from terravec.llm.simhash import op7_simhash
+from terravec.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_toxicity": op2_toxicity,
     "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
 }

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terravec.llm.common import table
 
@@ -224,7 +225,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield batch.append_column("score", pa.array(np.concatenate(out)))
 
     own = docs.drop("score")
-    return own.mapInArrow(run, own.schema.add("score", "double"))
+    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from terravec.llm.langid import op3_langid
 from terravec.llm.line_dedup import OP1_SQL, op1_line_dedup
+from terravec.llm.packing import op4_packing
 from terravec.llm.quality import OP6_SQL, op6_quality
 from terravec.llm.simhash import op7_simhash
 from terravec.llm.toxicity import op2_toxicity
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_langid": op3_langid,
+    "op4_packing": op4_packing,
     "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
 }

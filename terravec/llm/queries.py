@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from terravec.llm.html_text import op9_html
 from terravec.llm.langid import op3_langid
 from terravec.llm.line_dedup import OP1_SQL, op1_line_dedup
 from terravec.llm.packing import op4_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
+    "op9_html": op9_html,
 }
 
 ORACLES = {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from terravec.llm.chat import op8_chat
 from terravec.llm.embed_dedup import OP5_SQL, op5_embedding_dedup
 from terravec.llm.html_text import op9_html
 from terravec.llm.langid import op3_langid
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
+    "op8_chat": op8_chat,
     "op9_html": op9_html,
     "op10_sentencepiece": op10_sentencepiece,
 }

@@ -206,8 +206,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return texts, np.array(ys, dtype=np.int64)
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with score (double) in place of a column of that name; a null, empty or letterless text has the score of no words."""
+def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """docs with score_col (double) in place of a column of that name; a null, empty or letterless text has the score of no words."""
     shared = docs.sparkSession.sparkContext.broadcast((model.per_gram, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,10 +222,10 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                     b += 1
                 out.append(m.scores(texts[a:b]))
                 a = b
-            yield batch.append_column("score", pa.array(np.concatenate(out)))
+            yield batch.append_column(score_col, pa.array(np.concatenate(out)))
 
-    own = docs.drop("score")
-    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("score", T.DoubleType())]))
+    own = docs.drop(score_col)
+    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -62,8 +62,9 @@ class Model:
     move: np.ndarray  # [from, to], when a new message begins
     emit: list[np.ndarray]  # for each feature: [role, value]
 
-    def emissions(self, shown: np.ndarray) -> np.ndarray:
-        return sum(e[:, shown[:, k]].T for k, e in enumerate(self.emit))
+    def emissions(self, shown: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """Only units that begin a message tell who speaks."""
+        return sum(e[:, shown[:, k]].T for k, e in enumerate(self.emit)) * np.asarray(new)[:, None]
 
     def step(self, new: bool) -> np.ndarray:
         """What is added from one unit to the next; a line that begins no message stays with its speaker."""
@@ -94,7 +95,7 @@ def fit(conversations: list[list[tuple[str, str | None]]]) -> Model:
 def viterbi(m: Model, shown: np.ndarray, new: np.ndarray, before: int | None, first: bool, after: int | None) -> np.ndarray:
     """The best roles of consecutive units. before: the role of the unit before these (None and first: there is none); after:
     the role the last one must have, if known. Ties go to the role that sorts first."""
-    e = m.emissions(shown)
+    e = m.emissions(shown, new)
     n, k = e.shape
     score = e[0] + (m.start if before is None and first else np.zeros(k) if before is None else m.step(bool(new[0]))[before])
     back = np.zeros((n, k), dtype=np.int8)
@@ -111,7 +112,7 @@ def viterbi(m: Model, shown: np.ndarray, new: np.ndarray, before: int | None, fi
 
 def transfer(m: Model, shown: np.ndarray, new: np.ndarray, first: bool) -> np.ndarray:
     """The max-plus matrix of a run of units: from the role before it (all rows alike if it is the first) to its last role."""
-    e = m.emissions(shown)
+    e = m.emissions(shown, new)
     total = (np.repeat(m.start[None], len(m.roles), axis=0) if first else m.step(bool(new[0]))) + e[0]
     for i in range(1, len(e)):
         total = (total[:, :, None] + m.step(bool(new[i]))[None]).max(axis=1) + e[i]

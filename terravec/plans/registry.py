@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from terravec.plans import base, q_functions, q_points  # noqa: F401  (the modules register their queries)
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return base.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return base.ORACLES

@@ -31,7 +31,7 @@ SPACE_MARK = "▁"
 #: Characters of a chunk of a long document.
 CHUNK = 1 << 15
 #: Entries of each of the two generations of a worker's caches.
-CACHE = 400_000
+CACHE = 150_000
 _UNITS = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+")
 
 
@@ -185,7 +185,7 @@ class Encoder:
     def __init__(self, v: Vocabulary):
         self.v = v
         self.unit = _Cache(self.encode_unit)
-        self.spaced = _Cache(lambda w: self.unit[SPACE_MARK + w])
+        self.spaced = _Cache(lambda w: self.encode_unit(SPACE_MARK + w))
         self.newline = self.encode_unit("\n")
 
     def encode_unit(self, unit: str) -> bytes:
@@ -422,27 +422,21 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
-    """Adds text to rows with ids; no ids or null: the empty text."""
+    """Adds text, and ids_crc32 (of the ids as little-endian unsigned 32 bits), to rows with ids; no ids or null: the empty text."""
     path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(path)
+        none = np.zeros(0, dtype="<u4")
         for b in batches:
-            lists = b.column(ids_col)
-            yield b.append_column("text", pa.array([decode_ids(v, x.values.to_numpy()) if x.is_valid else "" for x in lists], pa.string()))
+            ids = [x.values.to_numpy().astype("<u4") if x.is_valid else none for x in b.column(ids_col)]
+            yield b.append_column("text", pa.array([decode_ids(v, x) for x in ids], pa.string())).append_column("ids_crc32", pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()))
 
-    own = encoded.drop("text")
-    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("text", T.StringType())]))
+    own = encoded.drop("text", "ids_crc32")
+    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("text", T.StringType()), T.StructField("ids_crc32", T.LongType())]))
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: n_ids, the CRC-32 of its ids (little-endian unsigned 32 bits), and the SHA-256 of the text decoded from them."""
+    """Per document: n_ids, the CRC-32 of its ids, and the SHA-256 of the text decoded from them."""
     coded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            crc = [zlib.crc32(x.values.to_numpy().astype("<u4").tobytes()) for x in b.column("ids")]
-            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("ids").value_lengths().cast(pa.int64()), pa.array(crc, pa.int64()), b.column("text")], names=["doc_id", "n_ids", "ids_crc32", "text"])
-
-    out = coded.mapInArrow(digest, "doc_id bigint, n_ids bigint, ids_crc32 bigint, text string")
-    return out.select("doc_id", "n_ids", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+    return coded.select(F.col("doc").alias("doc_id"), F.size("ids").cast("bigint").alias("n_ids"), "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))

@@ -9,6 +9,7 @@ length. Each piece then finds its place from its rank among the pieces of its le
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -77,6 +78,12 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One for each Python worker, which outlives its tasks."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(doc, piece, start, length, ids_crc32 [, ids]) of each row; a null text is empty and gives the separator alone."""
     schema = T.StructType([T.StructField("doc", docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
@@ -85,7 +92,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     end = np.array([SEPARATOR], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(path)
+        ids_of = word_ids(path)
         for batch in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(batch.column("_text")):

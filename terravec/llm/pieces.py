@@ -14,6 +14,7 @@ each chunk is traced back by itself.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,8 +31,8 @@ from terravec.llm.common import cut, partitions, table
 SPACE_MARK = "▁"
 #: Characters of a chunk of a long document.
 CHUNK = 1 << 15
-#: Entries of each of the two generations of a worker's caches.
-CACHE = 150_000
+#: Entries of each of the two generations of a worker's cache of words, and of other units.
+CACHE, OTHER_CACHE = 250_000, 60_000
 _UNITS = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+")
 
 
@@ -42,15 +43,15 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 
 
 class _Cache(dict):
-    def __init__(self, make):
+    def __init__(self, make, size: int = CACHE):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.size, self.old = make, size, {}
 
     def __missing__(self, key):
         got = self.old.get(key)
         if got is None:
             got = self.make(key)
-        if len(self) >= CACHE:
+        if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         if len(key) <= 64:
@@ -110,6 +111,17 @@ class Vocabulary:
         return [i] if i is not None else [self.byte[b] for b in piece.encode("utf-8", "replace")]
 
 
+@functools.cache
+def vocabulary(path: str) -> Vocabulary:
+    """One for each Python worker, which outlives its tasks."""
+    return Vocabulary(path)
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    return Encoder(vocabulary(path))
+
+
 #: A state at a cut: the piece that covers the character before it, and how many characters it reaches beyond.
 State = tuple[str, int]
 FREE: State = ("", 0)
@@ -184,7 +196,7 @@ class Encoder:
 
     def __init__(self, v: Vocabulary):
         self.v = v
-        self.unit = _Cache(self.encode_unit)
+        self.unit = _Cache(self.encode_unit, OTHER_CACHE)
         self.spaced = _Cache(lambda w: self.encode_unit(SPACE_MARK + w))
         self.newline = self.encode_unit("\n")
 
@@ -212,7 +224,7 @@ class Encoder:
                         last[to] = piece
                 if piece not in prefixes:
                     break
-        if v.pairs > 4 * CACHE:
+        if v.pairs > 2 * CACHE:
             v.rows, v.pairs = {}, 0
         out, raw = [], v.bytes
         while n:
@@ -373,12 +385,12 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     long_text = F.char_length("_t") > chunk
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(Vocabulary(path))
+        enc = encoder(path)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc"), _lists([enc.text(t.as_py()) for t in b.column("_t")])], names=["doc", "ids"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        margin = Vocabulary(path).longest
+        margin = vocabulary(path).longest
         for b in batches:
             for i in range(b.num_rows):
                 parts = _chunks(b.column("_t")[i].as_py(), chunk, margin)
@@ -389,7 +401,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
                     yield pa.RecordBatch.from_arrays([owner.column(0).take(at), owner.column(1).take(at), pa.array(range(k, k + len(some)), pa.int32()), *(pa.array(c, pa.string()) for c in zip(*some, strict=True))], names=["uid", "doc", "k", "core", "left", "right"])
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(path)
+        v = vocabulary(path)
         for b in batches:
             out = [_pack(list(matrix(v, *x).items())) for x in zip(*(b.column(c).to_pylist() for c in ("core", "left", "right")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("k"), pa.array(out)], names=["uid", "k", "m"])
@@ -401,7 +413,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([g.column("uid"), g.column("k"), pa.array([_pack([states[i], states[i + 1] if i + 1 < len(ms) else None]) for i in range(len(ms))])], names=["uid", "k", "states"])
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(Vocabulary(path))
+        enc = encoder(path)
         for b in batches:
             ids = []
             for core, right, states in zip(*(b.column(c).to_pylist() for c in ("core", "right", "states")), strict=True):
@@ -426,7 +438,7 @@ def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") ->
     path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(path)
+        v = vocabulary(path)
         none = np.zeros(0, dtype="<u4")
         for b in batches:
             ids = [x.values.to_numpy().astype("<u4") if x.is_valid else none for x in b.column(ids_col)]

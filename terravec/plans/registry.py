@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terravec.plans import base, q_functions, q_joins, q_points, q_sae  # noqa: F401  (the modules register their queries)
+from terravec.plans import base, q_functions, q_joins, q_points, q_sae, q_splice  # noqa: F401  (the modules register their queries)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    """The first concepts of each label: read, normalise, centre, decompose, aggregate, rank."""
+    return base.QUERIES["W4_top_concepts"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

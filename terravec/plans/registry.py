@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terravec.plans import base, q_functions, q_joins, q_points, q_sae, q_splice  # noqa: F401  (the modules register their queries)
+from terravec.plans import base, q_functions, q_io, q_joins, q_points, q_saliency, q_sae, q_splice  # noqa: F401  (the modules register their queries)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

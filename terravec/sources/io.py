@@ -109,5 +109,29 @@ def write_scores(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
+def one_file(spark: SparkSession, folder: str, path: str) -> None:
+    """Moves the one part file of a folder to a path, and the folder away."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    src, dst = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(path)
+    fs = src.getFileSystem(conf)
+    parts = [f.getPath() for f in fs.listStatus(src) if f.getPath().getName().startswith("part-")]
+    if len(parts) != 1:
+        raise ValueError(f"{len(parts)} part files in {folder}")
+    fs.mkdirs(dst.getParent())
+    fs.delete(dst, False)
+    fs.rename(parts[0], dst)
+    fs.delete(src, True)
+
+
 def write_report(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """A report of one row as one JSON file."""
+    df.coalesce(1).write.mode("overwrite").json(f"{path}.parts")
+    one_file(df.sparkSession, f"{path}.parts", path)
+
+
+def write_places(df: DataFrame, root: str, places: list[str]) -> None:
+    """root/<place>/index.csv (id, lon, lat) of each of a short list of places."""
+    for place in places:
+        folder = f"{root}/{place}/parts"
+        df.filter(F.col("place") == place).select("id", "lon", "lat").coalesce(1).write.mode("overwrite").csv(folder, header=True)
+        one_file(df.sparkSession, folder, f"{root}/{place}/index.csv")

@@ -157,18 +157,19 @@ def links(reps: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes:
                     earlier = np.zeros(len(i), dtype=bool)  # met in a table before this one
                     for s in range(t):
                         earlier |= (cells[i, s, :1] == cells[j, s]).any(axis=1) | (cells[j, s, :1] == cells[i, s]).any(axis=1)
+                    # two that visit each other's home meet twice in this table, and count in the cell of the smaller number
+                    here, there = np.where(home[i], cells[i, t, 0], cells[j, t, 0]), np.where(home[i], cells[j, t, 0], cells[i, t, 0])
+                    back = np.where(home[i], (cells[i, t, 1:] == there[:, None]).any(axis=1), (cells[j, t, 1:] == there[:, None]).any(axis=1))
+                    earlier |= ~(home[i] & home[j]) & back & (there < here)
                     i, j = i[~earlier], j[~earlier]
                     np.add.at(new, i, copies[j])
                     np.add.at(new, j, copies[i])
 
-            def once(i: np.ndarray, j: np.ndarray) -> None:
-                near(i, j, False)
-
             if g.column("tile_i")[0] == g.column("tile_j")[0]:
                 near(every, every, True)
             else:
                 first = tile == g.column("tile_i")[0].as_py()
-                once(every[first], every[~first])
+                near(every[first], every[~first], False)
             child, root = forest.edges()
             some = np.flatnonzero(new)
             if len(child) or len(some):

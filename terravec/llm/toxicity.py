@@ -57,10 +57,9 @@ def grams(texts: list[str], window_words: int = WINDOW_WORDS) -> Grams:
     n = len(data)
     starts = letter.copy()
     starts[1:] &= ~letter[:-1]
-    word_at = np.cumsum(starts) - 1  # of a letter, its word; of a break, the word before it
-    text_of_byte = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
+    word_at = np.cumsum(starts, dtype=np.int32) - np.int32(1)  # of a letter, its word; of a break, the word before it
     first = np.flatnonzero(starts)
-    text_of_word = text_of_byte[first]
+    text_of_word = np.searchsorted(np.cumsum([len(r) for r in raw]), first, side="right")
     words_before = np.searchsorted(text_of_word, np.arange(len(raw)))
     rank = np.arange(len(first)) - words_before[text_of_word]
     begins = (rank % window_words) == 0
@@ -79,11 +78,10 @@ def grams(texts: list[str], window_words: int = WINDOW_WORDS) -> Grams:
             if size in SIZES:
                 at = np.flatnonzero(inner)
                 mixed = (value[at] ^ (value[at] >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-                buckets.append((mixed ^ (mixed >> np.uint32(13))) % np.uint32(BUCKETS))
+                buckets.append(((mixed ^ (mixed >> np.uint32(13))) % np.uint32(BUCKETS)).astype(np.int32))
                 owners.append(word_at[at + 1])
-    bucket = np.concatenate(buckets) if buckets else np.zeros(0, np.uint32)
-    owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-    return Grams(bucket.astype(np.int32), owner.astype(np.int32), window, text_of_word[begins] if len(first) else np.zeros(0, np.int64))
+    none = np.zeros(0, np.int32)
+    return Grams(np.concatenate([none, *buckets]), np.concatenate([none, *owners]), window, text_of_word[begins] if len(first) else np.zeros(0, np.int64))
 
 
 def window_means(g: Grams, per_gram: np.ndarray) -> np.ndarray:

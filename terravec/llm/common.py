@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terravec.operators.graph import components
+from terravec.operators.shared import cut, shared_dir
+
+__all__ = ["ascii_lower", "components", "cut", "partitions", "shared_dir", "stored", "table", "tile_pairs", "words"]
+
 #: The white space of the contracts: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
@@ -19,20 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is set only where there is none, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -66,38 +55,3 @@ def tile_pairs(rows: DataFrame, cell: list[str], row_id: str, per_tile: int) ->
     dealt = rows.join(sizes, cell, "left").withColumn("tiles", m).withColumn("tile", F.pmod(F.xxhash64(row_id), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     return dealt.select("*", other).withColumns({"tile_i": F.least("tile", "other"), "tile_j": F.greatest("tile", "other")}).drop("cell_rows", "tiles", "other")
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(a, b) links of comparable ids -> (node, component), component the smallest id reachable. Nodes without a link are absent.
-
-    Alternating large-star and small-star rounds (Kiveris et al. 2014): each is one grouped aggregate over the links, and
-    their number is logarithmic. Stars are made by joins on minima, so a huge component needs no list of its members.
-    Each round is checkpointed.
-    """
-    def both(e: DataFrame) -> DataFrame:
-        return e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-
-    e = cut(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    for _ in range(max_rounds):
-        # large star: every neighbour larger than u is linked to the smallest of u and its neighbours
-        n = both(e)
-        least = n.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = n.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        # small star: u and its smaller neighbours are linked to the smallest of them
-        least = e.groupBy("a").agg(F.min("b").alias("m"))
-        joined = e.join(least, "a")
-        e = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
-        e = cut(e)
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components have not settled in {max_rounds} rounds")
-    return e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

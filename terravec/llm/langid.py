@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -204,17 +204,15 @@ class Tables:
 def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, where: Column, rows: int = SAMPLE_ROWS, max_classes: int = 256) -> tuple[list[str], list[str]]:
     """Up to ``rows`` texts of each of the ``max_classes`` most frequent languages, by a hash of the id."""
     known = docs.filter(where & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    langs = [r[0] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_classes).collect()]
-    ids = known.select(id_col, lang_col, F.xxhash64(id_col, F.lit(42)).alias("_o"))
-    picked = None
-    for lang in langs:
-        few = ids.filter(F.col(lang_col) == lang).orderBy("_o", id_col).limit(rows).select(id_col)
-        picked = few if picked is None else picked.unionByName(few)
-    if picked is None:
-        return [], []
+    most = F.broadcast(known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_classes).select(F.col(lang_col).alias("_class")))
+    ids = known.select(id_col, F.col(lang_col).alias("_class"), F.xxhash64(id_col, F.lit(42)).alias("_o")).join(most, "_class", "left_semi")
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("_o", id_col))
+    # the first of each salt, then of these the first, so that a frequent language isn't one task
+    few = ids.withColumn("_s", F.pmod("_o", F.lit(64))).withColumn("_r", first("_class", "_s")).filter(F.col("_r") <= rows)
+    picked = few.withColumn("_r", first("_class")).filter(F.col("_r") <= rows).select(id_col).distinct()
     # a bounded part of a long text is enough to draw a few windows from; predictions use whole texts
     start = (F.pmod(F.xxhash64(id_col), F.greatest(F.char_length(text_col) - 8192, F.lit(1))) + 1).cast("int")
-    got = known.join(F.broadcast(picked.distinct()), id_col).select(id_col, F.substring(F.col(text_col), start, F.lit(8192)).alias("t"), lang_col).collect()
+    got = known.join(F.broadcast(picked), id_col).select(id_col, F.substring(F.col(text_col), start, F.lit(8192)).alias("t"), lang_col).collect()
     got = sorted(got, key=lambda r: (str(r[0]), r[1], r[2]))
     return [r[1] for r in got], [r[2] for r in got]
 

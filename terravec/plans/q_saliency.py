@@ -69,14 +69,14 @@ def w11(spark, d):
     return saliency.minmax_over_tile(heat(spark, d), "tile", "layer").withColumn("value", r6(F.col("value")))
 
 
-@query("W5_rank_boxes", """WITH b AS (SELECT l_orderkey AS tile, l_linenumber AS box_id, CAST(l_partkey % 70 AS INTEGER) - 5 AS x, CAST(l_suppkey % 70 AS INTEGER) - 5 AS y, CAST(floor(l_quantity) AS INTEGER) % 9 AS w, 8 AS h, CAST(floor(l_quantity) AS INTEGER) AS area FROM lineitem),
+@query("W5_rank_boxes", """WITH b AS (SELECT l_orderkey AS tile, CAST(l_linenumber AS BIGINT) * 10000000 + l_partkey * 100 + l_suppkey % 100 AS box_id, CAST(l_partkey % 70 AS INTEGER) - 5 AS x, CAST(l_suppkey % 70 AS INTEGER) - 5 AS y, CAST(floor(l_quantity) AS INTEGER) % 9 AS w, 8 AS h, CAST(floor(l_quantity) AS INTEGER) AS area FROM lineitem),
 r AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY area DESC, box_id) - 1 AS rank FROM b),
 c AS (SELECT tile, box_id, rank, greatest(x, 0) AS x, greatest(y, 0) AS y, least(x + w, 64) - greatest(x, 0) AS w, least(y + h, 64) - greatest(y, 0) AS h FROM r)
 SELECT tile, box_id, CAST(rank AS INTEGER) AS rank, x, y, w, h FROM c WHERE w > 0 AND h > 0""")
 def w5(spark, d):
     li = table(spark, d, "lineitem")
     i = lambda c: F.col(c).cast("int")
-    b = li.select(F.col("l_orderkey").alias("tile"), F.col("l_linenumber").alias("box_id"), (i("l_partkey") % 70 - 5).alias("x"), (i("l_suppkey") % 70 - 5).alias("y"), (i("l_quantity") % 9).alias("w"), F.lit(8).alias("h"), i("l_quantity").alias("area"))
+    b = li.select(F.col("l_orderkey").alias("tile"), (F.col("l_linenumber").cast("bigint") * 10000000 + F.col("l_partkey") * 100 + F.col("l_suppkey") % 100).alias("box_id"), (i("l_partkey") % 70 - 5).alias("x"), (i("l_suppkey") % 70 - 5).alias("y"), (i("l_quantity") % 9).alias("w"), F.lit(8).alias("h"), i("l_quantity").alias("area"))
     return saliency.rank_boxes(b, F.lit(64), F.lit(64)).select("tile", "box_id", "rank", "x", "y", "w", "h")
 
 

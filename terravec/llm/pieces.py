@@ -77,7 +77,6 @@ class Vocabulary:
             self.raw[i] = p.replace(SPACE_MARK, " ").encode()
         for b, i in self.byte.items():
             self.raw[i] = bytes([b])
-        self.prefixes = {p[:k] for p in self.id for k in range(1, len(p) + 1)}
         self.bytes = _Cache(lambda p: np.array(self.ids(p), dtype="<i4").tobytes())
         self.rows: dict[str, dict[str, bool]] = {}
         self.pairs = 0
@@ -87,6 +86,7 @@ class Vocabulary:
         known = row.get(b)
         if known is None:
             known = row[b] = self.merged_apart(a, b)
+            self.pairs += 1
         return known
 
     def merged_apart(self, a: str, b: str) -> bool:
@@ -197,39 +197,41 @@ class Encoder:
     def __init__(self, v: Vocabulary):
         self.v = v
         self.unit = _Cache(self.encode_unit, OTHER_CACHE)
+        self.last: dict[str, str] = {}
         self.spaced = _Cache(lambda w: self.encode_unit(SPACE_MARK + w))
         self.newline = self.encode_unit("\n")
 
+    def last_piece(self, unit: str) -> str:
+        """The last piece of a unit: the one piece that ends it and stays apart from the last one of what is before it.
+
+        What is before it is itself a unit, so the answers are kept, and words of one beginning share them. The longest
+        ending is tried first; only one can pass, so the first that does is it.
+        """
+        v, got = self.v, self.last.get(unit)
+        if got is not None:
+            return got
+        n, known = len(unit), v.id
+        for k in range(max(0, n - v.longest), n):
+            piece = unit[k:]
+            if (piece in known or k == n - 1) and (not k or v.stays_apart(self.last_piece(unit[:k]), piece)):
+                break
+        if len(self.last) >= CACHE:
+            self.last.clear()
+        self.last[unit] = piece
+        return piece
+
     def encode_unit(self, unit: str) -> bytes:
-        """The scan with the one start state: at each place there is just one piece that can be the last."""
-        v, n = self.v, len(unit)
-        known, prefixes, longest = v.id, v.prefixes, v.longest
-        last = [""] * (n + 1)
-        for at in range(n):
-            p = last[at]
-            row = v.rows.get(p) if p else None
-            if row is None and p:
-                row = v.rows[p] = {}
-            for to in range(at + 1, min(n, at + longest) + 1):
-                piece = unit[at:to]
-                if piece in known or to == at + 1:
-                    if p:
-                        apart = row.get(piece)
-                        if apart is None:
-                            apart = row[piece] = v.merged_apart(p, piece)
-                            v.pairs += 1
-                        if apart:
-                            last[to] = piece
-                    else:
-                        last[to] = piece
-                if piece not in prefixes:
-                    break
+        """The scan with the one start state. Long units go forward, place by place, short ones by their kept endings."""
+        v, out, raw = self.v, [], self.v.bytes
+        if len(unit) > 64:
+            ends, _ = scan(v, unit, {FREE: 1})
+            return b"".join(raw[p] for p in trace(ends, len(unit), next(iter(ends[len(unit)])), 0))
         if v.pairs > 2 * CACHE:
             v.rows, v.pairs = {}, 0
-        out, raw = [], v.bytes
-        while n:
-            out.append(raw[last[n]])
-            n -= len(last[n])
+        while unit:
+            piece = self.last_piece(unit)
+            out.append(raw[piece])
+            unit = unit[: -len(piece)]
         out.reverse()
         return b"".join(out)
 
@@ -364,6 +366,13 @@ def _state(x: list) -> State:
     return (x[0], x[1])
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in parts, so that what is made of them is small."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 def _lists(ids: list[bytes]) -> pa.Array:
     """Little-endian 32-bit ids of each row as a list array."""
     ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
@@ -386,7 +395,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
+        for b in _small(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc"), _lists([enc.text(t.as_py()) for t in b.column("_t")])], names=["doc", "ids"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,7 +449,7 @@ def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         none = np.zeros(0, dtype="<u4")
-        for b in batches:
+        for b in _small(batches):
             ids = [x.values.to_numpy().astype("<u4") if x.is_valid else none for x in b.column(ids_col)]
             yield b.append_column("text", pa.array([decode_ids(v, x) for x in ids], pa.string())).append_column("ids_crc32", pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()))
 

@@ -95,11 +95,17 @@ def select_regions(polygons: DataFrame, names: list[str], merged: str | None = N
     return some if merged is None else some.agg(F.lit(merged).alias("region"), F.flatten(F.collect_list("rings")).alias("rings"))
 
 
+def on_sphere(u: Column, v: Column, lat_range: tuple[float, float] = (-90.0, 90.0)) -> tuple[Column, Column]:
+    """(lon, lat) of two uniform draws: longitude even, latitude the arcsine of an even draw between two sines."""
+    lo, hi = F.sin(F.radians(F.lit(lat_range[0]))), F.sin(F.radians(F.lit(lat_range[1])))
+    return u * 360 - 180, F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), lo + v * (hi - lo)))))
+
+
 def sphere_points(spark: SparkSession, draws: int, seed: int = SEED, lat_range: tuple[float, float] = (-90.0, 90.0), start: int = 0) -> DataFrame:
     """draw_id, lon, lat: uniform on the sphere between two latitudes."""
     d = spark.range(start, start + draws).withColumnRenamed("id", "draw_id")
-    lo, hi = F.sin(F.radians(F.lit(lat_range[0]))), F.sin(F.radians(F.lit(lat_range[1])))
-    return d.select("draw_id", (uniform(F.col("draw_id"), seed, 0) * 360 - 180).alias("lon"), F.degrees(F.asin(lo + uniform(F.col("draw_id"), seed, 1) * (hi - lo))).alias("lat"))
+    lon, lat = on_sphere(uniform(F.col("draw_id"), seed, 0), uniform(F.col("draw_id"), seed, 1), lat_range)
+    return d.select("draw_id", lon.alias("lon"), lat.alias("lat"))
 
 
 def union_draws(spark: SparkSession, polygons: DataFrame, n: int, seed: int = SEED, oversample: int = 10, max_rounds: int = 20) -> DataFrame:

@@ -192,13 +192,13 @@ def w13(spark, d):
 # draws
 
 
-@query("G1_sphere_points", EVENTS + " SELECT point_id, round(lon, 6) + 0.0 AS lon, round(lat, 6) + 0.0 AS lat FROM pts")
+@query("G1_sphere_points", """SELECT event_id, round(360 * u - 180, 6) + 0.0 AS lon, round(degrees(asin(sin(radians(-30.0)) + v * (sin(radians(75.0)) - sin(radians(-30.0))))), 6) + 0.0 AS lat
+FROM (SELECT event_id, ((event_id * 7919 + 13) % 10007) / 10007.0 AS u, ((event_id * 104729 + 7) % 10009) / 10009.0 AS v FROM events)""")
 def g1(spark, d):
-    """The rule of the sphere over keys' draws."""
-    k = F.col("point_id")
-    u = (2.0 * (((k * 104729 + 7) % 10009) / 10009.0) - 1.0)
-    p = event_points(spark, d).select("point_id", "lon", F.degrees(F.asin(u)).alias("lat"))
-    return p.select("point_id", r6(F.col("lon")).alias("lon"), r6(F.col("lat")).alias("lat"))
+    """The rule of the sphere over keys' draws, between two latitudes."""
+    k = F.col("event_id")
+    lon, lat = P.on_sphere(((k * 7919 + 13) % 10007) / 10007.0, ((k * 104729 + 7) % 10009) / 10009.0, (-30.0, 75.0))
+    return table(spark, d, "events").select("event_id", r6(lon).alias("lon"), r6(lat).alias("lat"))
 
 
 ORDER = "((event_id * 7919 + 13) % 10007)"
@@ -229,7 +229,11 @@ def g5(spark, d):
     return P.split_train_val_test(table(spark, d, "events").select("event_id"), 0.1, 0.1, "event_id", order=_order())
 
 
-@query("G6_grid_in_polygon", None)
+@query("G6_grid_in_polygon", """
+WITH b AS (SELECT CAST(c_nationkey AS VARCHAR) AS region, min(c_custkey % 91)::DOUBLE AS x0, min(c_custkey % 91) + CASE WHEN c_nationkey = 0 THEN 0.1 ELSE 7.3 END::DOUBLE AS x1,
+  min(c_custkey % 37)::DOUBLE AS y0, min(c_custkey % 37) + CASE WHEN c_nationkey = 0 THEN 0.1 ELSE 5.2 END::DOUBLE AS y1 FROM customer GROUP BY c_nationkey),
+g AS (SELECT region, x0 + 0.5 * i AS lon, y0 + 0.5 * j AS lat FROM b, range(20) AS s(i), range(20) AS t(j) WHERE i > 0 AND j > 0 AND x0 + 0.5 * i < x1 AND y0 + 0.5 * j < y1)
+SELECT region, round(lon, 6) + 0.0 AS lon, round(lat, 6) + 0.0 AS lat FROM g UNION ALL SELECT region, round((x0 + x1) / 2, 6) + 0.0, round((y0 + y1) / 2, 6) + 0.0 FROM b WHERE region NOT IN (SELECT region FROM g)""")
 def g6(spark, d):
     """Boxes of a nation's customer keys as regions; one is too small for any grid point."""
     c = table(spark, d, "customer").select("c_nationkey", (F.col("c_custkey") % 91).cast("double").alias("x"), (F.col("c_custkey") % 37).cast("double").alias("y"))

@@ -46,9 +46,13 @@ class WordIds(dict):
     def __init__(self, path: str):
         super().__init__()
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # for words of lower-case Latin-1 letters, which normalising and splitting leave as they are
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.old: dict[str, bytes] = {}
         self.parts = regex.compile(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 
@@ -59,7 +63,8 @@ class WordIds(dict):
             if pieces and len(pieces) > 1:
                 got = b"".join([self[p] for p in pieces])
             else:
-                got = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                simple = chunk.isalpha() and chunk.islower() and max(chunk) <= "\u00ff"
+                got = np.array((self.plain if simple else self.tokenizer).encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(self) >= CACHE:
             self.old = dict(self)
             self.clear()

@@ -226,15 +226,15 @@ def region(found: list[Block], w: Weights) -> tuple[int, int]:
 
 
 def main_text(page: str | None, w: Weights = DEFAULT) -> str:
-    """The article's blocks, joined by two line ends. A page that names its main element has the scan within it alone."""
+    """The article's blocks, joined by two line ends. A page that names its main element has the scan within it alone; where the
+    scan finds nothing there, the whole element is the text."""
     found, _ = blocks(page or "")
-    if any(b.main for b in found):
-        first = next(k for k, b in enumerate(found) if b.main)
-        last = max(k for k, b in enumerate(found) if b.main)
-        a, b = region(found, w)
-        a, b = (first, last + 1) if a >= b or b <= first or a > last else (min(max(a, first), first), max(min(b, last + 1), last + 1))
-    else:
-        a, b = region(found, w)
+    mains = [k for k, b in enumerate(found) if b.main]
+    if mains:
+        found = found[mains[0] : mains[-1] + 1]
+    a, b = region(found, w)
+    if mains and a >= b:
+        a, b = 0, len(found)
     return "\n\n".join(x.text for x in found[a:b] if not x.noise)
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terravec.llm import chat, embed_dedup, html_text, langid, line_dedup, packing, pieces, quality, simhash, toxicity
+from tests.oracle import duck
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "word " * 30_000 + "\n" + "x" * 50_000
@@ -215,6 +216,25 @@ def test_html(spark):
     assert html_text.extracted(pages.limit(0), html_text.DEFAULT).count() == 0
 
 
+def test_html_scan_decides_within_main():
+    prose = "words of the story that is told here " * 6
+    links = "<ul>" + "".join(f"<li><a href='/{k}'>other page number {k}</a></li>" for k in range(8)) + "</ul>"
+    w = html_text.fit([f"<body><div>{links}</div><article><h1>Head</h1><p>{prose}</p><p>{prose}</p></article><div>{links}</div></body>"] * 20)
+    told = f"Head\n\n{prose.strip()}\n\n{prose.strip()}"
+    body = f"<h1>Head</h1><p>{prose}</p><p>{prose}</p>"
+    for page in (f"<article>{body}</article>", f"<article>{body}{links}</article>", f"<article>{links}{body}</article>"):
+        assert html_text.main_text(f"<body>{page}</body>", w) == told
+    # nothing above zero: the element is the text
+    assert html_text.main_text("<article><a href='/x'>one link</a></article>", html_text.Weights(word={"main": 0.5})) == "one link"
+
+
+def test_html_without_article_tags():
+    pages = [r[0] for r in duck("SELECT html FROM pages ORDER BY page_id").itertuples(index=False)]
+    w = html_text.fit(pages[:25])
+    bare = [p.replace("<article>", "").replace("</article>", "") for p in pages[25:]]
+    assert [html_text.main_text(p, w) for p in bare] == [html_text.main_text(p, w) for p in pages[25:]]
+
+
 def test_chat(spark):
     rows = [(1, k, r, t) for k, (r, t) in enumerate([("system", "Be brief."), ("user", "hi?"), ("assistant", "Hello."), ("user", None), ("assistant", "")])]
     rows += [(2, 0, None, "x"), (None, None, "user", "y"), (2, 0, None, "x")]

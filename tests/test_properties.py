@@ -273,3 +273,13 @@ def test_streams_in_micro_batches_equal_the_batch(spark, tmp_path):
     got = stream.run_to_table(stream.stream_rows_since_fired(read, 20), "since_fired", "append", f"{tmp_path}/ck")
     want = sae.rows_since_fired(log, 20)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("neuron", "step", "since", "dead").collect()))
+
+
+def test_cluster_summary_lists_all_members(spark):
+    rows = [(k % 2 - 1 if k < 5000 else 7, f"t{k % 7}", str(k)) for k in range(5003)]
+    labelled = spark.createDataFrame(rows, "cluster int, tile string, file string").repartition(5)
+    want = {c: sorted(f"{t}__{f}" for x, t, f in rows if x == c) for c in (-1, 0, 7)}
+    got = {r.cluster: r for r in cluster.cluster_summary(labelled).collect()}
+    assert {c: (r.name, r.n, r.members) for c, r in got.items()} == {c: ({-1: "noise"}.get(c, f"cluster_{c:02d}"), len(m), ",".join(m)) for c, m in want.items()}
+    members = sorted(map(tuple, cluster.cluster_members(labelled).collect()))
+    assert members == [(c, k, m) for c in (-1, 0, 7) for k, m in enumerate(want[c])]

@@ -4,7 +4,8 @@ A page is a row of tokens, words and tags. A tag costs what labelled pages say:
 outside the main text against inside; a word earns a set amount in proportion to how often words of its surroundings (the
 innermost telling element, or link) are inside. A linear scan finds the maximum-scoring run of blocks. Labelled pages are
 those whose markup says what is main (an article or main element, as far as it isn't in an aside, a comment list and so on).
-Elements that never hold main text (scripts, styles, forms, menus) are no part of the row.
+Elements that never hold main text (scripts, styles, menus) are no part of the row, and forms and elements named as noise only
+where they wrap most of the page.
 """
 
 from __future__ import annotations
@@ -27,12 +28,16 @@ from terravec.llm.common import table
 SAMPLE_PAGES = 300
 SAMPLE_CHARS = 200_000
 #: Elements without main text, whose content is passed over.
-SKIPPED = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "head", "title", "nav", "form", "button", "select", "textarea", "dialog", "menu"}
+SKIPPED = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "head", "title", "nav", "button", "select", "textarea", "dialog", "menu"}
 #: Of these, the content is raw: nothing ends it but its own end tag.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that stand within a line of text; all others end a block.
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+#: Formulas stand within a line too; their annotations aren't shown.
+MATH = {"math", "semantics", "mrow", "mi", "mn", "mo", "ms", "mtext", "mspace", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "munder", "mover", "munderover", "mtable", "mtr", "mtd", "mstyle", "mpadded", "mphantom", "menclose", "mfenced", "merror", "mmultiscripts", "mprescripts", "none"}
+INLINE |= MATH
+UNSHOWN = {"annotation", "annotation-xml"}
 #: Blocks that a new block of their kind ends.
 SELF_CLOSING = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 MAIN = {"article", "main"}
@@ -48,7 +53,10 @@ _SPACE = re.compile(r"\s+")
 
 @dataclass
 class Block:
-    """Text between two tags that end blocks: its words, those in links, the tags before it, and its surroundings."""
+    """Text between two tags that end blocks: its words, those in links, the tags before it, and its surroundings.
+
+    wrap: where the outermost element begins whose name alone makes the block noise, or -1; inner: a main element is between.
+    """
 
     text: str
     words: int
@@ -57,6 +65,8 @@ class Block:
     around: str
     main: bool
     noise: bool
+    wrap: int = -1
+    inner: bool = False
 
 
 @dataclass
@@ -74,25 +84,60 @@ DEFAULT = Weights({"p": 0.2, "/p": 0.2}, {"noise": -3.0, "aside": -3.0, "main":
 
 
 def blocks(page: str) -> tuple[list[Block], list[str]]:
-    """The blocks of a page in order, and the tags after the last one."""
+    """The blocks of a page in order, and the tags after the last one.
+
+    An element with the name of noise is noise, unless it is the page's wrapper; what is in a wrapper is judged by itself.
+    """
+    spared: set[int] = set()
+    while True:
+        found, rest, whole = _blocks(page, spared)
+        wrapper = _wrapper(found, whole)
+        if wrapper < 0:
+            return found, rest
+        spared.add(wrapper)
+
+
+def _wrapper(found: list[Block], whole: set[int]) -> int:
+    """Where an element begins that is noise by its name but holds most words of the page, or -1.
+
+    It has to hold a main element with most of its words, and more than main elements elsewhere; or no element elsewhere is main
+    and its name only has a word of noise as a part (has-sidebar; those of whole words are in whole), or all words are in it.
+    """
+    if all(b.wrap < 0 for b in found):
+        return -1
+    shown = [b for b in found if not b.noise or b.wrap >= 0]
+    total, outer = sum(b.words for b in shown), sum(b.words for b in shown if b.main)
+    for wrap in dict.fromkeys(b.wrap for b in shown if b.wrap >= 0):
+        n, inner = sum(b.words for b in shown if b.wrap == wrap), sum(b.words for b in shown if b.wrap == wrap and b.inner)
+        if 2 * n > total and (2 * inner > n and inner > outer or outer == 0 and (n == total or wrap not in whole)):
+            return wrap
+    return -1
+
+
+def _blocks(page: str, spared: set[int]) -> tuple[list[Block], list[str], set[int]]:
+    """The blocks and the tags after the last one, and where elements begin that a whole word names as noise; names of the
+    elements that begin at spared don't count."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # name, surroundings, noise
+    stack: list[tuple[str, str, bool, int, bool]] = []  # name, surroundings, noise, wrap, inner
+    whole: set[int] = set()
     text: list[str] = []
-    links = 0
+    links = loud = quiet = 0  # words in links, in inline elements named as noise, and where the last of these ends
     tags: list[str] = []
     pos, end = 0, len(page)
     in_link = 0
 
     def flush() -> None:
-        nonlocal text, links, tags
+        nonlocal text, links, tags, loud
         joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
         text = []
         if joined:
-            around = stack[-1][1] if stack else "plain"
-            noise = stack[-1][2] if stack else False
-            out.append(Block(joined, joined.count(" ") + 1, links, tags, around, around == "main", noise))
+            _, around, noise, wrap, inner = stack[-1] if stack else ("", "plain", False, -1, False)
+            words = joined.count(" ") + 1
+            if loud >= words and not noise:  # nothing else is in the line
+                around, noise = "noise", True
+            out.append(Block(joined, words, links, tags, around, around == "main", noise, wrap, inner))
             tags = []
-        links = 0
+        links = loud = 0
 
     while pos < end:
         at = page.find("<", pos)
@@ -100,8 +145,9 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
             at = end
         if at > pos:
             text.append(page[pos:at])
-            if in_link:
-                links += len(page[pos:at].split())
+            if in_link or pos < quiet:
+                n = len(page[pos:at].split())
+                links, loud = links + in_link * n, loud + (pos < quiet) * n
         if at >= end:
             break
         m = _TOKEN.match(page, at)
@@ -121,13 +167,19 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
             pos = _skip(page, pos, name)
             tags.append("/" + name)
             continue
-        if name in INLINE:
+        if name in UNSHOWN and not closing and not attributes.rstrip().endswith("/"):
+            pos = _skip(page, pos, name)
+            continue
+        if name in INLINE or name in UNSHOWN:
             if name == "br":
                 text.append(" ")
             if name == "a":
                 in_link = 0 if closing else 1
-            if not closing and name not in VOID and (NOISE.search(" ".join(_named(attributes))) or _HIDDEN.search(attributes)):
-                pos = _skip(page, pos, name)
+            if not closing and name not in VOID:
+                if _HIDDEN.search(attributes):
+                    pos = _skip(page, pos, name)
+                elif NOISE.search(" ".join(_named(attributes))):
+                    quiet = max(quiet, _skip(page, pos, name))
             continue
         flush()
         tags.append(("/" if closing else "") + name)
@@ -140,21 +192,27 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
         elif name not in VOID:
             if name in SELF_CLOSING and stack and stack[-1][0] == name:
                 stack.pop()
-            around, noise = (stack[-1][1], stack[-1][2]) if stack else ("plain", False)
+            _, around, noise, wrap, inner = stack[-1] if stack else ("", "plain", False, -1, False)
             names = " ".join(_named(attributes))
-            if _HIDDEN.search(attributes) or (name not in ("html", "body", *MAIN) and NOISE.search(names)):
+            if _HIDDEN.search(attributes):
+                around, noise, wrap = "noise", True, -1
+            elif at not in spared and (name == "form" and _skip(page, pos, name) > pos or name not in ("html", "body", *MAIN) and NOISE.search(names)):
+                if not noise:
+                    wrap = at
+                    if any(NOISE.fullmatch(x) for x in names.split()):
+                        whole.add(at)
                 around, noise = "noise", True
             elif name in ASIDES:
                 # a header within the article that holds its heading is a part of it; a page's header isn't
-                inner = name == "header" and around == "main" and re.match(r"\s*(?:<[^>]*>\s*)*?<h[1-6]", page[pos : pos + 400], re.I)
-                around, noise = (around, noise) if inner else ("aside", True)
+                heads = name == "header" and around == "main" and re.match(r"\s*(?:<[^>]*>\s*)*?<h[1-6]", page[pos : pos + 400], re.I)
+                around, noise, wrap = (around, noise, wrap) if heads else ("aside", True, -1)
             elif not noise and (name in MAIN or re.search(r"\bmain\b", names) and "role" in attributes.lower()):
                 around = "main"
             elif around == "plain" and name == "div" and MAIN_NAME.search(names):
                 around = "named"
-            stack.append((name, around, noise))
+            stack.append((name, around, noise, wrap, inner or wrap >= 0 and name in MAIN))
     flush()
-    return out, tags
+    return out, tags, whole
 
 
 def _named(attributes: str) -> list[str]:
@@ -168,7 +226,7 @@ def _skip(page: str, pos: int, name: str) -> int:
         depth += -1 if m[1] else (0 if name in RAW or m[0].endswith("/>") else 1)
         if depth == 0:
             return m.end()
-    if name in ("nav", "form", "menu", "head", "button", "select", "dialog") or name in INLINE:
+    if name in ("nav", "form", "annotation", "annotation-xml", "menu", "head", "button", "select", "dialog") or name in INLINE:
         return pos  # never closed: its text is judged with the rest
     return len(page)
 

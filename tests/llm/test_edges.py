@@ -228,6 +228,26 @@ def test_html_scan_decides_within_main():
     assert html_text.main_text("<article><a href='/x'>one link</a></article>", html_text.Weights(word={"main": 0.5})) == "one link"
 
 
+def test_html_names_of_noise_on_wrappers():
+    prose = "words of the story that is told here " * 6
+    body = f"<h1>Head words of it</h1><p>{prose}</p><p>{prose}</p>"
+    told = f"Head words of it\n\n{prose.strip()}\n\n{prose.strip()}"
+    for names in ("layout has-sidebar", "no-sidebar", "with-nav", "header-fixed", "sidebar"):
+        for inside in (f"<article>{body}</article>", f"<main>{body}</main>", body):
+            for page in (f"<div class='{names}'>{inside}</div>", f"<div id=a><div class='{names}'><div class=ad>Buy this</div>{inside}<div class='sidebar'>More to read</div></div></div>"):
+                assert html_text.main_text(f"<html><body>{page}</body></html>") == told, (names, page)
+    assert html_text.main_text(f"<body><form action='/x'><article>{body}</article></form></body>") == told
+    assert html_text.main_text(f"<body><form action='/x'>{body}</form></body>") == told
+    # comments, teasers and search forms beside an article are still left out
+    for beside in (f"<div id='comments'>{prose * 9}</div>", f"<div class='related-posts'><article>{prose}</article></div>", "<form>Find pages</form>"):
+        assert html_text.main_text(f"<body><article>{body}</article>{beside}</body>") == told
+
+
+def test_html_keeps_words_within_a_line():
+    page = "<article><p>One <span class='alert'>word</span> and <a class='social-link' href='/x'>a link</a>, <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> is kept.</p><p><a class='share' href='/y'>Share it</a></p><p>The end <span hidden>not</span> here.</p></article>"
+    assert html_text.main_text(page) == "One word and a link, x=1 is kept.\n\nThe end here."
+
+
 def test_html_without_article_tags():
     pages = [r[0] for r in duck("SELECT html FROM pages ORDER BY page_id").itertuples(index=False)]
     w = html_text.fit(pages[:25])

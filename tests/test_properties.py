@@ -283,3 +283,19 @@ def test_cluster_summary_lists_all_members(spark):
     assert {c: (r.name, r.n, r.members) for c, r in got.items()} == {c: ({-1: "noise"}.get(c, f"cluster_{c:02d}"), len(m), ",".join(m)) for c, m in want.items()}
     members = sorted(map(tuple, cluster.cluster_members(labelled).collect()))
     assert members == [(c, k, m) for c in (-1, 0, 7) for k, m in enumerate(want[c])]
+
+
+def test_whole_tables_of_distances_and_logits(spark):
+    rng = np.random.default_rng(3)
+    e, lon, lat = rng.normal(size=(40, 4)), rng.uniform(-180, 180, 40), rng.uniform(-90, 90, 40)
+    rows = [(k, e[k].tolist(), float(lon[k]), float(lat[k])) for k in range(40)]
+    t = spark.createDataFrame(rows, "id long, embedding array<double>, lon double, lat double").repartition(3)
+    far = joins.pairwise_euclidean(t, t, "id", "embedding", max_rows=10)
+    assert "CartesianProduct" in far._jdf.queryExecution().executedPlan().toString()
+    got = {(r.id, r.other): r.dist for r in far.collect()}
+    assert len(got) == 1600 and all(abs(d - np.linalg.norm(e[i] - e[j])) < 1e-9 for (i, j), d in got.items())
+    few, many = (sorted(map(tuple, joins.pairwise_haversine(t, t, "id", max_rows=n).collect())) for n in (100, 10))
+    assert few == many and len(many) == 1600
+    u = e / np.linalg.norm(e, axis=1, keepdims=True)
+    logits = joins.similarity_logits(t.withColumnRenamed("id", "image_id"), t.withColumnRenamed("id", "place_id"), 1.0, max_places=10).collect()
+    assert len(logits) == 1600 and all(abs(r.logit - math.e * (u[r.image_id] @ u[r.place_id])) < 1e-9 for r in logits)

@@ -11,14 +11,20 @@ from pyspark.sql import functions as F
 
 from terravec.operators.sae import DEAD_AFTER_ROWS, EMA_BETA, EMA_FROM_STEP, ema
 
+#: Rows of a frame that a stateful step hands on.
+OUT_ROWS = 50_000
+
 
 def stream_threshold_ema(rows: DataFrame, beta: float = EMA_BETA, after: int = EMA_FROM_STEP) -> DataFrame:
     """(run, step, threshold) as rows (run, step, value) arrive; all rows of a step come in one micro-batch, steps in order.
     State by run: the moving average so far."""
 
     def update(key, frames: Iterator[pd.DataFrame], state):
-        some = pd.concat(list(frames))
-        least = some[some.step > after].groupby("step")["value"].min().sort_index()
+        least = pd.Series(dtype=float)
+        for some in frames:  # one frame and the minima so far; a step's rows can be in several frames
+            now = some[some.step > after].groupby("step")["value"].min()
+            least = now if least.empty else pd.concat([least, now]).groupby(level=0).min()
+        least = least.sort_index()
         if least.empty:
             return
         start = state.get[0] if state.exists else None
@@ -34,12 +40,19 @@ def stream_rows_since_fired(rows: DataFrame, dead_after: int = DEAD_AFTER_ROWS)
     rows seen and the count at which it last fired."""
 
     def update(key, frames: Iterator[pd.DataFrame], state):
-        some = pd.concat(list(frames)).sort_values("step")
+        # frames come in no order, so the three numbers of each row of the micro-batch are held, and no frame
+        parts = [(f["step"].to_numpy(np.int64, copy=True), f["batch_size"].to_numpy(np.int64, copy=True), f["fired"].to_numpy(bool, copy=True)) for f in frames]
+        step, size, fired = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        order = np.argsort(step, kind="stable")
         seen0, last0 = state.get if state.exists else (0, 0)
-        seen = seen0 + some["batch_size"].to_numpy(np.int64).cumsum()
-        last = np.maximum(np.maximum.accumulate(np.where(some["fired"].to_numpy(bool), seen, 0)), last0)
-        state.update((int(seen[-1]), int(last[-1])))
-        yield pd.DataFrame({"neuron": key[0], "step": some["step"].to_numpy(np.int64), "since": seen - last, "dead": seen - last >= dead_after})
+        for a in range(0, len(order), OUT_ROWS):
+            at = order[a : a + OUT_ROWS]
+            seen = seen0 + size[at].cumsum()
+            last = np.maximum(np.maximum.accumulate(np.where(fired[at], seen, 0)), last0)
+            seen0, last0 = int(seen[-1]), int(last[-1])
+            yield pd.DataFrame({"neuron": key[0], "step": step[at], "since": seen - last, "dead": seen - last >= dead_after})
+        state.update((seen0, last0))
 
     return rows.groupBy("neuron").applyInPandasWithState(update, "neuron int, step bigint, since bigint, dead boolean", "seen bigint, last bigint", "append", "NoTimeout")
 
@@ -52,9 +65,13 @@ def stream_decompose(encoded: DataFrame) -> DataFrame:
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """All that is there now, through the stream, as the table of a memory sink."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """All that is there now, through the stream. Appended rows are written as Parquet beside the checkpoint and read again; a
+    complete result (one row a group) is the table of a memory sink, which the driver holds."""
+    w = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    out = f"{checkpoint}-{name}"
+    q = w.format("parquet").start(out) if mode == "append" else w.format("memory").start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    return spark.read.schema(stream.schema).parquet(out) if mode == "append" else spark.table(name)

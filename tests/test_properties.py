@@ -299,3 +299,28 @@ def test_whole_tables_of_distances_and_logits(spark):
     u = e / np.linalg.norm(e, axis=1, keepdims=True)
     logits = joins.similarity_logits(t.withColumnRenamed("id", "image_id"), t.withColumnRenamed("id", "place_id"), 1.0, max_places=10).collect()
     assert len(logits) == 1600 and all(abs(r.logit - math.e * (u[r.image_id] @ u[r.place_id])) < 1e-9 for r in logits)
+
+
+def test_appended_streams_do_not_go_to_the_driver(spark, tmp_path):
+    rows = [(s, s % 2, 3, s % 7 == 0, float((s * 37) % 11)) for s in range(400)]
+    log = spark.createDataFrame(rows, "step long, neuron int, batch_size int, fired boolean, value double")
+    log.repartition(4, "value").write.parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)  # several frames a key
+    old, stream.OUT_ROWS = stream.OUT_ROWS, 30
+    try:
+        read = spark.readStream.schema(log.schema).parquet(f"{tmp_path}/in")
+        got = stream.run_to_table(stream.stream_rows_since_fired(read, 20), "since_parts", "append", f"{tmp_path}/ck")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, sae.rows_since_fired(log, 20).select("neuron", "step", "since", "dead").collect()))
+        runs = read.select(F.col("neuron").alias("run"), F.floor(F.col("step") / 4).alias("step"), "value")
+        ema = stream.run_to_table(stream.stream_threshold_ema(runs, after=5), "ema_parts", "append", f"{tmp_path}/ck2")
+        least = {(r, k): min(x[4] for x in rows if x[1] == r and x[0] // 4 == k) for r in (0, 1) for k in range(6, 100)}
+        for r in (0, 1):
+            want = sae.ema(np.array([least[r, k] for k in range(6, 100)]), sae.EMA_BETA, None)
+            assert np.allclose([x.threshold for x in ema.filter(F.col("run") == r).orderBy("step").collect()], want)
+        for name, table in (("since_parts", got), ("ema_parts", ema)):
+            assert not spark.catalog.tableExists(name) and table.inputFiles()
+        none = stream.run_to_table(stream.stream_threshold_ema(runs, after=1000), "ema_none", "append", f"{tmp_path}/ck3")
+        assert none.count() == 0
+    finally:
+        stream.OUT_ROWS = old
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

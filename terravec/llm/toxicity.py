@@ -9,6 +9,7 @@ number for each n-gram; all of it is numpy over the bytes of a batch.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,10 +33,11 @@ RATE = 15.0
 OUT_RATE = 0.02
 FLAG_AT = 0.7
 #: Bytes scored at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 _BREAK = 0x20
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
+_WORD = re.compile(rb"[a-z\x80-\xff]+")
 
 
 @dataclass
@@ -48,9 +50,9 @@ class Grams:
     text: np.ndarray
 
 
-def grams(texts: list[str], window_words: int = WINDOW_WORDS) -> Grams:
-    """Texts without a letter have no window."""
-    raw = [b" " + t.lower().encode("utf-8", "replace") + b" " for t in texts]
+def grams(texts: list[bytes], window_words: int = WINDOW_WORDS) -> Grams:
+    """The n-grams of lower-cased texts. Those without a letter have no window."""
+    raw = [b" " + t + b" " for t in texts]
     data = np.frombuffer(b"".join(raw), dtype=np.uint8)
     letter = _LETTER[data]
     data = np.where(letter, data, _BREAK)
@@ -102,22 +104,110 @@ class Model:
     def scores(self, texts: list[str]) -> np.ndarray:
         """The highest window score of each text; that of the bias alone where there is no window."""
         best = np.full(len(texts), -np.inf)
-        g = grams(texts)
-        np.maximum.at(best, g.text, window_means(g, self.per_gram))
+        for part, owner in _parts(texts):
+            g = grams(part)
+            np.maximum.at(best, owner[g.text], window_means(g, self.per_gram))
         best[np.isinf(best)] = 0.0
         return 1.0 / (1.0 + np.exp(-np.clip(best + self.bias, -30, 30)))
 
 
-def text_starts_of(g: Grams, n: int) -> np.ndarray:
-    return np.searchsorted(g.text, np.arange(n + 1))
+def _slices(raw: bytes, size: int) -> Iterator[bytes]:
+    """A long text in slices of about size bytes, each of whole windows (the last one apart). A word longer than that stays whole."""
+    a = 0
+    while len(raw) - a > size:
+        take = size
+        while True:
+            letter = _LETTER[np.frombuffer(raw, dtype=np.uint8, count=min(take, len(raw) - a), offset=a)]
+            first = np.flatnonzero(letter & ~np.concatenate([[False], letter[:-1]]))
+            whole = max(0, len(first) - 1)  # the last word may go on
+            whole -= whole % WINDOW_WORDS
+            if whole or a + take >= len(raw):
+                break
+            take *= 2
+        if not whole:
+            break
+        yield raw[a : a + first[whole]]
+        a += int(first[whole])
+    yield raw[a:]
+
+
+def _parts(texts: list[str], size: int = CHUNK) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """The lower-cased texts, or slices of them, in lists of about size bytes, with the position of the text of each."""
+    part, owner, n = [], [], 0
+    for i, t in enumerate(texts):
+        for piece in _slices(t.lower().encode("utf-8", "replace"), size):
+            if n and n + len(piece) > size:
+                yield part, np.array(owner)
+                part, owner, n = [], [], 0
+            part.append(piece)
+            owner.append(i)
+            n += len(piece)
+    if part:
+        yield part, np.array(owner)
 
 
-def _document_contrast(bucket: np.ndarray, ends: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Bags:
+    """A training sample as bags: each text's words by number, and the n-grams of each distinct word.
+
+    A text of a million words repeats most of them, so the n-grams of distinct words are all that is held.
+    """
+
+    word: np.ndarray  # the words of all texts in a row
+    window: np.ndarray  # where each window begins among them, and the end
+    text: np.ndarray  # where each text begins among the windows, and the end
+    gram: np.ndarray  # the buckets of all distinct words in a row
+    spell: np.ndarray  # where each distinct word begins among them, and the end
+
+    @staticmethod
+    def of(texts: list[str]) -> Bags:
+        numbers: dict[bytes, int] = {}
+        words, windows, ends = [], [np.zeros(1, np.int64)], [0]
+        n = 0
+        for t in texts:
+            own = np.array([numbers.setdefault(w, len(numbers)) for w in _WORD.findall(t.lower().encode("utf-8", "replace"))], dtype=np.int32)
+            words.append(own)
+            windows.append(n + np.append(np.arange(WINDOW_WORDS, len(own), WINDOW_WORDS), len(own)) if len(own) else np.zeros(0, np.int64))
+            ends.append(ends[-1] + len(windows[-1]))
+            n += len(own)
+        g = grams(list(numbers), window_words=1)
+        order = np.argsort(g.word, kind="stable")
+        spell = np.searchsorted(g.word[order], np.arange(len(numbers) + 1))
+        return Bags(np.concatenate([np.zeros(0, np.int32), *words]), np.concatenate(windows), np.array(ends), g.bucket[order], spell)
+
+    def word_means(self, per_gram: np.ndarray) -> np.ndarray:
+        """Of each distinct word, the mean of its n-grams' values."""
+        total = np.concatenate([[0.0], np.cumsum(per_gram[self.gram], dtype=np.float64)])
+        return (total[self.spell[1:]] - total[self.spell[:-1]]) / np.maximum(np.diff(self.spell), 1)
+
+    def window_means(self, per_gram: np.ndarray) -> np.ndarray:
+        """Of each window, the mean of its words' means."""
+        total = np.concatenate([[0.0], np.cumsum(self.word_means(per_gram)[self.word])])
+        return (total[self.window[1:]] - total[self.window[:-1]]) / np.maximum(np.diff(self.window), 1)
+
+    def grams_of(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The n-grams of some windows: position of the window, bucket, and share in the window's mean."""
+        owner, word = _spans(self.window, windows)
+        word = self.word[word]
+        at, gram = _spans(self.spell, word)
+        share = 1.0 / (np.diff(self.spell)[word] * np.diff(self.window)[windows][owner])
+        return owner[at], self.gram[gram], share[at]
+
+
+def _spans(starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The positions within the spans [starts[k], starts[k + 1]) of each k of which, and the place in which of each."""
+    size = starts[which + 1] - starts[which]
+    owner = np.repeat(np.arange(len(which)), size)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[which], size)
+
+
+def _document_contrast(bags: Bags, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each n-gram: by how many standard errors more texts of class 1 have it than of class 0 (only the first rounds choose
     windows by it), and whether three texts have it."""
-    have = np.zeros((2, BUCKETS))
-    for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-        have[int(labels[i])][np.unique(bucket[a:b])] += 1
+    have = np.zeros((2, BUCKETS), dtype=np.int32)
+    for i in range(len(labels)):
+        own = np.unique(bags.word[bags.window[bags.text[i]] : bags.window[bags.text[i + 1]]])
+        have[int(labels[i])][np.unique(bags.gram[_spans(bags.spell, own)[1]])] += 1
     n = np.array([len(labels) - labels.sum(), labels.sum()])
     rate = (have.sum(axis=0) + 1) / (n.sum() + 2)
     z = (have[1] / n[1] - have[0] / n[0]) / np.sqrt(rate * (1 - rate) * (1 / n[0] + 1 / n[1]))
@@ -130,28 +220,17 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, seed: int =
     if not len(texts) or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS, np.float32), 6.0 if len(texts) and labels[0] == 1 else -6.0)
     rng = np.random.default_rng(seed)
-    g = grams(texts)
-    order = np.argsort(g.window[g.word].astype(np.int32), kind="stable").astype(np.int32)
-    g.bucket, g.word = g.bucket[order], g.word[order]
-    del order
-    gram_bucket, gram_word = g.bucket, g.word
-    gram_window = g.window[gram_word].astype(np.int32)
-    window_starts = np.searchsorted(gram_window, np.arange(len(g.text) + 1))
-    per_word = np.bincount(g.word, minlength=len(g.window))
-    words_in = np.bincount(g.window, minlength=len(g.text))
-    share = (1.0 / (per_word[gram_word] * words_in[gram_window])).astype(np.float32)  # weight of an n-gram in its window's mean
-    text_starts = text_starts_of(g, len(texts))
-    has = np.flatnonzero(text_starts[1:] > text_starts[:-1])
+    bags = Bags.of(texts)
+    has = np.flatnonzero(bags.text[1:] > bags.text[:-1])
     emb = np.zeros((BUCKETS, DIMENSIONS))  # an n-gram that training never meets stays neutral
     out, bias = rng.normal(0, 0.5, (DIMENSIONS, 2)), np.zeros(2)
-    first, common = _document_contrast(gram_bucket, window_starts[text_starts_of(g, len(texts))], labels)
-    share *= common[gram_bucket]  # what only one or two texts have would be learnt by heart
+    first, common = _document_contrast(bags, labels)
     weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6))
     for r in range(rounds):
-        z = window_means(g, first if r < 4 else emb @ (out[:, 1] - out[:, 0]))
+        z = bags.window_means(first if r < 4 else emb @ (out[:, 1] - out[:, 0]))
         chosen, target, portion, rate = [], [], [], RATE * (1 - r / rounds)
         for i in has:
-            a, b = text_starts[i], text_starts[i + 1]
+            a, b = bags.text[i], bags.text[i + 1]
             top = a + int(np.argmax(z[a:b]))
             if labels[i] == 1:
                 picks = [top]
@@ -165,9 +244,8 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, seed: int =
         mix = rng.permutation(len(chosen))
         for part in np.array_split(mix, max(1, len(mix) // 512)):
             win, lab, w = chosen[part], labels[target[part]], portion[part]
-            spans = [np.arange(window_starts[x], window_starts[x + 1]) for x in win]
-            owner, at = np.repeat(np.arange(len(win)), [len(x) for x in spans]), np.concatenate(spans)
-            ids, sh = gram_bucket[at], share[at]
+            owner, ids, sh = bags.grams_of(win)
+            sh = sh * common[ids]  # what only one or two texts have would be learnt by heart
             mean = np.stack([np.bincount(owner, weights=sh * emb[ids, k], minlength=len(win)) for k in range(DIMENSIONS)], axis=1)
             logits = mean @ out + bias
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -186,41 +264,46 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, seed: int =
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, where: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray]:
-    """Up to ``rows`` texts of each class, by a hash of the id, and ``chars`` characters in all (longer texts are left out first)."""
+    """Up to ``rows`` texts of each class, by a hash of the id, and ``chars`` characters in all (``chars`` / 32 in one text).
+
+    Ids and lengths are chosen first, at most 2 * rows of them, so that the driver never gets more text than it fits. A
+    repeated id counts once, with its smallest text; an id that has both labels counts as class 1.
+    """
     known = labels.filter(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("_label"))
-    # ids first, so that the sort carries no text
-    ids = docs.select(id_col, F.char_length(text_col).alias("_n")).filter(where & (F.col("_n") <= chars // 32)).join(known, id_col)
+    usable = docs.filter(where & (F.char_length(text_col) <= chars // 32) & (F.col(text_col) != ""))
+    ids = usable.select(id_col, F.char_length(text_col).alias("_n")).join(known, id_col).groupBy(id_col, "_label").agg(F.max("_n").alias("_n"))
     picked = [ids.filter(F.col("_label") == k).orderBy(F.xxhash64(id_col, F.lit(42)), id_col).limit(rows) for k in (0, 1)]
-    picked = F.broadcast(picked[0].unionByName(picked[1]).select(id_col, "_label"))  # at most 2 * rows ids
-    got = docs.filter(where).select(id_col, text_col).join(picked, id_col).select(id_col, text_col, "_label").collect()
-    got = sorted((r for r in got if r[1]), key=lambda r: (str(r[0]), r[1]))
+    found = sorted(picked[0].unionByName(picked[1]).collect(), key=lambda r: str(r[0]))
+    np.random.default_rng(0).shuffle(found)
+    taken, n = [], 0
+    for r in found:
+        if n + r["_n"] <= chars:
+            taken.append((r[0], int(r["_label"])))
+            n += r["_n"]
+    if not taken:
+        return [], np.zeros(0, np.int64)
+    chosen = docs.sparkSession.createDataFrame(taken, T.StructType([docs.schema[id_col], T.StructField("_label", T.IntegerType())]))
+    met = usable.select(id_col, text_col).join(F.broadcast(chosen), id_col)
+    got = met.groupBy(id_col, "_label").agg(F.min(text_col).alias("_text")).collect()
+    got = sorted(got, key=lambda r: str(r[0]))
     np.random.default_rng(0).shuffle(got)
-    texts, ys, n = [], [], 0
-    for _, text, label in got:
-        if n + len(text) <= chars:
-            texts.append(text)
-            ys.append(label)
-            n += len(text)
-    return texts, np.array(ys, dtype=np.int64)
+    return [r["_text"] for r in got], np.array([r["_label"] for r in got], dtype=np.int64)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """docs with score_col (double) in place of a column of that name; a null, empty or letterless text has the score of no words."""
+    """docs with score_col (double) in place of a column of that name.
+
+    A null, empty or letterless text has the score of no words. A very long text is scored in slices of whole windows, so its
+    score is that of the text in one. Rows stay as they are, repeated ones too, and equal texts get equal scores; other columns,
+    whatever their names, pass through; an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.per_gram, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            out, a = [np.zeros(0)], 0
-            while a < len(texts):
-                b, n = a, 0
-                while b < len(texts) and (b == a or n + len(texts[b]) <= CHUNK):
-                    n += len(texts[b])
-                    b += 1
-                out.append(m.scores(texts[a:b]))
-                a = b
-            yield batch.append_column(score_col, pa.array(np.concatenate(out)))
+            yield batch.append_column(score_col, pa.array(m.scores(texts)))
 
     own = docs.drop(score_col)
     return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField(score_col, T.DoubleType())]))

@@ -2,9 +2,9 @@
 
 Only the histogram of piece lengths decides which lengths share a sequence, and it has as many entries as a sequence has
 tokens, however large the corpus is. A configuration linear program over it is solved by multiplicative weights: each
-length has a price, a knapsack dynamic program finds the fullest-priced way to fill a sequence, and the prices of the
-lengths that it covers fall. Configurations are rounded down and what remains is packed best-fit decreasing, in bulk by
-length. Each piece then finds its place from its rank among the pieces of its length.
+length has a price, a bounded knapsack dynamic program finds the fullest-priced way to fill a sequence, whole sequences are
+filled so, and the prices of the lengths they cover fall. Only the last few sequences are packed best-fit decreasing. Each
+piece then finds its place from its rank among the pieces of its length.
 """
 
 from __future__ import annotations
@@ -24,9 +24,17 @@ from terravec.llm.common import cut, table
 
 CAPACITY = 2048
 SEPARATOR = 0
-#: Rounds of the multiplicative weights.
-ROUNDS = 400
-RATE = 2.0
+#: Parts in which the multiplicative weights hand out the sequences.
+ROUNDS = 128
+#: Learning rates, in the order they are tried. The first only breaks ties between equally full sequences.
+RATES = (1 / 4096, 0.5, 2.0, 8.0)
+#: Share over the lower bound of sequences at which no further rate is tried.
+ENOUGH = 0.0005
+LEAD = 0.5
+#: The knapsack chooses from so many lengths of each band.
+BANDS, PER_BAND = 16, 24
+#: So many sequences at the end are packed best-fit.
+LAST = 4
 #: Pieces of one length are ranked in so many buckets, by a hash of document and piece.
 BUCKETS = 256
 #: Entries of each of the two generations of a worker's cache of words.
@@ -117,61 +125,62 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
-def fill(price: np.ndarray, available: np.ndarray, capacity: int) -> tuple[int, ...]:
-    """Knapsack: the lengths of greatest total price that fit together (repeats allowed as far as there are pieces)."""
-    lengths = np.flatnonzero(available)
-    value = np.zeros(capacity + 1)
-    taken = np.zeros(capacity + 1, dtype=np.int64)
-    p = price[lengths]
-    for room in range(1, capacity + 1):
-        k = np.searchsorted(lengths, room, side="right")
-        if k:
-            worth = value[room - lengths[:k]] + p[:k]
-            best = int(worth.argmax())
-            value[room], taken[room] = worth[best], lengths[best]
-        if value[room - 1] >= value[room]:
-            value[room], taken[room] = value[room - 1], 0
+def candidates(ahead: np.ndarray, left: np.ndarray, capacity: int, bands: int = BANDS, per_band: int = PER_BAND) -> np.ndarray:
+    """The lengths that the knapsack chooses from: of each band of lengths, those least ahead (so highest in price for their size)."""
+    have = np.flatnonzero(left)
+    band = have * bands // (capacity + 1)
+    order = np.lexsort((-have, ahead[have], band))
+    rank = np.arange(len(have)) - np.searchsorted(band[order], band[order])
+    return np.sort(have[order[rank < per_band]])
+
+
+def fill(price: np.ndarray, left: np.ndarray, capacity: int, lengths: np.ndarray) -> tuple[int, ...]:
+    """Bounded knapsack by dynamic programming: of these lengths, each as often as pieces are left, those of greatest total price
+    that fit together. A length's pieces are taken in powers of two."""
+    value, spare = np.zeros(capacity + 1), np.empty(capacity + 1)
+    items, taken = [], []
+    for length in lengths.tolist():
+        many, size = min(int(left[length]), capacity // length), 1
+        while many > 0:
+            n = min(size, many)
+            many, size = many - n, size * 2
+            room = value[length * n :]
+            with_it = spare[: len(room)]
+            np.add(value[: len(room)], price[length] * n, out=with_it)
+            items.append((length, n))
+            taken.append(with_it > room)
+            np.maximum(room, with_it, out=room)
     out: list[int] = []
-    room, left = capacity, Counter()
-    while room > 0:
-        length = int(taken[room])
-        if length and left[length] < available[length]:
-            out.append(length)
-            left[length] += 1
-        room -= length or 1
+    room = capacity
+    for (length, n), better in zip(reversed(items), reversed(taken), strict=True):
+        if room >= length * n and better[room - length * n]:
+            out += [length] * n
+            room -= length * n
     return tuple(sorted(out, reverse=True))
 
 
-def configurations(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, rate: float = RATE) -> dict[tuple[int, ...], int]:
-    """The linear program's configurations with their numbers rounded down, never more of a length than there are pieces.
+def configurations(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, rate: float = RATES[0]) -> tuple[dict[tuple[int, ...], int], np.ndarray]:
+    """The linear program's configurations in whole numbers, and the pieces that are left for the last sequences.
 
-    counts[length] pieces of each length; sum(counts * length) / capacity sequences are the least that can do. Each of the
-    rounds hands out an equal part of them to the knapsack's configuration at the present prices. Prices start in
-    proportion to length, which is what they are when all sequences can be full, and fall by a factor for each share of a
-    length's pieces that is covered ahead of the others.
+    counts[length] pieces of each length; sum(counts * length) / capacity sequences are the least that can do. A round hands
+    out the knapsack's configuration at the present prices: a ``rounds``-th part of all sequences, rounded to whole ones, but no
+    more than pieces are left; so rounding never leaves a surplus and the next round solves for what is left. A price is in
+    proportion to length, which is what it is when all sequences can be full, times exp(-rate * ahead), ahead being by how much
+    the covered share of the length's pieces is before that of all pieces. Long pieces should be ahead by LEAD times their
+    length, for what comes last has to be easy to place.
     """
-    n = counts.astype(np.float64)
-    if not n.sum():
-        return {}
-    size = np.arange(len(counts)) / capacity
-    step = np.ceil((n * size).sum()) / rounds
-    covered, numbers = np.zeros(len(counts)), Counter()
-    for t in range(rounds):
-        ahead = covered / np.maximum(n, 1) - t / rounds
-        price = np.where(n > 0, size * np.exp(-rate * ahead), 0.0)
-        config = fill(price, counts, capacity)
-        numbers[config] += step
-        for length in config:
-            covered[length] += step
-    left, whole = counts.copy(), {}
-    for config, x in numbers.items():
+    size, left, numbers = np.arange(len(counts)), counts.copy(), Counter()
+    total = int((counts * size).sum())
+    step = max(1, -(-total // (capacity * rounds)))
+    while (rest := int((left * size).sum())) > LAST * capacity:
+        ahead = (counts - left) / np.maximum(counts, 1) - (1 - rest / total) - LEAD * size / capacity
+        config = fill(size * np.exp(-rate * np.clip(ahead, -1, 1)), left, capacity, candidates(ahead, left, capacity))
         needs = Counter(config)
-        times = min(int(x), *(int(left[k]) // m for k, m in needs.items()))
-        if times:
-            whole[config] = times
-            for k, m in needs.items():
-                left[k] -= times * m
-    return whole
+        times = min(step, *(int(left[k]) // m for k, m in needs.items()))
+        numbers[config] += times
+        for k, m in needs.items():
+            left[k] -= times * m
+    return dict(numbers), left
 
 
 def best_fit_decreasing(counts: np.ndarray, capacity: int = CAPACITY) -> dict[tuple[int, ...], int]:
@@ -202,16 +211,22 @@ def best_fit_decreasing(counts: np.ndarray, capacity: int = CAPACITY) -> dict[tu
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> dict[tuple[int, ...], int]:
-    """Configurations for exactly these pieces: the rounded program with its rest best-fit, or all best-fit where that takes fewer."""
-    whole = Counter(configurations(counts, capacity, rounds))
-    rest = counts.copy()
-    for config, n in whole.items():
-        for length in config:
-            rest[length] -= n
-    for config, n in best_fit_decreasing(rest, capacity).items():
-        whole[config] += n
-    plain = best_fit_decreasing(counts, capacity)
-    return plain if sum(plain.values()) < sum(whole.values()) else dict(whole)
+    """Configurations for exactly these pieces: those of the program, and the last LAST sequences best-fit.
+
+    A low rate does where full sequences abound, a high one where lengths go badly together. Rates are tried in turn until the
+    count is within ENOUGH of its lower bound; else the one with the fewest sequences counts.
+    """
+    enough = -(-int((counts * np.arange(len(counts))).sum()) // capacity) * (1 + ENOUGH)
+    best: Counter = Counter()
+    for rate in RATES:
+        numbers, left = configurations(counts, capacity, rounds, rate)
+        found = Counter(numbers)
+        found.update(best_fit_decreasing(left, capacity))
+        if not best or found.total() < best.total():
+            best = found
+        if best.total() <= enough:
+            break
+    return dict(best)
 
 
 def places(configs: dict[tuple[int, ...], int]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -244,7 +259,8 @@ def packed(parts: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) ->
         counts[length] = n
     shared = parts.sparkSession.sparkContext.broadcast(places(plan(counts, capacity, rounds)))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n")).drop("_n")
-    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc", "piece")) - 1)
+    tie = [c for c in ("ids_crc32",) if c in parts.columns]
+    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc", "piece", *tie)) - 1)
     ranked = ranked.join(before, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before")).select(*parts.columns, "_rank")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,8 +281,9 @@ def packed(parts: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) ->
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(doc, piece, start, length, ids_crc32 [, ids], sequence_id, offset) of all pieces.
 
-    Null and empty texts are one piece of one id. Rows that share an id are packed each by itself. An empty table gives an
-    empty result.
+    Null and empty texts are one piece of one id; a text of any length is cut into as many pieces as it takes, all but the last
+    full. Rows that share an id, repeated ones too, are packed each by itself; which of equal rows gets which place is of no
+    account. Null ids are ids. Other columns of docs aren't looked at. An empty table gives an empty result.
     """
     return packed(cut(pieces(docs, path or tokenizer_path(), id_col, text_col, capacity, with_ids)), capacity)
 

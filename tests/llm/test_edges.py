@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for each operator."""
 
 import hashlib
+import itertools
 import zlib
 
 import numpy as np
@@ -178,6 +179,48 @@ def test_packing_counts():
     assert sum(plan.values()) <= sum(packing.best_fit_decreasing(counts).values())
 
 
+def lengths_of(sf_dir):
+    ids_of, counts = packing.word_ids(packing.tokenizer_path()), np.zeros(packing.CAPACITY + 1, dtype=np.int64)
+    for (text,) in duck("SELECT text FROM documents", sf_dir).itertuples(index=False):
+        n = len(ids_of.of(text or "")) // 4 + 1
+        counts[packing.CAPACITY] += n // packing.CAPACITY
+        if n % packing.CAPACITY:
+            counts[n % packing.CAPACITY] += 1
+    return counts
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_packing_program_decides(sf):
+    """Over nine in ten pieces come from the program's configurations, and these take no more sequences than best-fit."""
+    counts = lengths_of(f"/root/testdata/{sf}")
+    by_program, left = packing.configurations(counts)
+    assert sum(len(c) * n for c, n in by_program.items()) == counts.sum() - left.sum() > 0.9 * counts.sum()
+    assert sum(packing.plan(counts).values()) <= sum(packing.best_fit_decreasing(counts).values())
+
+
+def test_packing_knapsack_is_exact():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        left = np.zeros(41, dtype=np.int64)
+        left[rng.integers(1, 30, 4)] = rng.integers(1, 4, 4)
+        price = rng.random(41)
+        lengths = np.flatnonzero(left)
+        got = packing.fill(price, left, 40, lengths)
+        worth = [sum(price[k] * n for k, n in zip(lengths, many, strict=True)) for many in itertools.product(*(range(int(left[k]) + 1) for k in lengths)) if sum(k * n for k, n in zip(lengths, many, strict=True)) <= 40]
+        assert sum(got) <= 40 and all(got.count(k) <= left[k] for k in got) and abs(sum(price[k] for k in got) - max(worth)) < 1e-9
+
+
+def test_packing_odd_lengths():
+    """Lengths that don't go well together need a higher rate."""
+    rng = np.random.default_rng(0)
+    for _ in range(6):
+        counts = np.zeros(2049, dtype=np.int64)
+        k = int(rng.integers(2, 40))
+        counts[rng.integers(300, 1400, k)] += rng.integers(1, 1000, k)
+        plan = packing.plan(counts)
+        assert sum(plan.values()) <= 1.01 * sum(packing.best_fit_decreasing(counts).values())
+
+
 def test_embedding_dedup(spark):
     v = [1.0] + [0.0] * 7
     near = [0.99, 0.05] + [0.0] * 6

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terravec.operators.graph import components
 from terravec.operators.shared import cut, shared_dir
 
-__all__ = ["ascii_lower", "components", "cut", "partitions", "shared_dir", "stored", "table", "tile_pairs", "words"]
+__all__ = ["ascii_lower", "boxed", "components", "cut", "partitions", "shared_dir", "stored", "table", "tile_pairs", "unboxed", "unused", "words"]
 
 #: The white space of the contracts: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
@@ -29,6 +29,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def boxed(df: DataFrame) -> DataFrame:
+    """df with all its columns in one struct _row, so that no column of an operator's own can clash with them."""
+    return df.select(F.struct(*(F.col(quoted(c)) for c in df.columns)).alias("_row"))
+
+
+def unboxed(df: DataFrame, columns: list[str], *added: str) -> DataFrame:
+    """The boxed columns and then added ones, which take the place of columns of their names."""
+    names = {a.lower() for a in added}
+    return df.select(*(F.col(f"_row.{quoted(c)}") for c in columns if c.lower() not in names), *added)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, all else untouched. Spark's lower() does just that on pure ASCII, and is far cheaper."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terravec.llm.common import SPACE, ascii_lower, cut, partitions, table
+from terravec.llm.common import SPACE, ascii_lower, boxed, cut, partitions, quoted, table, unboxed
 
 MIN_KEY_CHARS = 10
 SALTS = 64
@@ -54,19 +54,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Each document with n_lines, n_dropped, keep_gaps and kept_text beside its own columns (own columns of these names are replaced).
 
     keep_gaps is the bitmap: the number of kept lines before the first dropped one, between each two, and after the last.
-    A null text is one empty line; null ids count as one document that comes before all others; rows of one id are one
-    document, and each gets its own bitmap; an empty table gives an empty result.
+    A null text is one empty line, and its kept_text is empty; a text of any length is split whole; null ids count as one
+    document that comes before all others; rows of one id are one document, and each gets its own bitmap, repeated rows equal
+    ones; a line repeated within its first document stays there; an empty table gives an empty result. Other columns pass
+    through, whatever their names.
     """
-    maps = keep_bitmaps(docs, id_col, text_col, min_chars, salts).select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("dropped").alias("_dropped"))
-    own = docs.drop("n_lines", "n_dropped", "keep_gaps", "kept_text").withColumn("_h", F.xxhash64(F.col(text_col)))
-    met = own.join(maps, own[id_col].eqNullSafe(maps["_doc"]) & (own["_h"] == maps["_hash"]), "left").drop("_doc", "_hash", "_h")
-    met = met.withColumn("_lines", lines_of(F.col(text_col)))
-    met = met.withColumns({"n_lines": F.size("_lines").cast("long"), "n_dropped": F.coalesce(F.size("_dropped"), F.lit(0)).cast("long"), "_ends": F.concat(F.coalesce("_dropped", F.array().cast("array<int>")), F.array(F.size("_lines")))})
-    before = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get(F.col("_ends"), k - 1))
-    met = met.withColumn("keep_gaps", F.transform("_ends", lambda end, k: end - before(k) - 1))
-    kept = F.flatten(F.transform("_ends", lambda end, k: F.slice(F.col("_lines"), before(k) + 2, end - before(k) - 1)))
-    kept = F.when(F.col("n_dropped") == 0, F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    return met.withColumn("kept_text", kept).drop("_lines", "_ends", "_dropped")
+    maps = keep_bitmaps(docs, id_col, text_col, min_chars, salts)
+    id_, text = F.col(f"_row.{quoted(id_col)}"), F.col(f"_row.{quoted(text_col)}")
+    own = boxed(docs).withColumns({"_id": id_, "_hash": F.xxhash64(text)})
+    met = own.join(maps, own["_id"].eqNullSafe(maps["doc"]) & (own["_hash"] == maps["text_hash"]), "left").drop("_id", "_hash", "doc", "text_hash")
+    met = met.withColumn("lines", lines_of(text))
+    met = met.withColumns({"n_lines": F.size("lines").cast("long"), "n_dropped": F.coalesce(F.size("dropped"), F.lit(0)).cast("long"), "ends": F.concat(F.coalesce("dropped", F.array().cast("array<int>")), F.array(F.size("lines")))})
+    before = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get(F.col("ends"), k - 1))
+    met = met.withColumn("keep_gaps", F.transform("ends", lambda end, k: end - before(k) - 1))
+    kept = F.flatten(F.transform("ends", lambda end, k: F.slice(F.col("lines"), before(k) + 2, end - before(k) - 1)))
+    kept = F.when(F.col("n_dropped") == 0, F.coalesce(text, F.lit(""))).otherwise(F.array_join(kept, "\n"))
+    return unboxed(met.withColumn("kept_text", kept), docs.columns, "n_lines", "n_dropped", "keep_gaps", "kept_text")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,8 @@ SHINGLE_WORDS = 3
 RADIUS = 2
 SEGMENTS = 4
 PER_TILE = 16384
+#: A fingerprint with more rows than this meets its component in several parts, at most so many.
+COPIES, PARTS = 4096, 1024
 #: Pairs compared at once.
 BLOCK = 1 << 22
 
@@ -56,9 +58,10 @@ def _majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, fp long) of each row; a null, empty or blank text has fingerprint 0."""
-    hashed = shingle_hashes(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_t")), "_t", shingle).select("doc", "_h")
-    return hashed.mapInArrow(_majority, f"doc {docs.schema[id_col].dataType.simpleString()}, fp bigint")
+    """(doc, text_hash, fp long) of each row; a null, empty or blank text has fingerprint 0."""
+    own = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("_t"))
+    hashed = shingle_hashes(own, "_t", shingle).select("doc", "text_hash", "_h")
+    return hashed.mapInArrow(_majority, f"doc {docs.schema[id_col].dataType.simpleString()}, text_hash bigint, fp bigint")
 
 
 def neighbour_cells(radius: int, segments: int) -> list[tuple[int, ...]]:
@@ -80,7 +83,7 @@ def dealt_to_cells(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENT
     return near.filter(inside).select(*fps.columns, cell.alias("cell"), home.alias("home"))
 
 
-def _linked(radius: int, link_type: pa.DataType):
+def _linked(radius: int):
     def near(forest: Forest, fp: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
         step = max(1, BLOCK // max(1, len(right)))
         for a in range(0, len(left), step):
@@ -115,20 +118,27 @@ def fingerprint_links(reps: DataFrame, radius: int = RADIUS, segments: int = SEG
     keys = ["cell", "tile_i", "tile_j"]
     sorted_tiles = cells.repartition(partitions(reps.sparkSession), *keys).sortWithinPartitions(*keys)
     kind = reps.schema["rep"].dataType.simpleString()
-    return sorted_tiles.mapInArrow(_linked(radius, None), f"a {kind}, b {kind}")
+    return sorted_tiles.mapInArrow(_linked(radius), f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, radius: int = RADIUS, segments: int = SEGMENTS, per_tile: int = PER_TILE) -> DataFrame:
-    """(doc, fp, component): component is the smallest id whose text is reachable over links of fingerprints within radius.
+    """(doc, text_hash, fp, component) of each row: component is the smallest id whose text is reachable over links of
+    fingerprints within radius; text_hash is that of xxhash64.
 
-    Copies have one fingerprint and are linked through it. Rows with a null id get a component but never name one; a
-    component of only null ids is null. Texts without a word have fingerprint 0. An empty table gives an empty result.
+    Copies have one fingerprint and are linked through it. Repeated rows stay, and rows of one id with several texts may be in
+    several components. Rows with a null id get a component but never name one; a component of only null ids is null. Texts
+    without a word have fingerprint 0. Texts of any length are taken whole. Other columns aren't looked at. An empty table
+    gives an empty result.
     """
     fps = cut(fingerprints(docs, id_col, text_col, shingle))
-    reps = cut(fps.groupBy("fp").agg(F.min("doc").alias("rep")))
-    found = components(fingerprint_links(reps.filter("rep IS NOT NULL"), radius, segments, per_tile))
-    named = reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return fps.join(named, "fp").select("doc", "fp", "component")
+    reps = cut(fps.groupBy("fp").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n")))
+    found = components(fingerprint_links(reps.filter("rep IS NOT NULL").select("fp", "rep"), radius, segments, per_tile))
+    # a fingerprint of many copies is dealt over parts, and its component goes to each of them
+    parts = F.least(F.ceil(F.col("n") / COPIES), F.lit(PARTS)).cast("int")
+    named = reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    dealt = fps.join(reps.filter(F.col("n") > COPIES).select("fp", parts.alias("_parts")), "fp", "left")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("doc", "text_hash"), F.coalesce("_parts", F.lit(1))).cast("int"))
+    return dealt.join(named, ["fp", "part"]).select("doc", "text_hash", "fp", "component")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ embedding and filters are folded into tables by byte pair, so a window costs a f
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +26,10 @@ WIDTHS = (2, 3, 4)
 FILTERS = 8
 EMBEDDING = 8
 EPOCHS = 8
-#: Bounds of the labelled sample that is fitted: texts of each language, windows of each text.
+#: Bounds of the labelled sample that is fitted: texts of each language, of all languages, and windows of each text. With more
+#: languages than the second allows for, each still has one text.
 SAMPLE_ROWS = 500
+SAMPLE_TEXTS = 20_000
 SAMPLE_WINDOWS = 4
 UNKNOWN = "und"
 #: Windows scored at once.
@@ -44,6 +47,18 @@ def windows(text: str) -> np.ndarray:
     return out
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is alphabetic; of digits, fractions and Roman numerals none is."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
+def some_windows(text: str, seed: int, most: int = SAMPLE_WINDOWS) -> np.ndarray:
+    """Windows of a text with letters to learn from, drawn from the whole of it."""
+    w = windows(text)
+    w = w[_LETTER_BYTE[w].sum(axis=1) >= 8]
+    return w[np.random.default_rng(seed).permutation(len(w))[:most]]
+
+
 @dataclass
 class Net:
     classes: list[str]
@@ -97,19 +112,18 @@ class Net:
 
 
 def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS, seed: int = 42) -> Net:
-    """Adam on some windows of each text; a class for each language there is."""
-    classes = sorted(set(langs))
+    """A net of some windows of each text; a class for each language there is."""
+    xs = [some_windows(text, seed + k) for k, text in enumerate(texts)]
+    return fit_windows(np.concatenate(xs) if xs else np.zeros((0, WINDOW), np.uint8), [lang for lang, x in zip(langs, xs, strict=True) for _ in x], sorted(set(langs)), epochs, seed)
+
+
+def fit_windows(x: np.ndarray, langs: list[str], classes: list[str], epochs: int = EPOCHS, seed: int = 42) -> Net:
+    """Adam over windows and their languages."""
     net, rng = Net.new(classes, seed), np.random.default_rng(seed)
-    xs, ys = [], []
-    for text, lang in zip(texts, langs, strict=True):
-        w = windows(text)
-        w = w[_LETTER_BYTE[w].sum(axis=1) >= 8]
-        if len(w):
-            xs.append(w[rng.permutation(len(w))[:SAMPLE_WINDOWS]])
-            ys += [classes.index(lang)] * len(xs[-1])
-    if not xs or len(classes) < 2:
+    if not len(x) or len(classes) < 2:
         return net
-    x, y = np.concatenate(xs), np.array(ys)
+    at = {c: k for k, c in enumerate(classes)}
+    y = np.array([at[lang] for lang in langs])
     ms, vs, t = [np.zeros_like(p) for p in net.parameters()], [np.zeros_like(p) for p in net.parameters()], 0
     for epoch in range(epochs):
         order = rng.permutation(len(x))
@@ -170,7 +184,7 @@ class Tables:
         langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if not self.net.classes:
             return langs, scores
-        known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if t and has_letter(t)]
         sums = np.zeros((len(texts), len(self.net.classes)))
         weights = np.zeros(len(texts))
         held, owners, size = [], [], 0
@@ -201,28 +215,46 @@ class Tables:
         return langs, scores
 
 
-def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, where: Column, rows: int = SAMPLE_ROWS, max_classes: int = 256) -> tuple[list[str], list[str]]:
-    """Up to ``rows`` texts of each of the ``max_classes`` most frequent languages, by a hash of the id."""
-    known = docs.filter(where & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    most = F.broadcast(known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_classes).select(F.col(lang_col).alias("_class")))
-    ids = known.select(id_col, F.col(lang_col).alias("_class"), F.xxhash64(id_col, F.lit(42)).alias("_o")).join(most, "_class", "left_semi")
-    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("_o", id_col))
-    # the first of each salt, then of these the first, so that a frequent language isn't one task
-    few = ids.withColumn("_s", F.pmod("_o", F.lit(64))).withColumn("_r", first("_class", "_s")).filter(F.col("_r") <= rows)
-    picked = few.withColumn("_r", first("_class")).filter(F.col("_r") <= rows).select(id_col).distinct()
-    # a bounded part of a long text is enough to draw a few windows from; predictions use whole texts
-    start = (F.pmod(F.xxhash64(id_col), F.greatest(F.char_length(text_col) - 8192, F.lit(1))) + 1).cast("int")
-    got = known.join(F.broadcast(picked), id_col).select(id_col, F.substring(F.col(text_col), start, F.lit(8192)).alias("t"), lang_col).collect()
-    got = sorted(got, key=lambda r: (str(r[0]), r[1], r[2]))
-    return [r[1] for r in got], [r[2] for r in got]
+def labelled_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, where: Column, rows: int = SAMPLE_ROWS, texts: int = SAMPLE_TEXTS) -> tuple[np.ndarray, list[str], list[str]]:
+    """Windows of up to ``rows`` texts of each language (``texts`` in all), by a hash of the id: windows, their languages, all languages.
+
+    Windows are drawn from whole texts where the texts are, so that the driver gets windows only. A repeated id counts once.
+    """
+    known = docs.filter(where & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
+    if not sizes:
+        return np.zeros((0, WINDOW), np.uint8), [], []
+    rows = max(1, min(rows, texts // len(sizes)))
+    # a share that leaves some four times the rows that are wanted, so that a frequent language isn't one large task
+    share = docs.sparkSession.createDataFrame([(lang, min(1.0, 4.0 * rows / n)) for lang, n in sizes.items()], T.StructType([T.StructField("lang", docs.schema[lang_col].dataType), T.StructField("share", T.DoubleType())]))
+    order = F.xxhash64("doc", F.lit(42))
+    ids = known.select("doc", "lang").join(F.broadcast(share), "lang").filter(F.pmod(order, F.lit(1 << 20)) < F.ceil(F.col("share") * (1 << 20))).select("doc", "lang").distinct()
+    picked = ids.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc"))).filter(F.col("_r") <= rows).select("doc").distinct()
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = [some_windows(t.as_py(), zlib.crc32(str(d.as_py()).encode())).tobytes() for d, t in zip(b.column("doc"), b.column("text"), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("lang"), pa.array(raw, pa.binary())], names=["doc", "lang", "raw"])
+
+    met = known.join(F.broadcast(picked), "doc")  # at most ``texts`` ids
+    found = met.mapInArrow(drawn, T.StructType([met.schema["doc"], met.schema["lang"], T.StructField("raw", T.BinaryType())]))
+    got = found.groupBy("doc").agg(F.min(F.struct("lang", "raw")).alias("one")).select("doc", "one.*").collect()
+    got = sorted(got, key=lambda r: str(r["doc"]))
+    xs = [np.frombuffer(bytes(r["raw"]), dtype=np.uint8).reshape(-1, WINDOW) for r in got]
+    return np.concatenate([np.zeros((0, WINDOW), np.uint8), *xs]), [r["lang"] for r, x in zip(got, xs, strict=True) for _ in x], sorted(sizes)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", where: Column | None = None) -> Net:
-    return fit(*labelled_sample(docs, id_col, text_col, lang_col, F.lit(True) if where is None else where))
+    return fit_windows(*labelled_windows(docs, id_col, text_col, lang_col, F.lit(True) if where is None else where))
 
 
 def identified(docs: DataFrame, net: Net, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score in place of columns of those names; ``und`` and 0 for null texts and those without a letter."""
+    """docs with lang_pred and score in place of columns of those names; ``und`` and 0 for null texts and those without a letter.
+
+    All windows of a text count, however long it is; of equally likely languages the first in order is taken. Rows stay as they
+    are, repeated ones with equal results; other columns pass through, whatever their names; an empty table gives an empty
+    result. A net that knows one language predicts it, and one that knows none ``und``.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import time
 import zlib
 
 import numpy as np
@@ -129,6 +130,18 @@ def test_langid(docs, empty):
     assert {r.lang_pred for r in langid.identified(docs, langid.train(empty)).collect()} == {"und"}
 
 
+def test_langid_letters():
+    net = langid.fit(["ein kurzer Text und noch einer " * 9, "a short text and another one " * 9], ["de", "en"])
+    langs, _ = langid.Tables(net).predict(["½ ² Ⅷ 12 --", "½ a"])
+    assert langs[0] == "und" and langs[1] != "und"
+
+
+def test_langid_every_language_counts(spark):
+    rows = [(100 * k + i, f"{chr(0x4E00 + k)} word{k} " * 40, f"l{k:03d}") for k in range(300) for i in range(2)]
+    x, langs, classes = langid.labelled_windows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", F.lit(True), texts=400)
+    assert len(classes) == 300 == len(set(langs)) and len(x) == len(langs)
+
+
 def test_langid_windows_cover_the_text():
     assert sum(bytes(w).rstrip(b"\0") != b"" for w in langid.windows("a" * 1000)) == -(-1000 // langid.WINDOW)
 
@@ -291,6 +304,38 @@ def test_html_keeps_words_within_a_line():
     assert html_text.main_text(page) == "One word and a link, x=1 is kept.\n\nThe end here."
 
 
+def test_html_weights_decide():
+    """The same page under the fitted weights, and under their opposites."""
+    prose, other = "words of the story that is told here " * 6, "what stands beside it on the page " * 6
+    body = f"<h1>Head</h1><p>{prose}</p><p>{prose}</p>"
+    page = f"<body><nav><a href='/'>Home</a></nav><article>{body}</article><section><p>{other}</p></section></body>"
+    w = html_text.fit([page] * 20)
+    told = f"Head\n\n{prose.strip()}\n\n{prose.strip()}"
+    assert html_text.main_text(page, w) == told
+    against = html_text.Weights(w.tag, {k: -v for k, v in w.word.items()}, {k: -v for k, v in w.name.items()}, w.other_tag, w.link)
+    assert html_text.main_text(page, against) == other.strip()
+    # pages without a main element
+    for bare in (f"<body><div class='menu'><a href='/a'>A</a> <a href='/b'>B</a></div><div class='post'>{body}</div><div class='footer-links'><a href='/c'>C</a></div></body>", f"<body><div id='x'>{body}</div><div class='comment-list'><p>{other}</p></div></body>"):
+        assert html_text.main_text(bare, w) == told
+
+
+def test_html_names_within_the_article():
+    prose = "words of the story that is told here " * 6
+    for inside in (f"<section class='related-work'><p>{prose}</p></section>", f"<p class='search'>{prose}</p>", f"<object><p>{prose}</p></object>"):
+        assert html_text.main_text(f"<article><p>First words of it.</p>{inside}</article>") == f"First words of it.\n\n{prose.strip()}"
+    for beside in ("<div class='ad'>Buy this now</div>", "<div class='notice'>We changed our terms</div>", "<div class='comments-area'><p>I like this one</p></div>", "<ul class='related-posts'><li><a href='/x'>Another page</a></li></ul>", "<form><p>Your name</p></form>", "<aside><p>About us</p></aside>"):
+        assert html_text.main_text(f"<article><p>{prose}</p>{beside}<p>Last words of it.</p></article>") == f"{prose.strip()}\n\nLast words of it."
+    long = "<!-- " + "x" * 900 + " -->"
+    assert html_text.main_text(f"<article><header>{long}<div>{long}<h1>Title</h1></div></header><p>{prose}</p></article>") == f"Title\n\n{prose.strip()}"
+
+
+def test_html_is_linear_in_the_page():
+    began = time.time()
+    for page in ("<nav>" * 50_000, "<article>" + "<header>" * 50_000, "<form>" * 50_000 + "x", "<script>" * 50_000, "<span class='ad'>" * 50_000, "<header><b>" * 20_000):
+        html_text.main_text(page)
+    assert time.time() - began < 30
+
+
 def test_html_without_article_tags():
     pages = [r[0] for r in duck("SELECT html FROM pages ORDER BY page_id").itertuples(index=False)]
     w = html_text.fit(pages[:25])
@@ -312,15 +357,34 @@ def test_chat(spark):
 
 def test_chat_parts_equal_the_whole():
     rng = np.random.default_rng(3)
-    m = chat.fit([[("user", "why?"), ("assistant", "Because."), ("user", "ok."), ("assistant", "Good.")]] * 5 + [[("system", "Short"), ("user", "what?")]])
+    turns = [("user", "why?"), ("assistant", "Because."), ("user", "ok."), ("assistant", "Good.")]
+    shown_turns = lambda c: [(r, chat.features(t)) for r, t in c]
+    m = chat.fit([shown_turns(turns)] * 5 + [shown_turns([("system", "Short"), ("user", "what?")])])
     shown = np.array([[int(rng.integers(f)) for f in chat._FEATURES] for _ in range(40)])
-    new = np.array([True] * 40)
-    whole = chat.viterbi(m, shown, new, None, True, None)
+    whole = chat.viterbi(m, shown, None, True, None)
     cuts = [0, 7, 8, 25, 40]
     spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-    last = chat.through([chat.transfer(m, shown[a:b], new[a:b], i == 0) for i, (a, b) in enumerate(spans)])
-    parts = [chat.viterbi(m, shown[a:b], new[a:b], last[i - 1] if i else None, i == 0, last[i]) for i, (a, b) in enumerate(spans)]
+    last = chat.through([chat.transfer(m, shown[a:b], i == 0) for i, (a, b) in enumerate(spans)])
+    parts = [chat.viterbi(m, shown[a:b], last[i - 1] if i else None, i == 0, last[i]) for i, (a, b) in enumerate(spans)]
     assert (np.concatenate(parts) == whole).all()
+    # against every way to give roles to a few messages
+    few = shown[:6]
+    e, k = m.emissions(few), len(m.roles)
+    worth = {w: m.start[w[0]] + sum(e[i, r] for i, r in enumerate(w)) + sum(m.move[a, b] for a, b in zip(w[:-1], w[1:], strict=True)) for w in itertools.product(range(k), repeat=6)}
+    assert abs(worth[tuple(chat.viterbi(m, few, None, True, None).tolist())] - max(worth.values())) < 1e-9
+
+
+def test_chat_transcripts(spark):
+    m = chat.fit([[("user", chat.features("why?")), ("assistant", chat.features("Because."))]] * 9)
+    text = "User: What is it?\nIt is large.\nAssistant: A: a lake.\n\nIt is cold.\nUser: Thanks"
+    docs = spark.createDataFrame([(1, text), (2, "Question: is it so?"), (3, "### Human: hello\n### Assistant: Good day"), (4, None), (5, "User: one\nUser: two")], "doc_id long, text string")
+    out = {}
+    for r in sorted(chat.parse_transcripts(docs, m).collect(), key=lambda r: (r.conv, r.part)):
+        out.setdefault(r.conv, []).append(r.rendered)
+    end = "\n<|end|>\n"
+    assert out[1] == [f"<|user|>\nWhat is it?\nIt is large.{end}", f"<|assistant|>\nA: a lake.\n\nIt is cold.{end}", f"<|user|>\nThanks{end}"]
+    assert out[2] == [f"<|user|>\nQuestion: is it so?{end}"] and out[3] == [f"<|user|>\nhello{end}", f"<|assistant|>\nGood day{end}"]
+    assert len(out[4]) == 1 and len(out[5]) == 1
 
 
 def test_sentencepiece(docs, empty):

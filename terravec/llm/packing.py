@@ -29,7 +29,7 @@ ROUNDS = 128
 #: Learning rates, in the order they are tried. The first only breaks ties between equally full sequences.
 RATES = (1 / 4096, 0.5, 2.0, 8.0)
 #: Share over the lower bound of sequences at which no further rate is tried.
-ENOUGH = 0.0005
+ENOUGH = 0.002
 LEAD = 0.5
 #: The knapsack chooses from so many lengths of each band.
 BANDS, PER_BAND = 16, 24

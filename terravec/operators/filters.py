@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_IMAGE_BYTES = 10_000
@@ -144,7 +144,8 @@ def distinct_features(features: dict[str, list[int]]) -> list[int]:
 
 def marker_strength(df: DataFrame, value: str = "value", by: str = "neuron") -> DataFrame:
     """Adds strength: 8 (1 + 6 min-max share) per feature; a single row, or a constant feature, 1 times 8 or 1."""
-    w = Window.partitionBy(by)
-    lo, hi, n = F.min(value).over(w), F.max(value).over(w), F.count(F.lit(1)).over(w)
+    ends = df.groupBy(by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    lo, hi = F.col("_lo"), F.col("_hi")
     share = F.when(hi > lo, (F.col(value) - lo) / (hi - lo)).otherwise(0.0)
-    return df.withColumn("strength", F.when(n == 1, F.lit(1.0)).otherwise(8.0 * (1.0 + 6.0 * share)))
+    out = df.join(ends, by).withColumn("strength", F.when(F.col("_n") == 1, F.lit(1.0)).otherwise(8.0 * (1.0 + 6.0 * share)))
+    return out.select(*(c for c in df.columns if c != "strength"), "strength")

@@ -6,7 +6,7 @@ order column that the caller gives.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,17 +15,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terravec.functions import geo
+from terravec.operators.shared import cut
 
 RING = T.ArrayType(T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())]))
 POLYGONS = T.StructType([T.StructField("region", T.StringType()), T.StructField("rings", T.ArrayType(RING))])
 SEED = 42
 
 
+#: (key, number of the draw) -> a column in [0, 1).
+Draw = Callable[[Column, int], Column]
+#: Up to so many first rows are taken by one task from each partition's own; more are cut by ranks.
+TAKE = 10_000
+
+
 def uniform(key: Column, seed: int, salt: int = 0) -> Column:
     """In [0, 1), from the upper 53 bits of a hash."""
     return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed), F.lit(salt)), 11).cast("double") / float(1 << 53)
 
 
+def seeded(seed: int) -> Draw:
+    return lambda key, salt: uniform(key, seed, salt)
+
+
 def keyed_order(key: str, seed: int = SEED) -> Column:
     return F.xxhash64(F.col(key), F.lit(seed))
 
@@ -101,27 +112,36 @@ def on_sphere(u: Column, v: Column, lat_range: tuple[float, float] = (-90.0, 90.
     return u * 360 - 180, F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), lo + v * (hi - lo)))))
 
 
-def sphere_points(spark: SparkSession, draws: int, seed: int = SEED, lat_range: tuple[float, float] = (-90.0, 90.0), start: int = 0) -> DataFrame:
+def sphere_points(spark: SparkSession, draws: int, seed: int = SEED, lat_range: tuple[float, float] = (-90.0, 90.0), start: int = 0, draw: Draw | None = None) -> DataFrame:
     """draw_id, lon, lat: uniform on the sphere between two latitudes."""
-    d = spark.range(start, start + draws).withColumnRenamed("id", "draw_id")
-    lon, lat = on_sphere(uniform(F.col("draw_id"), seed, 0), uniform(F.col("draw_id"), seed, 1), lat_range)
+    d, of = spark.range(start, start + draws).withColumnRenamed("id", "draw_id"), draw or seeded(seed)
+    lon, lat = on_sphere(of(F.col("draw_id"), 0), of(F.col("draw_id"), 1), lat_range)
     return d.select("draw_id", lon.alias("lon"), lat.alias("lat"))
 
 
-def union_draws(spark: SparkSession, polygons: DataFrame, n: int, seed: int = SEED, oversample: int = 10, max_rounds: int = 20) -> DataFrame:
-    """Ranges of draws, appended until n are within the polygons: the first n of them in draw order."""
-    found, start = None, 0
+def union_draws(spark: SparkSession, polygons: DataFrame, n: int, seed: int = SEED, oversample: int = 10, max_rounds: int = 20, draw: Draw | None = None) -> DataFrame:
+    """Ranges of draws, appended until n are within the polygons: the first n of them in draw order. Each range is checkpointed and
+    counted once."""
+    found, start, have = None, 0, 0
     for _ in range(max_rounds):
-        some = points_within(sphere_points(spark, n * oversample, seed, start=start), polygons)
+        some = cut(points_within(sphere_points(spark, n * oversample, seed, start=start, draw=draw), polygons))
         found = some if found is None else found.unionByName(some)
-        start += n * oversample
-        if found.count() >= n:
+        start, have = start + n * oversample, have + some.count()
+        if have >= n:
             return take_first(found, n)
     raise ValueError(f"fewer than {n} of {start} draws are within the polygons")
 
 
 def take_first(df: DataFrame, n: int, order: str = "draw_id") -> DataFrame:
-    return df.orderBy(order).limit(n)
+    """The first n rows by a key."""
+    return _first(df, n, F.col(order), order)
+
+
+def _first(df: DataFrame, n: int, order: Column, key: str) -> DataFrame:
+    """The first n rows by (order, key). Beyond TAKE, no task gathers them: their ranks are cut at n."""
+    if n <= TAKE:
+        return df.withColumn("_o", order).orderBy("_o", key).limit(n).drop("_o")
+    return ranked_by(df, order, key).filter(F.col("_rank") < n).drop("_rank")
 
 
 def grid_in_polygon(polygons: DataFrame, step: float = 0.5) -> DataFrame:
@@ -143,6 +163,7 @@ def coord_grid(spark: SparkSession, height: int, width: int) -> DataFrame:
 
 
 def coord_grid_of_split(grid: DataFrame, splits: DataFrame, split: int) -> DataFrame:
+    """The grid's points whose cell is of one split."""
     return grid.join(splits.filter(F.col("split") == split).select("row", "col"), ["row", "col"])
 
 
@@ -159,9 +180,10 @@ def checkerboard_split(mask: DataFrame, cell_size: int, train_amount: float = 1.
     return s.join(out, ["row", "col"], "left").select("row", "col", F.when(F.col("_out"), 0).otherwise(F.col("split")).alias("split"))
 
 
-def random_locations(spark: SparkSession, n: int, kind: str = "uniform", seed: int = SEED) -> DataFrame:
+def random_locations(spark: SparkSession, n: int, kind: str = "uniform", seed: int = SEED, draw: Draw | None = None) -> DataFrame:
     """id, x, y in [-1, 1]: uniform in the square, or on the sphere."""
-    u, v = uniform(F.col("id"), seed, 0), uniform(F.col("id"), seed, 1)
+    of = draw or seeded(seed)
+    u, v = of(F.col("id"), 0), of(F.col("id"), 1)
     return spark.range(n).select("id", *located_draw(u, v, kind))
 
 
@@ -191,15 +213,18 @@ def rbf_anchors(points: DataFrame, n: int, key: str = "point_id", seed: int = SE
     return draws.join(ranked, "_rank").drop("_rank")
 
 
-def relative_anchors(n: int, radius: float, seed: int = SEED) -> list[tuple[float, float]]:
-    """The origin first, then uniform draws within the radius of either axis."""
-    rng = np.random.default_rng(seed)
-    return [(0.0, 0.0), *map(tuple, rng.uniform(-radius, radius, (n - 1, 2)).tolist())]
+def relative_anchors(n: int, radius: float, seed: int = SEED, draws: np.ndarray | None = None) -> list[tuple[float, float]]:
+    """The origin first, then uniform draws within the radius of either axis; draws: (n - 1, 2) numbers in [0, 1)."""
+    u = np.random.default_rng(seed).random((n - 1, 2)) if draws is None else np.asarray(draws, dtype=float)
+    return [(0.0, 0.0), *map(tuple, ((2 * u - 1) * radius).tolist())]
 
 
-def rff_params(n: int, sigma: float, seed: int = SEED) -> tuple[list[tuple[float, float]], list[float]]:
-    rng = np.random.default_rng(seed)
-    return [tuple(x) for x in rng.normal(0, np.sqrt(sigma), (n, 2)).tolist()], rng.uniform(0, 2 * np.pi, n).tolist()
+def rff_params(n: int, sigma: float, seed: int = SEED, draws: np.ndarray | None = None) -> tuple[list[tuple[float, float]], list[float]]:
+    """n normal directions of variance sigma, and shifts even in a full turn. draws: (n, 3) numbers in [0, 1); two of them make a
+    direction by the polar form of a normal pair."""
+    u = np.random.default_rng(seed).random((n, 3)) if draws is None else np.asarray(draws, dtype=float)
+    far, turn = np.sqrt(-2 * sigma * np.log(1 - u[:, 0])), 2 * np.pi * u[:, 1]
+    return list(zip((far * np.cos(turn)).tolist(), (far * np.sin(turn)).tolist(), strict=True)), (2 * np.pi * u[:, 2]).tolist()
 
 
 def ranked_by(df: DataFrame, order: Column, key: str) -> DataFrame:
@@ -208,8 +233,6 @@ def ranked_by(df: DataFrame, order: Column, key: str) -> DataFrame:
     Rows are range-partitioned and sorted; the partitions' counts (a number for each) give each one its start. The sorted
     table is checkpointed, as a second run could draw other borders.
     """
-    from terravec.operators.shared import cut
-
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     s = df.withColumn("_order", order).repartitionByRange(parts, "_order", key).sortWithinPartitions("_order", key)
     s = cut(s.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
@@ -226,8 +249,7 @@ def ranked_by(df: DataFrame, order: Column, key: str) -> DataFrame:
 
 def sample_n(df: DataFrame, n: int, key: str, seed: int = SEED, order: Column | None = None) -> DataFrame:
     """Exactly n rows without replacement (all if there are no more), by order, then key."""
-    o = F.xxhash64(F.col(key), F.lit(seed)) if order is None else order
-    return df.withColumn("_o", o).orderBy("_o", key).limit(n).drop("_o")
+    return _first(df, n, F.xxhash64(F.col(key), F.lit(seed)) if order is None else order, key)
 
 
 def sample_fraction(df: DataFrame, fraction: float, key: str, seed: int = SEED, order: Column | None = None) -> DataFrame:

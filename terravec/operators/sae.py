@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravec.functions.arrays import doubles, l2_normalize, norm
+from terravec.operators.vectors import blocks_of
 
 DEAD_AFTER_ROWS = 10_000_000
 EMA_BETA, EMA_FROM_STEP = 0.999, 300
@@ -116,19 +117,24 @@ def monosemanticity_visual(long: DataFrame, embeddings: DataFrame, key: str = "p
     return g.select("neuron", F.when(F.col("n") > 1, top / (F.col("s1") * F.col("s1") - F.col("s2"))).alias("score"))
 
 
-def monosemanticity_geo(long: DataFrame, located: DataFrame, neurons: int, key: str = "point_id", blocks: int = 8, scale_km: float = 500.0, radius: float = 6371.0) -> DataFrame:
-    """(neuron, score): the same with exp(-km / scale) for the cosine. Rows are dealt to pairs of blocks; a pair is two numpy
-    matrices and gives one number per feature."""
+#: Features that a task of the distance form has dense at once.
+FEATURE_TILE = 256
+
+
+def monosemanticity_geo(long: DataFrame, located: DataFrame, neurons: int, key: str = "point_id", blocks: int | None = None, scale_km: float = 500.0, radius: float = 6371.0) -> DataFrame:
+    """(neuron, score): the same with exp(-km / scale) for the cosine. Rows are dealt to pairs of blocks, as many as the table takes;
+    a pair is two numpy matrices, some features of them at a time, and gives one number per feature."""
+    blocks = blocks or blocks_of(located)
     dense = long.groupBy(key).agg(F.collect_list(F.struct("neuron", "act")).alias("acts"))
     rows = located.select(key, "lon", "lat").join(dense, key).withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
     dealt = rows.select("*", other).withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")}).drop("other")
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        acts = np.zeros((len(pdf), neurons))
-        for i, row in enumerate(pdf.acts):
-            for x in row:
-                acts[i, x["neuron"]] = x["act"]
+        entries = [(i, x["neuron"], x["act"]) for i, row in enumerate(pdf.acts) for x in row]
+        at, of, value = (np.array(x) for x in zip(*entries, strict=True)) if entries else (np.zeros(0, int),) * 3
+        order = np.argsort(of, kind="stable")
+        at, of, value = at[order], of[order], value[order]
         lat, lon = np.radians(pdf.lat.to_numpy(float)), np.radians(pdf.lon.to_numpy(float))
         first, same = pdf.block.to_numpy() == pdf.bi.iloc[0], pdf.bi.iloc[0] == pdf.bj.iloc[0]
         left = np.flatnonzero(first)
@@ -141,7 +147,13 @@ def monosemanticity_geo(long: DataFrame, located: DataFrame, neurons: int, key:
             kernel = np.exp(-2 * radius * np.arctan2(np.sqrt(h), np.sqrt(1 - h)) / scale_km)
             if same:
                 kernel *= i[:, None] < right[None]
-            total += (acts[i] * (kernel @ acts[right])).sum(axis=0)
+            for n in range(0, neurons, FEATURE_TILE):
+                a, b = np.searchsorted(of, [n, n + FEATURE_TILE])
+                if a == b:
+                    continue
+                acts = np.zeros((len(pdf), min(FEATURE_TILE, neurons - n)))
+                acts[at[a:b], of[a:b] - n] = value[a:b]
+                total[n : n + FEATURE_TILE] += (acts[i] * (kernel @ acts[right])).sum(axis=0)
         return pd.DataFrame({"neuron": np.arange(neurons, dtype=np.int32), "top": total})
 
     top = dealt.groupBy("bi", "bj").applyInPandas(pairs, "neuron int, top double").groupBy("neuron").agg(F.sum("top").alias("top"))

@@ -18,6 +18,8 @@ LASSO_ROUNDS = 10_000
 #: Weights at or below this count as zero.
 ZERO = 1e-7
 MAX_CONCEPTS = 200_000
+#: Bounds of the dictionary that is brought to the driver and broadcast, and of one dense block of weights.
+MAX_BYTES, BLOCK_BYTES = 1 << 30, 1 << 25
 
 
 def build_dictionary(concepts: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -27,11 +29,14 @@ def build_dictionary(concepts: DataFrame, vector: str = "embedding") -> DataFram
 
 
 def dictionary_matrix(dictionary: DataFrame, max_concepts: int = MAX_CONCEPTS) -> tuple[list[int], np.ndarray]:
-    """Ids and matrix on the driver, for a broadcast; more than max_concepts rows are refused."""
-    rows = dictionary.select("concept_id", "vector").orderBy("concept_id").limit(max_concepts + 1).collect()
-    if len(rows) > max_concepts:
-        raise ValueError(f"more than {max_concepts} concepts")
-    return [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)
+    """Ids and matrix on the driver, for a broadcast; more than max_concepts rows or MAX_BYTES are refused before any is read."""
+    n, size = dictionary.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("vector").cast("bigint")), F.lit(0))).first()
+    if n > max_concepts or 8 * size > MAX_BYTES:
+        raise ValueError(f"{n} concepts of {size} numbers are more than {max_concepts} concepts or {MAX_BYTES} bytes")
+    rows = dictionary.select("concept_id", doubles(F.col("vector")).alias("vector")).orderBy("concept_id").toArrow()
+    if not n:
+        return [], np.zeros((0, 0))
+    return rows.column("concept_id").to_pylist(), rows.column("vector").combine_chunks().flatten().to_numpy().reshape(n, -1)
 
 
 def admm(c: np.ndarray, v: np.ndarray, lam: float = L1, rho: float = RHO, tol: float = TOL, rounds: int = MAX_ROUNDS) -> np.ndarray:
@@ -59,17 +64,16 @@ def admm(c: np.ndarray, v: np.ndarray, lam: float = L1, rho: float = RHO, tol: f
 
 
 def lasso(c: np.ndarray, v: np.ndarray, lam: float = L1, tol: float = TOL, rounds: int = LASSO_ROUNDS) -> np.ndarray:
-    """The same by coordinate descent over the Gram matrix, all rows at once."""
-    gram, cv = c @ c.T, v @ c.T
-    w, diagonal = np.zeros_like(cv), np.maximum(np.diag(gram), 1e-12)
-    wg = np.zeros_like(cv)
+    """The same by coordinate descent, all rows at once; what is held is the rest of each vector, not the concepts' products."""
+    w, rest = np.zeros((len(v), len(c))), np.array(v, dtype=np.float64)
+    diagonal = np.maximum((c**2).sum(axis=1), 1e-12)
     for _ in range(rounds):
         most = 0.0
-        for k in range(len(gram)):
-            new = np.maximum(cv[:, k] - wg[:, k] + w[:, k] * gram[k, k] - lam / 2, 0) / diagonal[k]
+        for k in range(len(c)):
+            new = np.maximum(rest @ c[k] + w[:, k] * diagonal[k] - lam / 2, 0) / diagonal[k]
             step = new - w[:, k]
             if (m := np.abs(step).max(initial=0.0)) > 0:
-                wg += step[:, None] * gram[k][None]
+                rest -= step[:, None] * c[k][None]
                 w[:, k] = new
                 most = max(most, m)
         if most < tol:
@@ -81,11 +85,12 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def splice_encode(df: DataFrame, dictionary: DataFrame, mean: np.ndarray, key: str, vector: str = "embedding", solver: str = "admm", lam: float = L1, extra: list[str] | None = None, rebuilt: bool = False) -> DataFrame:
+def splice_encode(df: DataFrame, dictionary: DataFrame, mean: np.ndarray, key: str, vector: str = "embedding", solver: str = "admm", lam: float = L1, extra: list[str] | None = None, rebuilt: bool = False, tol: float = TOL) -> DataFrame:
     """(key, extra..., concepts, weights, l0, mse, cosine [, rebuilt]), one row for each input row, active concepts only.
 
     Rows are normalised, centred on ``mean``, normalised and decomposed; the rebuilt vector is
-    normalise(normalise(w C) + mean). Dictionary and factor are broadcast; nothing is shuffled.
+    normalise(normalise(w C) + mean). Dictionary and factor are broadcast; nothing is shuffled. Rows are solved in blocks whose
+    dense weights take BLOCK_BYTES.
     """
     ids, c = dictionary_matrix(dictionary)
     shared = df.sparkSession.sparkContext.broadcast((np.array(ids), c, np.asarray(mean)))
@@ -94,22 +99,23 @@ def splice_encode(df: DataFrame, dictionary: DataFrame, mean: np.ndarray, key: s
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, c, m = shared.value
-        for pdf in frames:
-            if pdf.empty:
-                continue
-            x = unit(np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vector]]))
-            w = solve(c, unit(x - m), lam)
-            w[w <= ZERO] = 0
-            again = recompose(w, c, m)
-            out = pdf[keep].copy()
-            out["concepts"] = [names[r > 0].tolist() for r in w]
-            out["weights"] = [r[r > 0].tolist() for r in w]
-            out["l0"] = (w > 0).sum(axis=1)
-            out["mse"] = ((x - again) ** 2).mean(axis=1)
-            out["cosine"] = (x * again).sum(axis=1)
-            if rebuilt:
-                out["rebuilt"] = list(again)
-            yield out
+        step = max(1, BLOCK_BYTES // (8 * max(1, len(c))))
+        for whole in frames:
+            for a in range(0, len(whole), step):
+                pdf = whole.iloc[a : a + step]
+                x = unit(np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vector]]))
+                w = solve(c, unit(x - m), lam, tol=tol)
+                w[w <= ZERO] = 0
+                again = recompose(w, c, m)
+                out = pdf[keep].copy()
+                out["concepts"] = [names[r > 0].tolist() for r in w]
+                out["weights"] = [r[r > 0].tolist() for r in w]
+                out["l0"] = (w > 0).sum(axis=1)
+                out["mse"] = ((x - again) ** 2).mean(axis=1)
+                out["cosine"] = (x * again).sum(axis=1)
+                if rebuilt:
+                    out["rebuilt"] = list(again)
+                yield out
 
     fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
     schema = f"{fields}, concepts array<int>, weights array<double>, l0 bigint, mse double, cosine double" + (", rebuilt array<double>" if rebuilt else "")
@@ -127,12 +133,15 @@ def recompose_long(weights: DataFrame, dictionary: DataFrame, mean: np.ndarray,
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, c, m = shared.value
-        for pdf in frames:
-            w = np.zeros((len(pdf), len(at)))
-            for i, row in enumerate(pdf.ws):
-                for x in row:
-                    w[i, at[x["concept_id"]]] = x["weight"]
-            yield pdf[[key]].assign(rebuilt=list(recompose(w, c, m)))
+        step = max(1, BLOCK_BYTES // (8 * max(1, len(c))))
+        for whole in frames:
+            for a in range(0, len(whole), step):
+                pdf = whole.iloc[a : a + step]
+                w = np.zeros((len(pdf), len(at)))
+                for i, row in enumerate(pdf.ws):
+                    for x in row:
+                        w[i, at[x["concept_id"]]] = x["weight"]
+                yield pdf[[key]].assign(rebuilt=list(recompose(w, c, m)))
 
     kind = weights.schema[key].dataType.simpleString()
     return weights.groupBy(key).agg(F.collect_list(F.struct("concept_id", "weight")).alias("ws")).mapInPandas(run, f"`{key}` {kind}, rebuilt array<double>")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -39,12 +37,22 @@ def geometric_median(df: DataFrame, vector: str, max_rounds: int = 100, tol: flo
         x.unpersist()
 
 
-def knn(df: DataFrame, key: str, vector: str, k: int, blocks: int = 8) -> DataFrame:
+#: Rows of one block of pairwise work; a task holds two blocks.
+BLOCK_ROWS = 10_000
+
+
+def blocks_of(df: DataFrame, rows: int = BLOCK_ROWS) -> int:
+    """So many blocks that none has much over ``rows`` rows, two at least."""
+    return max(2, -(-df.count() // rows))
+
+
+def knn(df: DataFrame, key: str, vector: str, k: int, blocks: int | None = None) -> DataFrame:
     """(key, rank from 1, neighbour, dist): the k nearest rows by Euclidean distance, the row itself among them; ties by key.
 
-    Rows are dealt to blocks; each pair of blocks is one numpy product that keeps k per row, and a window merges them. So a
-    row goes to ``blocks`` tasks, and no task holds more than two blocks.
+    Rows are dealt to blocks, as many as the table takes; each pair of blocks is one numpy product that keeps k per row, and a
+    window merges them. So a row goes to ``blocks`` tasks, and no task holds more than two blocks.
     """
+    blocks = blocks or blocks_of(df)
     kind = df.schema[key].dataType
     x = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
     each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -68,12 +76,3 @@ def knn(df: DataFrame, key: str, vector: str, k: int, blocks: int = 8) -> DataFr
     w = Window.partitionBy("key").orderBy("dist", "neighbour")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("key").alias(key), "rank", "neighbour", "dist")
 
-
-def blockwise(df: DataFrame, schema: str, f) -> DataFrame:
-    """mapInPandas with a function of one frame."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield f(pdf)
-
-    return df.mapInPandas(run, schema)

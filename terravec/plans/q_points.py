@@ -172,6 +172,37 @@ def u0a(spark, d):
     return P.union_draws(spark, P.polygons_from(spark, SHAPES), n).select("draw_id", r6(F.col("lon")).alias("lon"), r6(F.col("lat")).alias("lat"))
 
 
+def _draw(key, salt):
+    """A draw of a draw's number that SQL has too: the points rule's, for the first and the second one."""
+    return ((key * 7919 + 13) % 10007) / 10007.0 if salt == 0 else ((key * 104729 + 7) % 10009) / 10009.0
+
+
+def _sql_draws(n: str, name: str = "dr") -> str:
+    return f"{name} AS (SELECT i AS draw_id, ((i * 7919 + 13) % 10007) / 10007.0 AS u, ((i * 104729 + 7) % 10009) / 10009.0 AS v FROM range({n}) AS t(i))"
+
+
+_ON_SPHERE = "360 * u - 180 AS lon, degrees(asin(2.0 * v - 1.0)) AS lat"
+
+
+@query("U0a_union_rule_draws", f"""WITH {_sql_draws("(SELECT 200 * count(*) FROM supplier)")}, pts AS (SELECT draw_id AS point_id, {_ON_SPHERE} FROM dr), {INSIDE}
+SELECT point_id AS draw_id, round(lon, 6) + 0.0 AS lon, round(lat, 6) + 0.0 AS lat FROM pts WHERE point_id IN (SELECT point_id FROM ins) ORDER BY point_id LIMIT (SELECT count(*) FROM supplier)""")
+def u0a_rule(spark, d):
+    """The same by draws that follow a rule; rounds are appended until there are enough."""
+    n = table(spark, d, "supplier").count()
+    found = P.union_draws(spark, P.polygons_from(spark, SHAPES), n, oversample=3, draw=_draw)
+    return found.select("draw_id", r6(F.col("lon")).alias("lon"), r6(F.col("lat")).alias("lat"))
+
+
+@query("U0b_distinct_features", f"""WITH {LONG}, f AS (SELECT DISTINCT CASE WHEN label < 5 THEN 0 ELSE 1 END AS part, neuron FROM ac),
+o AS (SELECT neuron, row_number() OVER (ORDER BY part, neuron DESC) AS k FROM f), m AS (SELECT neuron, min(k) AS k FROM o GROUP BY neuron)
+SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS rank, neuron FROM m""")
+def u0b_distinct(spark, d):
+    """The features of two data sets, each from the highest down, in the order in which they are first met."""
+    met = long_activations(spark, d).select((F.col("label") >= 5).cast("int").alias("part"), "neuron").distinct().collect()  # features, not rows
+    lists = {f"{part}": sorted((r[1] for r in met if r[0] == part), reverse=True) for part in (0, 1)}
+    return spark.createDataFrame(list(enumerate(L.distinct_features(lists))), "rank int, neuron int")
+
+
 @query("U0b_union_datasets", f"WITH {LONG} SELECT point_id, neuron, 'first' AS dataset FROM ac WHERE label < 5 AND neuron IN (0, 1, 2) UNION ALL SELECT point_id, neuron, 'second' FROM ac WHERE label >= 5 AND neuron IN (2, 3)")
 def u0b(spark, d):
     a = long_activations(spark, d)
@@ -201,6 +232,14 @@ def g1(spark, d):
     return table(spark, d, "events").select("event_id", r6(lon).alias("lon"), r6(lat).alias("lat"))
 
 
+@query("G1_sphere_draws", f"""WITH {_sql_draws("(SELECT count(*) FROM customer)")}
+SELECT draw_id, round(360 * u - 180, 6) + 0.0 AS lon, round(degrees(asin(sin(radians(-30.0)) + v * (sin(radians(75.0)) - sin(radians(-30.0))))), 6) + 0.0 AS lat FROM dr""")
+def g1_draws(spark, d):
+    """As many draws as there are customers."""
+    p = P.sphere_points(spark, table(spark, d, "customer").count(), lat_range=(-30.0, 75.0), draw=_draw)
+    return p.select("draw_id", r6(F.col("lon")).alias("lon"), r6(F.col("lat")).alias("lat"))
+
+
 ORDER = "((event_id * 7919 + 13) % 10007)"
 
 
@@ -250,6 +289,14 @@ def g7(spark, d):
     return c.join(P.coord_grid(spark, 30, 40), ["row", "col"]).select("c_custkey", r6(F.col("lon")).alias("lon"), r6(F.col("lat")).alias("lat"))
 
 
+@query("G7_coord_grid_of_split", """WITH g AS (SELECT c_custkey // 40 % 30 AS row, c_custkey % 40 AS col, max(c_nationkey % 3) AS split FROM customer GROUP BY ALL)
+SELECT CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, round(-180 + col * 360.0 / 39, 6) + 0.0 AS lon, round(90 - row * 180.0 / 29, 6) + 0.0 AS lat FROM g WHERE split = 1""")
+def g7_split(spark, d):
+    c = table(spark, d, "customer").select((F.floor(F.col("c_custkey") / 40) % 30).cast("int").alias("row"), (F.col("c_custkey") % 40).cast("int").alias("col"), (F.col("c_nationkey") % 3).alias("split"))
+    cells = P.coord_grid_of_split(P.coord_grid(spark, 30, 40), c.groupBy("row", "col").agg(F.max("split").alias("split")), 1)
+    return cells.select("row", "col", r6(F.col("lon")).alias("lon"), r6(F.col("lat")).alias("lat"))
+
+
 MASK = "m AS (SELECT p_partkey, p_partkey // 50 AS row, p_partkey % 50 AS col, CASE WHEN p_partkey % 11 = 0 THEN 0 ELSE 1 END AS valid FROM part)"
 
 
@@ -270,6 +317,13 @@ def g9(spark, d):
     return table(spark, d, "events").select("event_id", r6(x).alias("x"), r6(y).alias("y"))
 
 
+@query("G9_random_draws", f"""WITH {_sql_draws("(SELECT count(*) FROM customer)")}
+SELECT draw_id AS id, round(u * 2 - 1, 6) + 0.0 AS x, round(1 - 2 * acos(2 * v - 1) / pi(), 6) + 0.0 AS y FROM dr""")
+def g9_draws(spark, d):
+    p = P.random_locations(spark, table(spark, d, "customer").count(), "spherical", draw=_draw)
+    return p.select("id", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
+
+
 @query("G10_jitter_points", EVENTS + " SELECT point_id, round(lon + (point_id % 97) / 97.0 * 0.01, 6) + 0.0 AS lon, round(lat + (point_id % 89) / 89.0 * 0.01, 6) + 0.0 AS lat FROM pts")
 def g10(spark, d):
     k = F.col("point_id")
@@ -293,6 +347,39 @@ def g12(spark, d):
     return p.select("point_id", F.posexplode("v").alias("i", "value")).withColumn("value", r6(F.col("value")))
 
 
+def _lowest(spark, d, n: int):
+    """Three draws of each of the n lowest customer keys."""
+    import numpy as np
+
+    keys = [r[0] for r in table(spark, d, "customer").select("c_custkey").orderBy("c_custkey").limit(n).collect()]
+    return np.array([[((k * 7919 + 13) % 10007) / 10007.0, ((k * 104729 + 7) % 10009) / 10009.0, ((k * 31 + 5) % 1009) / 1009.0] for k in keys])
+
+
+_LOWEST = "lk AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS i, ((k * 7919 + 13) % 10007) / 10007.0 AS u, ((k * 104729 + 7) % 10009) / 10009.0 AS v, ((k * 31 + 5) % 1009) / 1009.0 AS s FROM (SELECT CAST(c_custkey AS BIGINT) AS k FROM customer ORDER BY c_custkey LIMIT 8))"
+
+
+@query("G11_relative_anchors", f"""{PTS}, {_LOWEST}, an AS (SELECT 0 AS i, 0.0 AS x, 0.0 AS y UNION ALL SELECT i + 1, (2 * u - 1) * 50.0, (2 * v - 1) * 50.0 FROM lk)
+SELECT point_id, CAST(i AS INTEGER) AS i, round(exp(-((lon - x) * (lon - x) + (lat - y) * (lat - y)) / (2.0 * 30.0 * 30.0)), 6) + 0.0 AS value FROM pts, an""")
+def g11_relative(spark, d):
+    """Kernels of points at anchors around the origin, drawn by the keys of eight customers."""
+    from terravec.functions.encodings import rbf
+
+    anchors = P.relative_anchors(9, 50.0, draws=_lowest(spark, d, 8)[:, :2])
+    p = points(spark, d).select("point_id", F.posexplode(rbf(F.col("lon"), F.col("lat"), anchors, 30.0)).alias("i", "value"))
+    return p.withColumn("value", r6(F.col("value")))
+
+
+@query("G12_rff_rule_params", f"""{PTS}, {_LOWEST}, dr AS (SELECT i, sqrt(-4.0 * ln(1 - u)) * cos(2 * pi() * v) AS a, sqrt(-4.0 * ln(1 - u)) * sin(2 * pi() * v) AS b, 2 * pi() * s AS s FROM lk)
+SELECT point_id, CAST(i AS INTEGER) AS i, round(cos(lon / 180.0 * a + lat / 90.0 * b + s) * sqrt(2.0 / 8), 6) + 0.0 AS value FROM pts, dr""")
+def g12_rule(spark, d):
+    """The same with draws that follow the keys of eight customers."""
+    from terravec.functions.encodings import rff
+
+    directions, shifts = P.rff_params(8, 2.0, draws=_lowest(spark, d, 8))
+    p = points(spark, d).select("point_id", F.posexplode(rff(F.col("lon"), F.col("lat"), directions, shifts)).alias("i", "value"))
+    return p.withColumn("value", r6(F.col("value")))
+
+
 @query("L1_take_first", "SELECT event_id FROM events WHERE value > 50 ORDER BY event_id LIMIT 100")
 def l1(spark, d):
     return P.take_first(table(spark, d, "events").filter("value > 50"), 100, "event_id").select("event_id")

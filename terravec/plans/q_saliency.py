@@ -11,7 +11,7 @@ from terravec.operators import cluster, saliency, splice
 from terravec.plans.base import query, r6, table
 from terravec.plans.q_points import PLANE, plane
 from terravec.plans.q_sae import FIRE, LOG
-from terravec.plans.q_splice import concepts
+from terravec.plans.q_splice import SIGNS, concepts, signs
 from terravec.streaming import stream
 
 SIDE, LAYERS = 12, 8
@@ -128,6 +128,11 @@ def a23(spark, d):
     return cluster.cluster_summary(c.select("cluster", F.concat(F.lit("t"), (F.col("row_id") % 7).cast("string")).alias("tile"), F.col("row_id").cast("string").alias("file")))
 
 
+@query("A23_cluster_count", DBSCAN + " SELECT count(DISTINCT cluster) AS clusters FROM out")
+def a23_count(spark, d):
+    return cluster.cluster_count(cluster.dbscan(plane(spark, d), EPS, MIN_SAMPLES))
+
+
 @query("W12_k_distance_curve", f"""WITH e AS (SELECT vec_id, {_E} AS e FROM embeddings), p AS (SELECT a.vec_id, list_distance(a.e, b.e) AS dist FROM e a, e b QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY dist) = 4)
 SELECT row_number() OVER (ORDER BY dist) - 1 AS rank, round(dist, 6) + 0.0 AS dist FROM p""")
 def w12(spark, d):
@@ -164,6 +169,18 @@ def t1b(spark, d):
     return stream.run_to_table(stream.stream_rows_since_fired(rows, 8), f"t1b_{uuid.uuid4().hex}", "append", _scratch(spark))
 
 
+@query("T2_stream_decompose_signs", f"WITH {SIGNS} SELECT concept_id, round(sum(weight) / (SELECT count(*) FROM v), 6) + 0.0 AS weight FROM w GROUP BY concept_id")
+def t2_signs(spark, d):
+    """The same over the dictionary of signs."""
+    import numpy as np
+
+    s = _stream(spark, d, "embeddings").select("vec_id", doubles(F.col("embedding")).alias("embedding"))
+    enc = splice.splice_encode(s, signs(spark), np.zeros(64), "vec_id", tol=1e-12)
+    sums = stream.run_to_table(stream.stream_decompose(enc), f"t2s_{uuid.uuid4().hex}", "complete", _scratch(spark))
+    n = sums.filter("concept_id = -1").select(F.col("weight_sum").alias("n"))
+    return sums.filter("concept_id >= 0").join(F.broadcast(n)).select("concept_id", r6(F.col("weight_sum") / F.col("n")).alias("weight"))
+
+
 @query("T2_stream_decompose", None)
 def t2(spark, d):
     """Mean concept weights over the stream."""

@@ -11,7 +11,7 @@ from terravec.functions.arrays import doubles, l2_normalize
 from terravec.operators import nets, splice, vectors
 from terravec.operators import points as P
 from terravec.plans.base import entries, located, points, query, r6, sql_entries, sql_points, table
-from terravec.plans.q_points import SHAPES
+from terravec.plans.q_points import INSIDE, SHAPES
 
 _E = "CAST(embedding AS DOUBLE[])"
 _MEANS = f"u AS (SELECT label, list_transform(e, lambda x: x / n) AS e FROM (SELECT label, {_E} AS e, sqrt(list_inner_product({_E}, {_E})) AS n FROM embeddings))"
@@ -112,6 +112,93 @@ def w4(spark, d):
     return top.select("label", "rank", "concept_id", F.round("weight", 5).alias("weight"))
 
 
+# a dictionary of 64 orthonormal concepts of signs and a centre of zero, for which a weight is max(product - lambda / 2, 0)
+
+
+def signs(spark):
+    j = F.expr("sequence(0, 63)")
+    return spark.range(64).select(F.col("id").cast("int").alias("concept_id"), F.concat(F.lit("signs "), F.col("id").cast("string")).alias("concept"), F.transform(j, lambda k: (1 - 2 * (F.bit_count(F.col("id").bitwiseAND(k)) % 2)) / 8.0).alias("vector"))
+
+
+def encoded_by_signs(spark, d, solver: str = "admm", **more):
+    return splice.splice_encode(_vectors(spark, d), signs(spark), np.zeros(64), "vec_id", solver=solver, extra=["label"], tol=1e-12, **more)
+
+
+SIGNS = f"""h AS (SELECT k, list((1 - 2 * (bit_count(k & j) % 2)) / 8.0::DOUBLE ORDER BY j) AS c FROM range(64) AS a(k), range(64) AS b(j) GROUP BY k),
+v AS (SELECT vec_id, label, list_transform(e, lambda x: x / n) AS e FROM (SELECT vec_id, label, {_E} AS e, sqrt(list_inner_product({_E}, {_E})) AS n FROM embeddings)),
+w AS (SELECT vec_id, label, CAST(k AS INTEGER) AS concept_id, list_inner_product(e, c) - 0.0875 AS weight FROM v, h WHERE list_inner_product(e, c) - 0.0875 > 1e-7),
+g AS (SELECT vec_id, count(*) AS l0, sqrt(sum(weight * weight)) AS size, sum(weight * (weight + 0.0875)) AS prod FROM w GROUP BY vec_id),
+q AS (SELECT vec_id, label, coalesce(l0, 0) AS l0, coalesce(prod / size, 0) AS cosine, CASE WHEN l0 IS NULL THEN 1 ELSE 2 - 2 * prod / size END / 64 AS mse FROM v LEFT JOIN g USING (vec_id))"""
+
+
+@query("U2_splice_encode_signs", f"WITH {SIGNS} SELECT vec_id, l0, round(mse, 6) + 0.0 AS mse, round(cosine, 6) + 0.0 AS cosine FROM q")
+def u2_signs(spark, d):
+    return encoded_by_signs(spark, d).select("vec_id", "l0", r6(F.col("mse")).alias("mse"), r6(F.col("cosine")).alias("cosine"))
+
+
+@query("U3_decompose_admm_signs", f"WITH {SIGNS} SELECT vec_id, concept_id, round(weight, 6) + 0.0 AS weight FROM w")
+def u3_signs(spark, d):
+    return splice.long_weights(encoded_by_signs(spark, d), "vec_id").select("vec_id", "concept_id", r6(F.col("weight")).alias("weight"))
+
+
+@query("U4_decompose_lasso_signs", f"WITH {SIGNS} SELECT vec_id, concept_id, round(weight, 6) + 0.0 AS weight FROM w")
+def u4_signs(spark, d):
+    return splice.long_weights(encoded_by_signs(spark, d, "lasso"), "vec_id").select("vec_id", "concept_id", r6(F.col("weight")).alias("weight"))
+
+
+@query("U5_recompose_signs", f"""WITH {SIGNS} SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, round(sum(weight * c[i]) / any_value(size), 6) + 0.0 AS value FROM w JOIN h ON h.k = w.concept_id JOIN g USING (vec_id), range(1, 65) AS t(i) GROUP BY vec_id, i""")
+def u5_signs(spark, d):
+    """Vectors rebuilt from long weights."""
+    weights = splice.long_weights(encoded_by_signs(spark, d), "vec_id")
+    return entries(splice.recompose_long(weights, signs(spark), np.zeros(64), "vec_id"), "rebuilt", "vec_id")
+
+
+@query("A3_reconstruction_metrics_signs", f"WITH {SIGNS} SELECT count(*) AS n_samples, " + ", ".join(f"round(avg({c}), 6) + 0.0 AS {n}_mean, round(stddev_samp({c}), 6) + 0.0 AS {n}_std" for n, c in (("mse", "mse"), ("cosine_sim", "cosine"), ("mean_active_concepts", "l0"))) + " FROM q")
+def a3_signs(spark, d):
+    m = splice.reconstruction_metrics(encoded_by_signs(spark, d))
+    return m.select("n_samples", *(r6(F.col(c)).alias(c) for c in m.columns if c != "n_samples"))
+
+
+@query("A6_decompose_dataset_signs", f"WITH {SIGNS} SELECT concept_id, round(sum(weight) / (SELECT count(*) FROM v), 6) + 0.0 AS weight FROM w GROUP BY concept_id")
+def a6_signs(spark, d):
+    return splice.decompose_dataset(encoded_by_signs(spark, d), "vec_id").withColumn("weight", r6(F.col("weight")))
+
+
+_BY_LABEL = "b AS (SELECT w.label, concept_id, sum(weight) / any_value(n) AS weight FROM w JOIN (SELECT label, count(*) AS n FROM v GROUP BY label) AS c ON c.label = w.label GROUP BY ALL)"
+
+
+@query("A7_decompose_classes_signs", f"WITH {SIGNS}, {_BY_LABEL} SELECT label, concept_id, round(weight, 6) + 0.0 AS weight FROM b")
+def a7_signs(spark, d):
+    return splice.decompose_classes(encoded_by_signs(spark, d), "label", "vec_id").withColumn("weight", r6(F.col("weight")))
+
+
+@query("A8_decompose_regions_signs", f"WITH {SIGNS}, {sql_points('pts', 'embeddings', 'vec_id')}, {INSIDE}, n AS (SELECT region, count(*) AS n FROM ins GROUP BY region) SELECT region, concept_id, round(sum(weight) / any_value(n), 6) + 0.0 AS weight FROM w JOIN ins ON ins.point_id = w.vec_id JOIN n USING (region) GROUP BY ALL")
+def a8_signs(spark, d):
+    at = P.assign_regions(located(encoded_by_signs(spark, d), "vec_id"), P.polygons_from(spark, SHAPES))
+    return splice.decompose_regions(at, "region", "vec_id").withColumn("weight", r6(F.col("weight")))
+
+
+@query("W4_top_concepts_signs", f"WITH {SIGNS}, {_BY_LABEL} SELECT label, CAST(rank AS INTEGER) AS rank, concept_id, round(weight, 6) + 0.0 AS weight FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY weight DESC, concept_id) AS rank FROM b) WHERE rank <= 4")
+def w4_signs(spark, d):
+    top = splice.top_concepts(splice.decompose_classes(encoded_by_signs(spark, d), "label", "vec_id"), 4, "label")
+    return top.select("label", "rank", "concept_id", r6(F.col("weight")).alias("weight"))
+
+
+def _median_sql(rounds: int) -> str:
+    """The mean, and so many rounds of means weighted by the reciprocal of the distance, each a table of one list."""
+    out = f"x AS (SELECT vec_id, {_E} AS e FROM embeddings), m0 AS (SELECT list(a ORDER BY i) AS m FROM (SELECT i, avg(e[i]) AS a FROM x, range(1, 65) AS t(i) GROUP BY i))"
+    for k in range(rounds):
+        out += f", d{k} AS (SELECT e, 1 / greatest(list_distance(e, m), 1e-12) AS w FROM x, m{k}), m{k + 1} AS (SELECT list(a ORDER BY i) AS m FROM (SELECT i, sum(e[i] * w) / sum(w) AS a FROM d{k}, range(1, 65) AS t(i) GROUP BY i))"
+    return out
+
+
+@query("A17_geometric_median_rounds", f"WITH {_median_sql(3)} SELECT CAST(i AS INTEGER) AS i, round(m[i + 1], 6) + 0.0 AS value FROM m3, range(64) AS t(i)")
+def a17_rounds(spark, d):
+    """The median of all vectors after three rounds."""
+    median = vectors.geometric_median(_vectors(spark, d), "embedding", max_rounds=3, tol=0.0)
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(median)], "i int, value double").withColumn("value", r6(F.col("value")))
+
+
 def reports(spark, d):
     li = table(spark, d, "lineitem")
     names = (("mse", "l_discount"), ("cosine_sim", "l_tax"), ("mean_active_concepts", "l_quantity"))

@@ -65,13 +65,20 @@ def stream_decompose(encoded: DataFrame) -> DataFrame:
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """All that is there now, through the stream. Appended rows are written as Parquet beside the checkpoint and read again; a
-    complete result (one row a group) is the table of a memory sink, which the driver holds."""
+    """All that is there now, through the stream, as Parquet beside the checkpoint. In complete mode each micro-batch writes the
+    whole result to a folder of its own, and the last one is read."""
     w = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    out = f"{checkpoint}-{name}"
-    q = w.format("parquet").start(out) if mode == "append" else w.format("memory").start()
+    out, done = f"{checkpoint}-{name}", []
+
+    def whole(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/batch-{batch}")
+        done.append(batch)
+
+    q = w.format("parquet").start(out) if mode == "append" else w.foreachBatch(whole).start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    spark = stream.sparkSession
-    return spark.read.schema(stream.schema).parquet(out) if mode == "append" else spark.table(name)
+    if mode != "append":
+        out = f"{out}/batch-{max(done)}" if done else out
+    read = stream.sparkSession.read.schema(stream.schema)
+    return read.parquet(out) if mode == "append" or done else stream.sparkSession.createDataFrame([], stream.schema)

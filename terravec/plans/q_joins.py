@@ -37,17 +37,19 @@ def j4(spark, d):
     return joins.pairs_lt(e, "vec_id", "cell").select("i", "j", r6(dot(F.col("left.x"), F.col("right.x"))).alias("sim"))
 
 
-@query("J5_pairwise_euclidean", f"WITH e AS (SELECT vec_id, {_E} AS e FROM embeddings), q AS (SELECT * FROM e ORDER BY vec_id LIMIT 20) SELECT e.vec_id, q.vec_id AS other, round(list_distance(e.e, q.e), 6) + 0.0 AS dist FROM e, q")
+@query("J5_pairwise_euclidean", f"WITH e AS (SELECT vec_id, {_E} AS e FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 100 = 0) SELECT e.vec_id, q.vec_id AS other, round(list_distance(e.e, q.e), 6) + 0.0 AS dist FROM e, q")
 def j5(spark, d):
+    """Every vector whose id is divisible by 100 against all."""
     e = table(spark, d, "embeddings")
-    return joins.pairwise_euclidean(e, e.orderBy("vec_id").limit(20), "vec_id", "embedding").withColumn("dist", r6(F.col("dist")))
+    return joins.pairwise_euclidean(e, e.filter("vec_id % 100 = 0"), "vec_id", "embedding").withColumn("dist", r6(F.col("dist")))
 
 
-@query("J5_pairwise_haversine", PTS + """, q AS (SELECT * FROM pts ORDER BY point_id LIMIT 20) SELECT p.point_id, q.point_id AS other,
+@query("J5_pairwise_haversine", PTS + """, q AS (SELECT * FROM pts WHERE point_id % 100 = 0) SELECT p.point_id, q.point_id AS other,
  round(2 * 6372.8 * asin(sqrt(least(pow(sin(radians(p.lat - q.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin(radians(p.lon - q.lon) / 2), 2), 1))), 6) + 0.0 AS km FROM pts p, q""")
 def j5b(spark, d):
+    """Every point whose id is divisible by 100 against all."""
     p = points(spark, d)
-    return joins.pairwise_haversine(p, p.orderBy("point_id").limit(20), "point_id").withColumn("km", r6(F.col("km")))
+    return joins.pairwise_haversine(p, p.filter("point_id % 100 = 0"), "point_id").withColumn("km", r6(F.col("km")))
 
 
 @query("J6_knn", f"""WITH e AS (SELECT vec_id, {_E} AS e FROM embeddings), p AS (SELECT a.vec_id, b.vec_id AS neighbour, round(list_distance(a.e, b.e), 6) + 0.0 AS dist FROM e a, e b)
@@ -147,10 +149,11 @@ def a24b(spark, d):
     return align.mean_loss(align.clip_loss_columns(paired(spark, d), "vec_id", 14.285714)).select(r6(F.col("loss")).alias("loss"))
 
 
-@query("J12_similarity_logits", f"WITH e AS (SELECT vec_id, {_E} AS e FROM embeddings), p AS (SELECT vec_id AS place_id, e FROM e WHERE vec_id % 50 = 0) SELECT e.vec_id AS image_id, place_id, round(list_cosine_similarity(e.e, p.e) * {1 / 0.07!r}, 5) + 0.0 AS logit FROM e, p")
+@query("J12_similarity_logits", f"WITH e AS (SELECT vec_id, {_E} AS e FROM embeddings), p AS (SELECT vec_id AS place_id, e FROM e WHERE vec_id % 100 = 0) SELECT e.vec_id AS image_id, place_id, round(list_cosine_similarity(e.e, p.e) * {1 / 0.07!r}, 5) + 0.0 AS logit FROM e, p")
 def j12(spark, d):
+    """Every vector against those whose id is divisible by 100, as places."""
     e = table(spark, d, "embeddings")
-    out = joins.similarity_logits(e.withColumnRenamed("vec_id", "image_id"), e.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "place_id"), math.log(1 / 0.07))
+    out = joins.similarity_logits(e.withColumnRenamed("vec_id", "image_id"), e.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "place_id"), math.log(1 / 0.07))
     return out.select("image_id", "place_id", (F.round("logit", 5) + F.lit(0.0)).alias("logit"))
 
 

@@ -82,14 +82,15 @@ def w5(spark, d):
 
 _E = "CAST(embedding AS DOUBLE[])"
 SIMILARITY = f"""WITH e AS (SELECT vec_id, {_E} AS e, sqrt(list_inner_product({_E}, {_E})) AS n FROM embeddings), red AS (SELECT e AS r FROM e WHERE vec_id = 3),
-s AS (SELECT p.vec_id // 17 AS tile, q.vec_id AS location_id, CAST(p.vec_id % 17 AS INTEGER) AS pos, (list_inner_product(p.e, q.e) - list_inner_product(p.e, r)) / p.n AS v FROM e p, e q, red WHERE q.vec_id < 3 AND p.vec_id % 17 > 0)"""
+s AS (SELECT p.vec_id // 17 AS tile, q.vec_id AS location_id, CAST(p.vec_id % 17 AS INTEGER) AS pos, (list_inner_product(p.e, q.e) - list_inner_product(p.e, r)) / p.n AS v FROM e p, e q, red WHERE q.vec_id % 100 = 0 AND p.vec_id % 17 > 0)"""
 
 
 def similarity(spark, d):
+    """All patches against the vectors whose id is divisible by 100, as locations."""
     e = table(spark, d, "embeddings").select("vec_id", doubles(F.col("embedding")).alias("vec"))
     patches = e.select(F.floor(F.col("vec_id") / 17).alias("tile"), (F.col("vec_id") % 17).cast("int").alias("pos"), "vec")
     redundant = F.array(*map(F.lit, e.filter("vec_id = 3").first()["vec"]))
-    return saliency.surgery_similarity(patches, e.filter("vec_id < 3").select(F.col("vec_id").alias("location_id"), "vec"), redundant)
+    return saliency.surgery_similarity(patches, e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("location_id"), "vec"), redundant)
 
 
 @query("U12_surgery_similarity", SIMILARITY + " SELECT tile, location_id, pos, round(CASE WHEN max(v) OVER w - min(v) OVER w < 1e-12 THEN 0 ELSE (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) END, 6) + 0.0 AS value FROM s WINDOW w AS (PARTITION BY tile, location_id)")

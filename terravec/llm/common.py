@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terravec.operators.graph import components
 from terravec.operators.shared import cut, shared_dir
 
-__all__ = ["ascii_lower", "boxed", "components", "cut", "partitions", "shared_dir", "stored", "table", "tile_pairs", "unboxed", "unused", "words"]
+__all__ = ["ascii_lower", "boxed", "components", "cut", "dealt_to_tiles", "partitions", "shared_dir", "stored", "table", "tile_pairs", "unboxed", "unused", "words"]
 
 #: The white space of the contracts: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
@@ -74,6 +74,11 @@ def tile_pairs(rows: DataFrame, cell: list[str], row_id: str, per_tile: int) ->
     to its m pairs. So no task holds more than two tiles, however large a cell is. Adds tile, tile_i, tile_j.
     """
     sizes = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("cell_rows")).filter(F.col("cell_rows") > per_tile)
+    return dealt_to_tiles(rows, sizes, cell, row_id, per_tile)
+
+
+def dealt_to_tiles(rows: DataFrame, sizes: DataFrame, cell: list[str], row_id: str, per_tile: int) -> DataFrame:
+    """The same by given sizes: (cell, cell_rows) of the cells that need several tiles; all others are one."""
     m = F.coalesce(F.ceil(F.col("cell_rows") / F.lit(per_tile)).cast("int"), F.lit(1))
     dealt = rows.join(sizes, cell, "left").withColumn("tiles", m).withColumn("tile", F.pmod(F.xxhash64(row_id), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")

@@ -1,9 +1,10 @@
 """Embedding near-dedup: random projections decoded to E8 lattice points, in several tables, with neighbouring cells probed.
 
 Each table projects a unit vector to eight dimensions and finds the nearest point of the E8 lattice; that is its home cell.
-It also visits the cells of the lattice neighbours that its projection is next nearest to. Only cells where a visitor or
-another resident is met go on; there numpy compares tile by tile, and a pair counts in the first table where it could meet.
-Tiles hand on counts and a spanning forest, never the pairs. Equal vectors are one row throughout.
+It also visits the cells of the lattice neighbours that its projection is next nearest to. What travels to a cell is the row's id
+and 64 sign bits; only rows whose bits are near enough to those of a resident or visitor there go on with their vectors. Numpy
+then compares these tile by tile, and a pair counts in the first table where it could meet. Tiles hand on counts and a spanning
+forest, never the pairs. Equal vectors are one row throughout.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terravec.llm.arrow import Forest, groups
-from terravec.llm.common import components, cut, partitions, table, tile_pairs
+from terravec.llm.common import components, cut, dealt_to_tiles, partitions, table
 
 COSINE = 0.93
 TABLES = 6
@@ -27,6 +28,12 @@ PROBES = 8
 WIDTH = 1.3
 SEED = 42
 PER_TILE = 2048
+#: One row in so many is looked at to find the cells that need several tiles.
+SAMPLED = 16
+#: Bits of the sign sketch, and how many standard deviations of a pair at the threshold it allows for (missed: one in 10^9).
+SIGNS, DEVIATIONS = 64, 6.5
+#: Sizes of cells that are broadcast at most; and sketches compared at once.
+BROADCAST_ROWS, BLOCK = 500_000, 1 << 22
 
 
 def e8_neighbours() -> np.ndarray:
@@ -70,6 +77,11 @@ class Lattice:
         rng = np.random.default_rng([seed, dims])
         self.projections = [rng.normal(0, 1 / width, (dims, 8)) for _ in range(tables)]
         self.near, self.probes = e8_neighbours(), probes
+        self.directions = rng.normal(size=(dims, SIGNS))
+
+    def signs(self, unit: np.ndarray) -> np.ndarray:
+        """A long for each row, a bit for the side of each random plane it is on."""
+        return np.packbits(unit @ self.directions > 0, axis=1).view(np.int64)[:, 0]
 
     def cells(self, unit: np.ndarray) -> np.ndarray:
         """(rows, tables, 1 + probes) cell numbers, the home cell first."""
@@ -107,6 +119,59 @@ def _by_dims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.filter(pa.array(dims == d))
 
 
+def _whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """A sorted stream in batches that don't cut a run of equal keys."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.stack([b.column(x).to_numpy(zero_copy_only=False) for x in keys])
+        if held:
+            last = np.array([held[-1].column(x)[-1].as_py() for x in keys])
+            begins = np.flatnonzero((k != last[:, None]).any(axis=0))
+            cut_at = int(begins[0]) if len(begins) else b.num_rows
+            held.append(b.slice(0, cut_at))
+            if not len(begins):
+                continue
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, b, k = [], b.slice(cut_at), k[:, cut_at:]
+        changes = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1
+        at = int(changes[-1]) if len(changes) else 0
+        if at:
+            yield b.slice(0, at)
+        held = [b.slice(at)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _candidates(max_bits: int):
+    """Of a stream sorted by cell and tiles, the rows whose sign bits are near those of a row they may be compared with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = ["slot", "tile_i", "tile_j"]
+        for b in _whole_runs(batches, keys):
+            k = np.stack([b.column(x).to_numpy() for x in keys])
+            starts = np.concatenate([[0], np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1, [b.num_rows]])
+            run_of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            home, tile, bits = b.column("home").to_numpy(zero_copy_only=False), b.column("tile").to_numpy(), b.column("signs").to_numpy().view(np.uint64)
+            split = k[1] != k[2]
+            found = np.zeros(b.num_rows, dtype=bool)
+            asks = np.flatnonzero(home & (np.diff(starts)[run_of] > 1))  # a resident with each row of its cell
+            sizes = np.diff(starts)[run_of[asks]]
+            parts = np.cumsum(sizes) // BLOCK
+            for part in np.unique(parts):
+                some = asks[parts == part]
+                n = np.diff(starts)[run_of[some]]
+                i = np.repeat(some, n)
+                j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[run_of[some]], n)
+                near = (np.bitwise_count(bits[i] ^ bits[j]) <= max_bits) & (i != j) & (~split[i] | (tile[i] != tile[j]))
+                found[i[near]] = found[j[near]] = True
+            if found.any():
+                yield b.filter(pa.array(found)).drop_columns(["signs"])
+
+    return run
+
+
 def links(reps: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, width: float = WIDTH, per_tile: int = PER_TILE) -> DataFrame:
     """(a, b, n): the forest's edges (n 0), and (a, a, n): n vectors, copies counted, that are newly linked with a's."""
     n_parts = partitions(reps.sparkSession)
@@ -116,30 +181,38 @@ def links(reps: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes:
         for b in _by_dims(batches):
             d = b.column("dims")[0].as_py()
             lattice = lattices.setdefault(d, Lattice(d, tables, probes, width))
-            cells = lattice.cells(_unit(_vectors(b.column("vector"))))
-            flat = cells.reshape(len(cells), -1)
-            yield b.append_column("cells", pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32)), pa.array(flat.reshape(-1))))
-
-    with_cells = reps.mapInArrow(celled, T.StructType([*reps.schema.fields, T.StructField("cells", T.ArrayType(T.LongType()))]))
-    with_cells = cut(with_cells)
-    at = with_cells.select("rep", "label", "dims", F.posexplode("cells").alias("k", "cell"))
-    at = at.select("rep", "label", "dims", "cell", (F.col("k") / (1 + probes)).cast("int").alias("t"), (F.col("k") % (1 + probes) == 0).alias("home"))
-    place = ["label", "dims", "t", "cell"]
-    met = at.groupBy(*place).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("home").cast("int")).alias("any_home")).filter("n > 1 AND any_home = 1").select(*place)
-    at = cut(at.join(met, place))
-    tiled = tile_pairs(at, place, "rep", per_tile)
-    tiled = tiled.withColumn("slot", F.xxhash64(*place, "tile_i", "tile_j"))
-    full = tiled.join(with_cells.select("rep", "vector", "copies", "cells"), "rep")
-    keys = ["slot", "label", "dims", "t", "cell", "tile_i", "tile_j"]
-    full = full.repartition(n_parts, "slot").sortWithinPartitions(*keys)
+            unit = _unit(_vectors(b.column("vector")))
+            flat = lattice.cells(unit).reshape(len(unit), -1)
+            cells = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32)), pa.array(flat.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("label"), b.column("dims"), pa.array(lattice.signs(unit)), cells], names=["rep", "label", "dims", "signs", "cells"])
+
+    kinds = {f.name: f for f in reps.schema.fields}
+    with_cells = reps.mapInArrow(celled, T.StructType([kinds["rep"], kinds["label"], kinds["dims"], T.StructField("signs", T.LongType()), T.StructField("cells", T.ArrayType(T.LongType()))]))
+    at = cut(with_cells).select("rep", "label", "dims", "signs", F.posexplode("cells").alias("k", "cell"))
+    at = at.select("rep", "signs", F.xxhash64("label", "dims", (F.col("k") / (1 + probes)).cast("int"), "cell").alias("slot"), (F.col("k") / (1 + probes)).cast("tinyint").alias("t"), (F.col("k") % (1 + probes) == 0).alias("home"))
+    # cells of many rows are split into tiles; a sample of the rows tells which
+    sampled = at.filter(F.pmod(F.xxhash64("rep"), F.lit(SAMPLED)) == 0).groupBy("slot").agg((F.count(F.lit(1)) * SAMPLED).alias("cell_rows"))
+    sizes = cut(sampled.filter(F.col("cell_rows") > per_tile // 2))
+    if sizes.count() <= BROADCAST_ROWS:
+        sizes = F.broadcast(sizes)
+    tiled = dealt_to_tiles(at, sizes, ["slot"], "rep", per_tile)
+    keys = ["slot", "tile_i", "tile_j"]
+    p = float(np.arccos(cosine) / np.pi)
+    max_bits = int(np.ceil(SIGNS * p + DEVIATIONS * np.sqrt(SIGNS * p * (1 - p))))
+    columns = [*keys, "tile", "t", "home", "rep", "signs"]
+    met = tiled.select(*columns).repartition(n_parts, *keys).sortWithinPartitions(*keys)
+    likely = cut(met.mapInArrow(_candidates(max_bits), T.StructType([f for f in met.schema.fields if f.name != "signs"])))
+    full = likely.join(reps.select("rep", "label", "vector", "copies", "dims"), "rep").repartition(n_parts, *keys).sortWithinPartitions(*keys)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattices: dict[int, Lattice] = {}
         for g in groups(batches, keys):
-            home = g.column("home").to_numpy(zero_copy_only=False)
-            if g.num_rows < 2 or not home.any():
+            home, dims = g.column("home").to_numpy(zero_copy_only=False), g.column("dims").to_numpy()
+            if g.num_rows < 2 or not home.any() or dims.min() < dims.max():
                 continue
             unit, tile, t = _unit(_vectors(g.column("vector"))), g.column("tile").to_numpy(), g.column("t")[0].as_py()
-            cells = g.column("cells").flatten().to_numpy().reshape(g.num_rows, tables, 1 + probes)
+            label = g.column("label").dictionary_encode().indices.to_numpy()
+            lattice = lattices.setdefault(int(dims[0]), Lattice(int(dims[0]), tables, probes, width))
             copies, every = g.column("copies").to_numpy(), np.arange(g.num_rows)
             forest, new = Forest(g.num_rows), np.zeros(g.num_rows, dtype=np.int64)
 
@@ -148,18 +221,21 @@ def links(reps: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes:
                     some = left[a : a + 256]
                     hits = unit[some] @ unit[right].T >= cosine
                     hits &= some[:, None] < right[None] if same else True
-                    hits &= home[some][:, None] | home[right][None]
+                    hits &= (home[some][:, None] | home[right][None]) & (label[some][:, None] == label[right][None])
                     if not hits.any():
                         continue
                     forest.link(hits, some, right)
                     i, j = np.nonzero(hits)
                     i, j = some[i], right[j]
+                    rows, back_to = np.unique(np.concatenate([i, j]), return_inverse=True)
+                    cells = lattice.cells(unit[rows])  # only rows with a link need theirs here
+                    ci, cj = cells[back_to[: len(i)]], cells[back_to[len(i) :]]
                     earlier = np.zeros(len(i), dtype=bool)  # met in a table before this one
                     for s in range(t):
-                        earlier |= (cells[i, s, :1] == cells[j, s]).any(axis=1) | (cells[j, s, :1] == cells[i, s]).any(axis=1)
+                        earlier |= (ci[:, s, :1] == cj[:, s]).any(axis=1) | (cj[:, s, :1] == ci[:, s]).any(axis=1)
                     # two that visit each other's home meet twice in this table, and count in the cell of the smaller number
-                    here, there = np.where(home[i], cells[i, t, 0], cells[j, t, 0]), np.where(home[i], cells[j, t, 0], cells[i, t, 0])
-                    back = np.where(home[i], (cells[i, t, 1:] == there[:, None]).any(axis=1), (cells[j, t, 1:] == there[:, None]).any(axis=1))
+                    here, there = np.where(home[i], ci[:, t, 0], cj[:, t, 0]), np.where(home[i], cj[:, t, 0], ci[:, t, 0])
+                    back = np.where(home[i], (ci[:, t, 1:] == there[:, None]).any(axis=1), (cj[:, t, 1:] == there[:, None]).any(axis=1))
                     earlier |= ~(home[i] & home[j]) & back & (there < here)
                     i, j = i[~earlier], j[~earlier]
                     np.add.at(new, i, copies[j])
@@ -179,15 +255,17 @@ def links(reps: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes:
                 yield pa.RecordBatch.from_arrays([rep.take(a), rep.take(b), pa.array(np.concatenate([np.zeros(len(child), np.int64), new[some]]))], names=["a", "b", "n"])
 
     kind = reps.schema["rep"].dataType
-    columns = [*keys, "tile", "home", "rep", "vector", "copies", "cells"]
-    return full.select(*columns).mapInArrow(compared, T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("n", T.LongType())]))
+    return full.mapInArrow(compared, T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("n", T.LongType())]))
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, width: float = WIDTH, per_tile: int = PER_TILE) -> DataFrame:
-    """(id_col, n_links, component_id, kept) of each row. Vectors that are null, zero, of no label or with null or non-finite
-    entries have no link; vectors of unequal length aren't compared. Null ids are never representatives: such rows get 0 links.
+    """(id_col, n_links, component_id, kept) of each row.
 
-    A pair at the threshold meets in a table with a chance of about 0.6, so in none of six with one of 0.4 percent.
+    Vectors that are null, empty, zero, of no label or with null or non-finite entries have no link; vectors of unequal length
+    aren't compared. Null ids are never representatives: such rows get 0 links. Equal vectors of a label are linked, and repeated
+    rows with them; each row keeps its own result. A pair exactly at the threshold is linked. Other columns aren't looked at. An
+    empty table gives an empty result. A pair at the threshold meets in a table with a chance of about 0.6, so in none of six
+    with one of 0.4 percent.
     """
     own = vectors.select(F.col(id_col), F.col(vector_col).alias("vector"), F.col(label_col).alias("label"))
     reps = cut(distinct_vectors(own.filter(F.col(id_col).isNotNull()), id_col, "vector", "label"))

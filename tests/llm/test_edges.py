@@ -58,6 +58,8 @@ def test_line_dedup(docs, empty):
     assert null.n_dropped == 0 and out[1].n_dropped == 1
     assert line_dedup.dedup_lines(empty).count() == 0
     assert line_dedup.dedup_lines(docs).count() == docs.count()
+    kept = line_dedup.dedup_lines(clash(docs))
+    assert {"_h", "_w", "salt", "fp"} <= set(kept.columns) and kept.filter("_h <> 'mine' OR _w <> 'mine' OR salt <> 'mine'").count() == 0
 
 
 def test_line_dedup_salts_do_not_matter(docs):
@@ -75,6 +77,26 @@ def test_quality(docs, empty):
     assert quality.judged(empty).count() == 0
 
 
+def test_quality_is_the_same_however_rows_are_dealt(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = [sorted((r.doc_id, r.kept) for r in quality.judged(d).select("doc_id", "kept").collect()) for d in (docs, docs.repartition(7, "text"), docs.orderBy(F.desc("doc_id")))]
+    assert found[0] == found[1] == found[2]
+
+
+def test_quality_counts_where_leading_bits_agree(spark):
+    """Repeats by brute force, in texts of few and of many windows."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, top, n)), "en", "s", 1) for i, (n, top) in enumerate([(0, 9), (2, 9), (3, 1), (50, 4), (400, 12), (5000, 20), (30_000, 60)])]
+    out = {r.doc_id: r.n_repeat_words for r in quality.text_counts(spark.createDataFrame(rows, DOCS)).collect()}
+    for i, text, *_ in rows:
+        w = text.split()
+        grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        many = {}
+        for g in grams:
+            many[g] = many.get(g, 0) + 1
+        assert out[i] == len({k + d for k, g in enumerate(grams) if many[g] > 1 for d in range(3)})
+
+
 def test_quality_rejects_what_stands_out(spark):
     clean = [(i, " ".join(f"w{(i * 37 + k * k) % 997}" for k in range(60)), "en", "s", 1) for i in range(150)]
     junk = [(1000 + i, " ".join(f"w{(i * 31 + k * k) % 991}###$$$" for k in range(60)), "en", "s", 1) for i in range(10)]

@@ -324,3 +324,22 @@ def test_appended_streams_do_not_go_to_the_driver(spark, tmp_path):
     finally:
         stream.OUT_ROWS = old
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("eps, least", [(0.3, 4), (0.5, 5), (0.1, 3)])
+def test_dbscan_against_brute_force(spark, eps, least):
+    rng = np.random.default_rng(int(eps * 10))
+    at = np.concatenate([rng.normal(0, 1, (150, 2)) * 0.3, rng.uniform(-5, 5, (150, 2)), np.round(rng.uniform(-3, 3, (60, 2)), 1)])
+    got = {r[0]: r[1] for r in cluster.dbscan(spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(at)], "row_id long, x double, y double"), eps, least).collect()}
+    near = np.sqrt(((at[:, None] - at[None]) ** 2).sum(axis=2)) <= eps
+    core, label, k = near.sum(axis=1) >= least, np.full(len(at), -1), 0
+    for i in np.flatnonzero(core):
+        if label[i] < 0:
+            todo, label[i] = [i], k
+            while todo:
+                for j in np.flatnonzero(near[todo.pop()] & core & (label < 0)):
+                    label[j] = k
+                    todo.append(j)
+            k += 1
+    want = {i: int(label[i] if core[i] else min(label[near[i] & core], default=-1)) for i in range(len(at))}
+    assert got == want

@@ -58,6 +58,16 @@ def u13(spark, d):
     return saliency.open_mask(masks(spark, d), 3)
 
 
+@query("U14_saliency_boxes_whole", f"""WITH RECURSIVE {MASKS.removeprefix("WITH ")}, px AS (SELECT tile, y, x, y * 10000 + x AS p FROM mk WHERE mask = 1),
+nb AS (SELECT a.tile, a.p AS a, b.p AS b FROM px a JOIN px b ON a.tile = b.tile AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+rc AS (SELECT tile, p AS s, p AS t FROM px UNION SELECT rc.tile, rc.s, nb.b FROM rc JOIN nb ON rc.tile = nb.tile AND rc.t = nb.a), rt AS (SELECT tile, s AS p, min(t) AS root FROM rc GROUP BY ALL)
+SELECT tile, CAST(min(x) AS INTEGER) AS x, CAST(min(y) AS INTEGER) AS y, CAST(max(x) - min(x) + 1 AS INTEGER) AS w, CAST(max(y) - min(y) + 1 AS INTEGER) AS h, CAST(count(*) AS INTEGER) AS area, round(avg(x), 6) + 0.0 AS cx, round(avg(y), 6) + 0.0 AS cy FROM rt JOIN px USING (tile, p) GROUP BY tile, root""")
+def u14_whole(spark, d):
+    """The bounds of each blob, none too large."""
+    b = saliency.saliency_boxes(masks(spark, d), 1 << 30)
+    return b.select("tile", "x", "y", "w", "h", "area", r6(F.col("cx")).alias("cx"), r6(F.col("cy")).alias("cy"))
+
+
 @query("U14_saliency_boxes", None)
 def u14(spark, d):
     b = saliency.saliency_boxes(masks(spark, d), 20, 6)
@@ -98,7 +108,16 @@ def u12(spark, d):
     return similarity(spark, d).withColumn("value", r6(F.col("value")))
 
 
-@query("U12_resized_maps", None)
+def _resized_sql(to: int) -> str:
+    """Bilinear values at the pixel centres of a to x to map, from maps of side x side patches."""
+    axis = f"SELECT side, k, least(greatest((k + 0.5) * side / {to}.0 - 0.5, 0), side - 1) AS f FROM (SELECT DISTINCT side FROM mp), range({to}) AS t(k)"
+    blend = "sum(v * (1 - abs(mp.r - ay.f)) * (1 - abs(mp.c - ax.f)))"
+    return f"""mp AS (SELECT tile, location_id, value AS v, side, k // side AS r, k % side AS c FROM (SELECT tile, location_id, value, CAST(round(sqrt(count(*) OVER w)) AS BIGINT) AS side, count(*) OVER w AS n, row_number() OVER (PARTITION BY tile, location_id ORDER BY pos) - 1 AS k FROM st WINDOW w AS (PARTITION BY tile, location_id)) WHERE side * side = n),
+ax AS ({axis})
+SELECT tile, location_id, CAST(ay.k AS INTEGER) AS y, CAST(ax.k AS INTEGER) AS x, round({blend}, 6) + 0.0 AS value FROM mp JOIN ax ON ax.side = mp.side AND abs(mp.c - ax.f) < 1 JOIN ax AS ay ON ay.side = mp.side AND abs(mp.r - ay.f) < 1 GROUP BY tile, location_id, ay.k, ax.k"""
+
+
+@query("U12_resized_maps", SIMILARITY + ", st AS (SELECT tile, location_id, pos, CASE WHEN max(v) OVER w - min(v) OVER w < 1e-12 THEN 0 ELSE (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) END AS value FROM s WINDOW w AS (PARTITION BY tile, location_id)), " + _resized_sql(8))
 def u12b(spark, d):
     return saliency.resize_maps(similarity(spark, d), 8, 8).withColumn("value", r6(F.col("value")))
 

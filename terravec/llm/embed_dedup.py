@@ -2,8 +2,8 @@
 
 Each table projects a unit vector to eight dimensions and finds the nearest point of the E8 lattice; that is its home cell.
 It also visits the cells of the lattice neighbours that its projection is next nearest to. What travels to a cell is the row's id
-and 64 sign bits; only rows whose bits are near enough to those of a resident or visitor there go on with their vectors. Numpy
-then compares these tile by tile, and a pair counts in the first table where it could meet. Tiles hand on counts and a spanning
+and 64 sign bits; only rows whose bits are near enough to those of a resident or visitor there are sent their vectors. Numpy then
+compares these tile by tile, and a pair counts in the first table where it could meet. Tiles hand on counts and a spanning
 forest, never the pairs. Equal vectors are one row throughout.
 """
 
@@ -184,11 +184,10 @@ def links(reps: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes:
             unit = _unit(_vectors(b.column("vector")))
             flat = lattice.cells(unit).reshape(len(unit), -1)
             cells = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32)), pa.array(flat.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("label"), b.column("dims"), pa.array(lattice.signs(unit)), cells], names=["rep", "label", "dims", "signs", "cells"])
+            yield b.append_column("signs", pa.array(lattice.signs(unit))).append_column("cells", cells)
 
-    kinds = {f.name: f for f in reps.schema.fields}
-    with_cells = reps.mapInArrow(celled, T.StructType([kinds["rep"], kinds["label"], kinds["dims"], T.StructField("signs", T.LongType()), T.StructField("cells", T.ArrayType(T.LongType()))]))
-    at = cut(with_cells).select("rep", "label", "dims", "signs", F.posexplode("cells").alias("k", "cell"))
+    with_cells = cut(reps.mapInArrow(celled, T.StructType([*reps.schema.fields, T.StructField("signs", T.LongType()), T.StructField("cells", T.ArrayType(T.LongType()))])))
+    at = with_cells.select("rep", "label", "dims", "signs", F.posexplode("cells").alias("k", "cell"))
     at = at.select("rep", "signs", F.xxhash64("label", "dims", (F.col("k") / (1 + probes)).cast("int"), "cell").alias("slot"), (F.col("k") / (1 + probes)).cast("tinyint").alias("t"), (F.col("k") % (1 + probes) == 0).alias("home"))
     # cells of many rows are split into tiles; a sample of the rows tells which
     sampled = at.filter(F.pmod(F.xxhash64("rep"), F.lit(SAMPLED)) == 0).groupBy("slot").agg((F.count(F.lit(1)) * SAMPLED).alias("cell_rows"))
@@ -202,17 +201,16 @@ def links(reps: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes:
     columns = [*keys, "tile", "t", "home", "rep", "signs"]
     met = tiled.select(*columns).repartition(n_parts, *keys).sortWithinPartitions(*keys)
     likely = cut(met.mapInArrow(_candidates(max_bits), T.StructType([f for f in met.schema.fields if f.name != "signs"])))
-    full = likely.join(reps.select("rep", "label", "vector", "copies", "dims"), "rep").repartition(n_parts, *keys).sortWithinPartitions(*keys)
+    full = likely.join(with_cells.select("rep", "label", "vector", "copies", "dims", "cells"), "rep").repartition(n_parts, *keys).sortWithinPartitions(*keys)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices: dict[int, Lattice] = {}
         for g in groups(batches, keys):
             home, dims = g.column("home").to_numpy(zero_copy_only=False), g.column("dims").to_numpy()
             if g.num_rows < 2 or not home.any() or dims.min() < dims.max():
                 continue
             unit, tile, t = _unit(_vectors(g.column("vector"))), g.column("tile").to_numpy(), g.column("t")[0].as_py()
             label = g.column("label").dictionary_encode().indices.to_numpy()
-            lattice = lattices.setdefault(int(dims[0]), Lattice(int(dims[0]), tables, probes, width))
+            cells = g.column("cells").flatten().to_numpy().reshape(g.num_rows, tables, 1 + probes)
             copies, every = g.column("copies").to_numpy(), np.arange(g.num_rows)
             forest, new = Forest(g.num_rows), np.zeros(g.num_rows, dtype=np.int64)
 
@@ -227,9 +225,7 @@ def links(reps: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes:
                     forest.link(hits, some, right)
                     i, j = np.nonzero(hits)
                     i, j = some[i], right[j]
-                    rows, back_to = np.unique(np.concatenate([i, j]), return_inverse=True)
-                    cells = lattice.cells(unit[rows])  # only rows with a link need theirs here
-                    ci, cj = cells[back_to[: len(i)]], cells[back_to[len(i) :]]
+                    ci, cj = cells[i], cells[j]
                     earlier = np.zeros(len(i), dtype=bool)  # met in a table before this one
                     for s in range(t):
                         earlier |= (ci[:, s, :1] == cj[:, s]).any(axis=1) | (cj[:, s, :1] == ci[:, s]).any(axis=1)

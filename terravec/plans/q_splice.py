@@ -261,7 +261,14 @@ _net_query("U8_encode_points_siren", nets.siren([(_matrix(6, 4, 3), _bias(6)), (
 _net_query("U8_encode_points_linear", nets.linear(_matrix(5, 4, 9), _bias(5)), [(5, 9, "{}")])
 
 
-@query("U9_precompute_embeddings", None)
+_H = _sql_layer([f"h{k}" for k in range(6)], 6, 5, "greatest({}, 0.0)")
+U9_SQL = f"""WITH {sql_points("pts", "documents", "doc_id")}, a AS (SELECT point_id, {", ".join(f"{x} AS h{k}" for k, x in enumerate(_sql_layer(_IN, 6, 3, "greatest({}, 0.0)")))} FROM pts),
+b AS (SELECT *, {", ".join(f"{x} AS g{k}" for k, x in enumerate(_H))} FROM a), c AS (SELECT point_id, [{", ".join(f"h{k} + {x}" for k, x in enumerate(_sql_layer([f"g{k}" for k in range(6)], 6, 8, "greatest({}, 0.0)")))}] AS e FROM b),
+s AS (SELECT point_id, CASE WHEN r <= ceil(n * 0.1) THEN 'test' WHEN r <= ceil(n * 0.1) + ceil((n - ceil(n * 0.1)) * 0.1) THEN 'val' ELSE 'train' END AS split FROM (SELECT point_id, row_number() OVER (ORDER BY (point_id * 7919) % 10007, point_id) AS r, count(*) OVER () AS n FROM pts))
+SELECT point_id AS doc_id, split, round(e[1] / greatest(sqrt(list_inner_product(e, e)), 1e-12), 6) + 0.0 AS first, CAST(len(e) AS INTEGER) AS dims FROM c JOIN s USING (point_id)"""
+
+
+@query("U9_precompute_embeddings", U9_SQL)
 def u9(spark, d):
     """Documents at their points, encoded, with their split."""
     docs = located(table(spark, d, "documents").select("doc_id", "text"), "doc_id")

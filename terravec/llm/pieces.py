@@ -380,7 +380,8 @@ def _lists(ids: list[bytes]) -> pa.Array:
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """(doc, ids array<int>) of each row. A null or empty text has no ids.
+    """(doc, ids array<int>) of each row. A null or empty text has no ids. Repeated rows stay, null ids are ids, and other columns
+    aren't looked at; an empty table gives an empty result.
 
     Texts of up to ``chunk`` characters are encoded where they are read. Longer ones become chunk rows, dealt over all tasks:
     transfer matrices, their products by document, then ids by chunk.
@@ -443,7 +444,8 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
-    """Adds text, and ids_crc32 (of the ids as little-endian unsigned 32 bits), to rows with ids; no ids or null: the empty text."""
+    """Adds text, and ids_crc32 (of the ids as little-endian unsigned 32 bits), to rows with ids; no ids or null: the empty text.
+    Columns of these names are replaced, others pass through."""
     path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,7 @@
 """SimHash near-dedup: 64-bit fingerprints of word shingles, compared exactly tile by tile.
 
 Two fingerprints within radius r have population counts that differ by r at most, over any split of their bits by the sum
-of the differences. Cells are the population counts of four 16-bit segments; a fingerprint is at home in its own cell and
+of the differences. Cells are the population counts of 4, 8 or 16 segments; a fingerprint is at home in its own cell and
 visits the cells after it whose counts differ by r in all. Tile pairs farther apart are never formed. In each tile pair numpy
 compares by exclusive-or and bit counts, and hands on a spanning forest of its links instead of all pairs.
 """
@@ -9,7 +9,6 @@ compares by exclusive-or and bit counts, and hands on a spanning forest of its l
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,8 @@ from terravec.llm.common import ascii_lower, components, cut, partitions, table,
 
 SHINGLE_WORDS = 3
 RADIUS = 2
-SEGMENTS = 4
+#: Segments of the bits by the number of distinct fingerprints: more of them make smaller cells and more visits, for the same links.
+SEGMENTS = ((2_000_000, 4), (200_000_000, 8), (float("inf"), 16))
 PER_TILE = 16384
 #: A fingerprint with more rows than this meets its component in several parts, at most so many.
 COPIES, PARTS = 4096, 1024
@@ -66,11 +66,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def neighbour_cells(radius: int, segments: int) -> list[tuple[int, ...]]:
     """Differences of segment counts of at most radius in all that are zero or lexicographically positive."""
-    zero = (0,) * segments
-    return sorted(o for o in product(range(-radius, radius + 1), repeat=segments) if sum(map(abs, o)) <= radius and o >= zero)
+    found = [((), 0)]
+    for _ in range(segments):
+        found = [((*o, x), used + abs(x)) for o, used in found for x in range(used - radius, radius - used + 1)]
+    return sorted(o for o, _ in found if o >= (0,) * segments)
 
 
-def dealt_to_cells(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
+def dealt_to_cells(fps: DataFrame, radius: int = RADIUS, segments: int = 4) -> DataFrame:
     """Each row (fp, ...) in its home cell and in the cells it visits: adds cell and home."""
     width = 64 // segments
     counts = [F.bit_count(F.shiftrightunsigned("fp", width * k).bitwiseAND(F.lit((1 << width) - 1))) for k in range(segments)]
@@ -112,8 +114,11 @@ def _linked(radius: int):
     return run
 
 
-def fingerprint_links(reps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, per_tile: int = PER_TILE) -> DataFrame:
+def fingerprint_links(reps: DataFrame, radius: int = RADIUS, segments: int | None = None, per_tile: int = PER_TILE) -> DataFrame:
     """(fp, rep) of distinct fingerprints -> links (a, b) of reps whose closure is that of all pairs within radius."""
+    if segments is None:
+        n = reps.count()
+        segments = next(k for most, k in SEGMENTS if n <= most)
     cells = tile_pairs(dealt_to_cells(reps, radius, segments), ["cell"], "fp", per_tile)
     keys = ["cell", "tile_i", "tile_j"]
     sorted_tiles = cells.repartition(partitions(reps.sparkSession), *keys).sortWithinPartitions(*keys)
@@ -121,7 +126,7 @@ def fingerprint_links(reps: DataFrame, radius: int = RADIUS, segments: int = SEG
     return sorted_tiles.mapInArrow(_linked(radius), f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, radius: int = RADIUS, segments: int = SEGMENTS, per_tile: int = PER_TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, radius: int = RADIUS, segments: int | None = None, per_tile: int = PER_TILE) -> DataFrame:
     """(doc, text_hash, fp, component) of each row: component is the smallest id whose text is reachable over links of
     fingerprints within radius; text_hash is that of xxhash64.
 

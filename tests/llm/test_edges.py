@@ -112,6 +112,12 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_simhash_segments_do_not_matter(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = [sorted((r.doc, r.component) for r in simhash.near_duplicates(docs, segments=k, per_tile=n).collect()) for k, n in ((4, 16384), (8, 16384), (16, 5), (None, 16384))]
+    assert found[0] == found[1] == found[2] == found[3]
+
+
 def test_simhash_only_nulls(spark):
     only = spark.createDataFrame([(None, "a b c d e f")], "doc_id long, text string")
     assert simhash.near_duplicates(only).first().component is None

@@ -216,12 +216,21 @@ def threshold_ema(steps: DataFrame, run: str = "run", beta: float = EMA_BETA, af
     return steps.filter(F.col("step") > after).select(run, "step", "min_active").groupBy(run).applyInPandas(one, f"{run} {kind}, step bigint, threshold double")
 
 
-def rows_since_fired(log: DataFrame, dead_after: int = DEAD_AFTER_ROWS) -> DataFrame:
-    """(neuron, step, since, dead) of rows (neuron, step, batch_size, fired): rows seen since a feature last fired."""
-    w = Window.partitionBy("neuron").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    seen = log.withColumn("seen", F.sum("batch_size").over(w))
-    last = F.coalesce(F.max(F.when(F.col("fired"), F.col("seen"))).over(w), F.lit(0))
-    return seen.select("neuron", "step", (F.col("seen") - last).alias("since")).withColumn("dead", F.col("since") >= dead_after)
+def rows_since_fired(log: DataFrame, dead_after: int = DEAD_AFTER_ROWS, steps: int = 10_000) -> DataFrame:
+    """(neuron, step, since, dead) of rows (neuron, step, batch_size, fired): rows seen since a feature last fired.
+
+    Sums run within ranges of ``steps`` steps first, and then over the ranges' totals, so that a feature isn't one task.
+    """
+    w = Window.partitionBy("neuron", "_part").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    seen = log.select("neuron", "step", "batch_size", "fired", F.floor(F.col("step") / steps).alias("_part")).withColumn("_seen", F.sum("batch_size").over(w))
+    seen = seen.withColumn("_last", F.max(F.when(F.col("fired"), F.col("_seen"))).over(w))
+    parts = seen.groupBy("neuron", "_part").agg(F.sum("batch_size").alias("_rows"), F.max("_last").alias("_fired"))
+    over = Window.partitionBy("neuron").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_rows").over(over), F.lit(0)))
+    parts = parts.withColumn("_old", F.coalesce(F.max(F.col("_before") + F.col("_fired")).over(over), F.lit(0)))
+    since = F.when(F.col("_last").isNotNull(), F.col("_seen") - F.col("_last")).otherwise(F.col("_before") + F.col("_seen") - F.col("_old"))
+    out = seen.join(parts.select("neuron", "_part", "_before", "_old"), ["neuron", "_part"]).select("neuron", "step", since.alias("since"))
+    return out.withColumn("dead", F.col("since") >= dead_after)
 
 
 def sae_validation(df: DataFrame, params: Params, vector: str, factor: float = 1.0, batch: str = "batch_id") -> DataFrame:

@@ -343,3 +343,26 @@ def test_dbscan_against_brute_force(spark, eps, least):
             k += 1
     want = {i: int(label[i] if core[i] else min(label[near[i] & core], default=-1)) for i in range(len(at))}
     assert got == want
+
+
+def test_eps_neighbors_of_split_cells(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(0, 0.3, (120, 2)))]
+    df = spark.createDataFrame(rows, "row_id long, x double, y double")
+    found = [sorted(map(tuple, joins.eps_neighbors(df, 0.25, per_cell=n).collect())) for n in (4096, 7)]
+    assert found[0] == found[1] == sorted((i, j) for i, a, b in rows for j, c, d in rows if ((a - c) ** 2 + (b - d) ** 2) ** 0.5 <= 0.25)
+
+
+def test_rows_since_fired_in_ranges(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, s, int(rng.integers(1, 9)), bool(rng.random() < 0.1)) for k in range(3) for s in range(50)]
+    log = spark.createDataFrame(rows, "neuron int, step long, batch_size int, fired boolean")
+    found = [sorted(map(tuple, sae.rows_since_fired(log, 20, steps=n).collect())) for n in (10_000, 7, 1)]
+    want = []
+    for k in range(3):
+        seen = last = 0
+        for _, s, n, fired in [r for r in rows if r[0] == k]:
+            seen += n
+            last = seen if fired else last
+            want.append((k, s, seen - last, seen - last >= 20))
+    assert found[0] == found[1] == found[2] == sorted(want)

@@ -38,7 +38,7 @@ LAST = 4
 #: Pieces of one length are ranked in so many buckets, by a hash of document and piece.
 BUCKETS = 256
 #: Entries of each of the two generations of a worker's cache of words.
-CACHE = 500_000
+CACHE = 400_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -33,7 +33,7 @@ RATE = 15.0
 OUT_RATE = 0.02
 FLAG_AT = 0.7
 #: Bytes scored at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _BREAK = 0x20
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True

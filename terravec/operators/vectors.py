@@ -1,14 +1,12 @@
-"""Means, medians and neighbours of vector columns."""
+"""Means and medians of vector columns."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def vector_mean(df: DataFrame, vector: str, *by: str) -> DataFrame:
@@ -44,35 +42,3 @@ BLOCK_ROWS = 10_000
 def blocks_of(df: DataFrame, rows: int = BLOCK_ROWS) -> int:
     """So many blocks that none has much over ``rows`` rows, two at least."""
     return max(2, -(-df.count() // rows))
-
-
-def knn(df: DataFrame, key: str, vector: str, k: int, blocks: int | None = None) -> DataFrame:
-    """(key, rank from 1, neighbour, dist): the k nearest rows by Euclidean distance, the row itself among them; ties by key.
-
-    Rows are dealt to blocks, as many as the table takes; each pair of blocks is one numpy product that keeps k per row, and a
-    window merges them. So a row goes to ``blocks`` tasks, and no task holds more than two blocks.
-    """
-    blocks = blocks or blocks_of(df)
-    kind = df.schema[key].dataType
-    x = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = x.select("key", "v", F.col("block").alias("bi"), each.alias("bj"), F.lit(True).alias("asks"))
-    right = x.select("key", "v", each.alias("bi"), F.col("block").alias("bj"), F.lit(False).alias("asks"))
-
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.asks].sort_values("key"), pdf[~pdf.asks].sort_values("key")
-        if a.empty or b.empty:
-            return pd.DataFrame({"key": [], "neighbour": [], "dist": []})
-        va, vb = np.stack(a.v.to_list()), np.stack(b.v.to_list())
-        out = []
-        for s in range(0, len(va), 512):
-            d = np.sqrt(np.maximum(((va[s : s + 512, None] - vb[None]) ** 2).sum(axis=2), 0)) if len(vb) * va.shape[1] < 200_000 else np.sqrt(np.maximum((va[s : s + 512] ** 2).sum(1)[:, None] - 2 * va[s : s + 512] @ vb.T + (vb**2).sum(1)[None], 0))
-            top = np.argsort(d, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"key": np.repeat(a.key.to_numpy()[s : s + 512], top.shape[1]), "neighbour": b.key.to_numpy()[top.reshape(-1)], "dist": np.take_along_axis(d, top, axis=1).reshape(-1)}))
-        return pd.concat(out)
-
-    schema = T.StructType([T.StructField("key", kind), T.StructField("neighbour", kind), T.StructField("dist", T.DoubleType())])
-    found = left.unionByName(right).groupBy("bi", "bj").applyInPandas(nearest, schema)
-    w = Window.partitionBy("key").orderBy("dist", "neighbour")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("key").alias(key), "rank", "neighbour", "dist")
-

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from terravec.operators import align, joins, sampling, vectors
+from terravec.operators import align, joins, metric, sampling
 from terravec.operators.raster import raster_lookup
 from terravec.plans.base import entries, event_points, points, query, r6, sql_entries, sql_points, table
 from terravec.plans.q_points import LONG, PLANE, long_activations, plane
@@ -55,7 +55,7 @@ def j5b(spark, d):
 @query("J6_knn", f"""WITH e AS (SELECT vec_id, {_E} AS e FROM embeddings), p AS (SELECT a.vec_id, b.vec_id AS neighbour, round(list_distance(a.e, b.e), 6) + 0.0 AS dist FROM e a, e b)
 SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY dist, neighbour) AS INTEGER) AS rank, dist FROM p QUALIFY rank <= 4""")
 def j6(spark, d):
-    return vectors.knn(table(spark, d, "embeddings"), "vec_id", "embedding", 4).select("vec_id", "rank", r6(F.col("dist")).alias("dist"))
+    return metric.knn(table(spark, d, "embeddings"), "vec_id", "embedding", 4).select("vec_id", "rank", r6(F.col("dist")).alias("dist"))
 
 
 @query("J7_eps_neighbors", f"WITH {PLANE} SELECT a.row_id, b.row_id AS other FROM pl a JOIN pl b ON sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 0.25")

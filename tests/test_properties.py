@@ -213,14 +213,6 @@ def test_geometric_median(spark):
     assert all(cost(m) <= cost(m + d) + 1e-4 for d in np.array([[0.01, 0], [-0.01, 0], [0, 0.01], [0, -0.01]]))
 
 
-def test_knn_blocks(spark):
-    rng = np.random.default_rng(6)
-    x = rng.normal(size=(40, 3))
-    df = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "k long, v array<double>")
-    key = lambda b: sorted((r.k, r["rank"], r.neighbour) for r in vectors.knn(df, "k", "v", 3, b).collect())
-    assert key(1) == key(5)
-
-
 def test_text_columns(spark):
     with pytest.raises(ValueError):
         filters.check_schema(spark.range(1))

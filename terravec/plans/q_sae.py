@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from terravec.operators import sae
-from terravec.plans.base import entries, query, r6, sql_points, table
+from terravec.operators import geotree, sae
+from terravec.plans.base import entries, located, query, r6, sql_points, table
 from terravec.plans.q_points import LONG, long_activations
 
 N, D = 24, 64
@@ -112,15 +112,25 @@ def a11(spark, d):
     return _visual(spark, d).select("neuron", r6(F.col("score")).alias("score"))
 
 
-@query("A12_monosemanticity_geo", f"WITH {SCALED}, " + sql_points("pts", "embeddings", "vec_id") + """,
+_GEO = (f"WITH {SCALED}, " + sql_points("pts", "embeddings", "vec_id") + """,
 h AS (SELECT a.point_id AS i, b.point_id AS j, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2) AS h FROM pts a JOIN pts b ON a.point_id < b.point_id),
 k AS (SELECT i, j, exp(-2 * 6371.0 * atan2(sqrt(least(h, 1)), sqrt(greatest(1 - h, 0))) / 500.0) AS c FROM h)
 SELECT x.neuron, round(sum(x.a * y.a * c) / sum(x.a * y.a), 6) + 0.0 AS score FROM k JOIN sc x ON x.point_id = i JOIN sc y ON y.point_id = j AND y.neuron = x.neuron GROUP BY x.neuron""")
+
+
+def _located(spark, d):
+    return located(table(spark, d, "embeddings").select(F.col("vec_id").alias("point_id")), "point_id")
+
+
+@query("A12_monosemanticity_geo", _GEO)
 def a12(spark, d):
-    from terravec.plans.base import located
+    return sae.monosemanticity_geo(_scaled(spark, d), _located(spark, d), 16).select("neuron", r6(F.col("score")).alias("score"))
+
 
-    at = located(table(spark, d, "embeddings").select(F.col("vec_id").alias("point_id")), "point_id")
-    return sae.monosemanticity_geo(_scaled(spark, d), at, 16).select("neuron", r6(F.col("score")).alias("score"))
+@query("A12_monosemanticity_geo_tree", _GEO)
+def a12_tree(spark, d):
+    """By the tree, with a bound far below the digits compared."""
+    return geotree.monosemanticity_geo_tree(_scaled(spark, d), _located(spark, d), 16, tau=1e-11).select("neuron", r6(F.col("score")).alias("score"))
 
 
 @query("A13_score_summary", f"WITH {VISUAL} SELECT 'visual' AS metric, round(min(score), 6) + 0.0 AS min, round(max(score), 6) + 0.0 AS max, round(avg(score), 6) + 0.0 AS mean, round(stddev_samp(score), 6) + 0.0 AS std, 20 - count(score) AS dead, CAST(20 AS BIGINT) AS total FROM vs")

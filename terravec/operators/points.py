@@ -6,15 +6,15 @@ order column that the caller gives.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terravec.functions import geo
+from terravec.operators.polygons import EdgeIndex, edge_index, regions_of
 from terravec.operators.shared import cut
 
 RING = T.ArrayType(T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())]))
@@ -56,48 +56,15 @@ def polygons_from(spark: SparkSession, shapes: dict[str, list[list[tuple[float,
     return spark.createDataFrame([(name, [close(r) for r in rings]) for name, rings in shapes.items()], POLYGONS)
 
 
-def inside(x: np.ndarray, y: np.ndarray, rings: list[np.ndarray]) -> np.ndarray:
-    """Even-odd ray test over all edges; points on an edge are outside."""
-    odd, edge = np.zeros(len(x), dtype=bool), np.zeros(len(x), dtype=bool)
-    for ring in rings:
-        for (x0, y0), (x1, y1) in zip(ring[:-1], ring[1:], strict=True):
-            if y0 != y1:
-                odd ^= ((y0 > y) != (y1 > y)) & (x < (x1 - x0) * (y - y0) / (y1 - y0) + x0)
-            on = (x1 - x0) * (y - y0) - (y1 - y0) * (x - x0) == 0
-            edge |= on & (x >= min(x0, x1)) & (x <= max(x0, x1)) & (y >= min(y0, y1)) & (y <= max(y0, y1))
-    return odd & ~edge
+def assign_regions(points: DataFrame, polygons: DataFrame | EdgeIndex) -> DataFrame:
+    """points with region, one row for each region that strictly holds the point; see ``polygons``. An index made before serves
+    several sets of points."""
+    return regions_of(points, polygons if isinstance(polygons, EdgeIndex) else edge_index(polygons))
 
 
-def assign_regions(points: DataFrame, polygons: DataFrame, max_edges: int = 2_000_000) -> DataFrame:
-    """points with region, one row for each region that strictly holds the point.
-
-    The polygon table is brought to the driver and broadcast; more than ``max_edges`` edges in all are refused, so that a big
-    set has to be cut into parts first. A bounding-box test goes before the exact one.
-    """
-    edges = polygons.select(F.coalesce(F.sum(F.aggregate("rings", F.lit(0), lambda s, r: s + F.size(r))), F.lit(0))).first()[0]
-    if edges > max_edges:
-        raise ValueError(f"{edges} edges are more than the {max_edges} that are broadcast; join parts of the polygons one by one")
-    shapes = [(r["region"], [np.array([(p["lon"], p["lat"]) for p in ring]) for ring in r["rings"]]) for r in polygons.orderBy("region").collect()]
-    boxes = [(min(a[:, 0].min() for a in rings), max(a[:, 0].max() for a in rings), min(a[:, 1].min() for a in rings), max(a[:, 1].max() for a in rings)) for _, rings in shapes]
-    shared = points.sparkSession.sparkContext.broadcast(list(zip(shapes, boxes, strict=True)))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            x, y = pdf["lon"].to_numpy(float), pdf["lat"].to_numpy(float)
-            for (region, rings), (x0, x1, y0, y1) in shared.value:
-                near = np.flatnonzero((x > x0) & (x < x1) & (y > y0) & (y < y1))
-                got = near[inside(x[near], y[near], rings)] if len(near) else near
-                if len(got):
-                    yield pdf.iloc[got].assign(region=region)
-
-    own = points.drop("region")
-    return own.mapInPandas(run, T.StructType([*own.schema.fields, T.StructField("region", T.StringType())]))
-
-
-def points_within(points: DataFrame, polygons: DataFrame) -> DataFrame:
+def points_within(points: DataFrame, polygons: DataFrame | EdgeIndex) -> DataFrame:
     """Points strictly inside the union of polygons (regions that don't overlap each other), boundary points out."""
-    whole = polygons.agg(F.lit("all").alias("region"), F.flatten(F.collect_list("rings")).alias("rings"))
-    return assign_regions(points, whole).drop("region")
+    return regions_of(points, polygons if isinstance(polygons, EdgeIndex) else edge_index(polygons, whole=True)).drop("region")
 
 
 def select_regions(polygons: DataFrame, names: list[str], merged: str | None = None) -> DataFrame:
@@ -122,9 +89,9 @@ def sphere_points(spark: SparkSession, draws: int, seed: int = SEED, lat_range:
 def union_draws(spark: SparkSession, polygons: DataFrame, n: int, seed: int = SEED, oversample: int = 10, max_rounds: int = 20, draw: Draw | None = None) -> DataFrame:
     """Ranges of draws, appended until n are within the polygons: the first n of them in draw order. Each range is checkpointed and
     counted once."""
-    found, start, have = None, 0, 0
+    found, start, have, index = None, 0, 0, edge_index(polygons, whole=True)
     for _ in range(max_rounds):
-        some = cut(points_within(sphere_points(spark, n * oversample, seed, start=start, draw=draw), polygons))
+        some = cut(points_within(sphere_points(spark, n * oversample, seed, start=start, draw=draw), index))
         found = some if found is None else found.unionByName(some)
         start, have = start + n * oversample, have + some.count()
         if have >= n:

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravec.functions.arrays import doubles, l2_normalize, norm
+from terravec.operators.sampling import class_ranked
+from terravec.operators.shared import cut, lookup
 from terravec.operators.vectors import blocks_of
 
 DEAD_AFTER_ROWS = 10_000_000
@@ -76,10 +78,26 @@ def sae_decode(points: DataFrame, long: DataFrame, params: Params, key: str) ->
     return out.select(key, F.when(F.col("m").isNull(), bias).otherwise(F.zip_with(F.transform("m", lambda x: x * F.col("a")), bias, lambda a, b: a + b)).alias("decoded"))
 
 
+#: Bins of activations in each doubling.
+BINS = 32
+
+
 def batch_topk(long: DataFrame, sizes: DataFrame, k: int, key: str, batch: str = "batch_id") -> DataFrame:
-    """Of each batch the k * rows largest positive activations; ties by key and feature. sizes: (batch, n)."""
-    w = Window.partitionBy(batch).orderBy(F.desc("act"), key, "neuron")
-    return long.withColumn("_r", F.row_number().over(w)).join(sizes.select(batch, "n"), batch).filter(F.col("_r") <= F.col("n") * k).drop("_r", "n")
+    """Of each batch the k * rows largest positive activations; ties by key and feature. sizes: (batch, n).
+
+    A histogram of the activations' logarithms tells in which bin a batch's cut lies. Rows of higher bins are taken as they are;
+    only those of that bin are ranked, by ranges, so that neither a large batch nor many equal activations are one task.
+    """
+    rows = long.filter("act > 0").withColumn("_bin", F.floor(F.log2("act") * BINS))
+    counts = rows.groupBy(batch, "_bin").agg(F.count(F.lit(1)).alias("_m"))
+    down = F.sum("_m").over(Window.partitionBy(batch).orderBy(F.desc("_bin")))
+    at = counts.withColumn("_down", down).join(sizes.select(batch, (F.col("n") * k).alias("_want")), batch)
+    cuts = cut(at.filter(F.col("_down") >= F.col("_want")).groupBy(batch).agg(F.max("_bin").alias("_cut"), F.max_by(F.col("_want") - F.col("_down") + F.col("_m"), "_bin").alias("_left")))
+    whole = at.groupBy(batch).agg(F.max("_want").alias("_want")).join(cuts, batch, "left").select(batch, F.coalesce("_cut", F.lit(-(1 << 40))).alias("_cut"), F.coalesce("_left", F.lit(0)).alias("_left"))
+    met = lookup(rows, cut(whole), [batch])
+    some = class_ranked(met.filter(F.col("_bin") == F.col("_cut")), batch, [key, "neuron"], -F.col("act"))
+    kept = met.filter(F.col("_bin") > F.col("_cut")).unionByName(some.filter(F.col("_rank") <= F.col("_left")).drop("_rank", "_n"))
+    return kept.drop("_bin", "_cut", "_left")
 
 
 def norm_factor(df: DataFrame, vector: str, batch: str = "batch_id", steps: int | None = None) -> DataFrame:
@@ -204,16 +222,31 @@ def ema(values: np.ndarray, beta: float = EMA_BETA, start: float | None = None)
     return out
 
 
-def threshold_ema(steps: DataFrame, run: str = "run", beta: float = EMA_BETA, after: int = EMA_FROM_STEP) -> DataFrame:
-    """(run, step, threshold): of steps above ``after``, the first minimum, then the moving average. A run's log has one row
-    for each training step, and is one group."""
+def threshold_ema(steps: DataFrame, run: str = "run", beta: float = EMA_BETA, after: int = EMA_FROM_STEP, width: int = 10_000) -> DataFrame:
+    """(run, step, threshold): of steps above ``after``, the first minimum, then the moving average.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    A step maps the average to beta times it plus a number; such maps of a range of ``width`` steps are one of their kind. So each
+    range is averaged from zero, a run's ranges (one row each) are chained, and each step adds its share of what came before.
+    """
+    some = steps.filter(F.col("step") > after).select(F.col(run).alias("_run"), "step", F.col("min_active").cast("double").alias("m"), F.floor(F.col("step") / width).alias("part"))
+    kind = steps.schema[run].dataType.simpleString()
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("step")
-        return pd.DataFrame({run: pdf[run], "step": pdf["step"], "threshold": ema(pdf["min_active"].to_numpy(float), beta)})
+        return pdf.assign(place=np.arange(1, len(pdf) + 1), own=ema(pdf["m"].to_numpy(float), beta, 0.0))
 
-    kind = steps.schema[run].dataType.simpleString()
-    return steps.filter(F.col("step") > after).select(run, "step", "min_active").groupBy(run).applyInPandas(one, f"{run} {kind}, step bigint, threshold double")
+    def chained(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, start, before = pdf.sort_values("part"), None, []
+        for n, end, first in zip(pdf["n"], pdf["end"], pdf["first"], strict=True):
+            before.append(first if start is None else start)  # the first minimum is the first average
+            start = beta**n * before[-1] + end
+        return pdf[["_run", "part"]].assign(before=before)
+
+    local = cut(some.groupBy("_run", "part").applyInPandas(within, f"_run {kind}, step bigint, m double, part bigint, place bigint, own double"))
+    ends = local.groupBy("_run", "part").agg(F.count(F.lit(1)).alias("n"), F.max_by("own", "step").alias("end"), F.min_by("m", "step").alias("first"))
+    starts = ends.groupBy("_run").applyInPandas(chained, f"_run {kind}, part bigint, before double")
+    met = local.join(starts, local["_run"].eqNullSafe(starts["_run"]) & (local["part"] == starts["part"]))
+    return met.select(local["_run"].alias(run), "step", (F.col("own") + F.pow(F.lit(beta), F.col("place")) * F.col("before")).alias("threshold"))
 
 
 def rows_since_fired(log: DataFrame, dead_after: int = DEAD_AFTER_ROWS, steps: int = 10_000) -> DataFrame:
@@ -221,15 +254,20 @@ def rows_since_fired(log: DataFrame, dead_after: int = DEAD_AFTER_ROWS, steps: i
 
     Sums run within ranges of ``steps`` steps first, and then over the ranges' totals, so that a feature isn't one task.
     """
-    w = Window.partitionBy("neuron", "_part").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    seen = log.select("neuron", "step", "batch_size", "fired", F.floor(F.col("step") / steps).alias("_part")).withColumn("_seen", F.sum("batch_size").over(w))
-    seen = seen.withColumn("_last", F.max(F.when(F.col("fired"), F.col("_seen"))).over(w))
-    parts = seen.groupBy("neuron", "_part").agg(F.sum("batch_size").alias("_rows"), F.max("_last").alias("_fired"))
-    over = Window.partitionBy("neuron").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("neuron", "part").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    seen = log.select("neuron", "step", "batch_size", "fired", F.floor(F.col("step") / steps).alias("part")).withColumn("seen", F.sum("batch_size").over(w))
+    return settled(seen.withColumn("last", F.coalesce(F.max(F.when(F.col("fired"), F.col("seen"))).over(w), F.lit(0))), dead_after)
+
+
+def settled(seen: DataFrame, dead_after: int = DEAD_AFTER_ROWS) -> DataFrame:
+    """(neuron, step, since, dead) of rows (neuron, part, step, seen, last): the rows seen in a range of steps up to a step, and how
+    many of them when the feature last fired there (0: not yet)."""
+    parts = seen.groupBy("neuron", "part").agg(F.max("seen").alias("_rows"), F.max("last").alias("_fired"))
+    over = Window.partitionBy("neuron").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_before", F.coalesce(F.sum("_rows").over(over), F.lit(0)))
-    parts = parts.withColumn("_old", F.coalesce(F.max(F.col("_before") + F.col("_fired")).over(over), F.lit(0)))
-    since = F.when(F.col("_last").isNotNull(), F.col("_seen") - F.col("_last")).otherwise(F.col("_before") + F.col("_seen") - F.col("_old"))
-    out = seen.join(parts.select("neuron", "_part", "_before", "_old"), ["neuron", "_part"]).select("neuron", "step", since.alias("since"))
+    parts = parts.withColumn("_old", F.coalesce(F.max(F.when(F.col("_fired") > 0, F.col("_before") + F.col("_fired"))).over(over), F.lit(0)))
+    since = F.when(F.col("last") > 0, F.col("seen") - F.col("last")).otherwise(F.col("_before") + F.col("seen") - F.col("_old"))
+    out = seen.join(parts.select("neuron", "part", "_before", "_old"), ["neuron", "part"]).select("neuron", "step", since.alias("since"))
     return out.withColumn("dead", F.col("since") >= dead_after)
 
 

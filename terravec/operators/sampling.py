@@ -8,28 +8,29 @@ from pyspark.sql import functions as F
 from terravec.operators.points import SEED
 from terravec.operators.shared import cut
 
-#: Ranks within a class are made by bucket, so that a class with most rows isn't one task.
-BUCKETS = 64
-
-
 def class_counts(df: DataFrame, cls: str = "class") -> DataFrame:
     return df.groupBy(cls).agg(F.count(F.lit(1)).alias("n"))
 
 
-def class_ranked(df: DataFrame, cls: str, key: str, order: Column) -> DataFrame:
-    """Adds _rank from 1 within each class, by (order, key), and _n, its size.
-
-    The order is cut into ranges of one width, by class; rows are ranked within (class, range) and the sizes of the ranges
-    before are added. So ranks are exact and no window holds a class.
-    """
-    o = cut(df.withColumn("_o", order.cast("double")))
-    span = o.groupBy(cls).agg(F.min("_o").alias("_lo"), F.max("_o").alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    width = F.greatest((F.col("_hi") - F.col("_lo")) / BUCKETS, F.lit(1e-300))
-    b = o.join(span, cls).withColumn("_b", F.least(F.floor((F.col("_o") - F.col("_lo")) / width), F.lit(BUCKETS - 1)))
-    sizes = b.groupBy(cls, "_b").agg(F.count(F.lit(1)).alias("_m"))
-    before = sizes.withColumn("_before", F.sum("_m").over(Window.partitionBy(cls).orderBy("_b")) - F.col("_m")).select(cls, "_b", "_before")
-    r = b.withColumn("_rank", F.row_number().over(Window.partitionBy(cls, "_b").orderBy("_o", key))).join(before, [cls, "_b"])
-    return r.withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_o", "_lo", "_hi", "_b", "_before")
+def class_ranges(df: DataFrame, cls: list[str], key: list[str], order: Column) -> DataFrame:
+    """Adds _o, the order, and _b, the range of (class, order, key) that a row is in. The borders come from a sample of the rows, so
+    that neither a large class nor a score that most rows share is one range; checkpointed, as a second run could draw others."""
+    ranges = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return cut(df.withColumn("_o", order).repartitionByRange(ranges, *cls, "_o", *key).withColumn("_b", F.spark_partition_id()))
+
+
+def class_ranked(df: DataFrame, cls: str | list[str], key: str | list[str], order: Column) -> DataFrame:
+    """Adds _rank from 1 within each class, by (order, key), and _n, its size: rows are ranked within (class, range), and the sizes
+    of the class's ranges before are added."""
+    cls, key = ([c] if isinstance(c, str) else c for c in (cls, key))
+    b = class_ranges(df, cls, key, order)
+    sizes = b.groupBy(*cls, "_b").agg(F.count(F.lit(1)).alias("_m"))
+    up_to = F.sum("_m").over(Window.partitionBy(*cls).orderBy("_b"))
+    before = sizes.withColumns({"_before": up_to - F.col("_m"), "_n": F.sum("_m").over(Window.partitionBy(*cls))}).drop("_m")
+    r = b.withColumn("_rank", F.row_number().over(Window.partitionBy(*cls, "_b").orderBy("_o", *key)))
+    same = [r[c].eqNullSafe(before[c]) for c in [*cls, "_b"]]
+    r = r.join(before, same).select(*(r[c] for c in r.columns if c not in ("_rank", "_o", "_b")), (r["_rank"] + before["_before"]).alias("_rank"), before["_n"])
+    return r
 
 
 def stratified_sample(df: DataFrame, ratio: float, cls: str, key: str, seed: int = SEED, order: Column | None = None) -> DataFrame:

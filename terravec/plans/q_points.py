@@ -96,13 +96,13 @@ def f9(spark, d):
     return p.select("point_id", r6(F.get("v", F.lit(0))).alias("first"), r6(F.get("v", F.lit(1))).alias("second"))
 
 
-def long_activations(spark, d, neurons: int = 16):
-    """relu of one embedding entry for each neuron, zeros left out."""
+def long_activations(spark, d, neurons: int = 64):
+    """relu of one embedding entry for each neuron (all 64 at first), zeros left out."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("point_id"), "label", F.posexplode(F.slice("embedding", 1, neurons)).alias("neuron", "x"))
     return e.filter("x > 0").select("point_id", "label", "neuron", F.col("x").cast("double").alias("act"))
 
 
-LONG = "la AS (SELECT vec_id AS point_id, label, CAST(generate_subscripts(embedding[1:16], 1) - 1 AS INTEGER) AS neuron, CAST(unnest(embedding[1:16]) AS DOUBLE) AS act FROM embeddings), ac AS (SELECT * FROM la WHERE act > 0)"
+LONG = "la AS (SELECT vec_id AS point_id, label, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS neuron, CAST(unnest(embedding) AS DOUBLE) AS act FROM embeddings), ac AS (SELECT * FROM la WHERE act > 0)"
 
 
 @query("F10_positive_activations", f"""WITH {LONG} SELECT point_id, neuron, round(act, 6) + 0.0 AS act FROM ac WHERE act > 0.2 AND neuron IN
@@ -112,9 +112,9 @@ def f10(spark, d):
     return L.positive_activations(a, 5, 6).select("point_id", "neuron", r6(F.col("act")).alias("act"))
 
 
-@query("F11_mask_rare_neurons", f"WITH {LONG}, s AS (SELECT * FROM ac WHERE act > 0.25) SELECT neuron, count(*) AS n FROM s WHERE neuron IN (SELECT neuron FROM s GROUP BY neuron HAVING count(*) >= 20) GROUP BY neuron")
+@query("F11_mask_rare_neurons", f"WITH {LONG}, s AS (SELECT * FROM ac WHERE act > 0.2) SELECT neuron, count(*) AS n FROM s WHERE neuron IN (SELECT neuron FROM s GROUP BY neuron HAVING count(*) >= 20) GROUP BY neuron")
 def f11(spark, d):
-    return L.mask_rare_neurons(long_activations(spark, d).filter("act > 0.25"), 20).groupBy("neuron").agg(F.count(F.lit(1)).alias("n"))
+    return L.mask_rare_neurons(long_activations(spark, d).filter("act > 0.2"), 20).groupBy("neuron").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("F12_intervene", f"WITH {LONG} SELECT point_id, neuron AS concept_id, round(act, 6) + 0.0 AS weight FROM ac WHERE neuron NOT IN (1, 4, 7)")

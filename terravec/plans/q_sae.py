@@ -124,18 +124,18 @@ def _located(spark, d):
 
 @query("A12_monosemanticity_geo", _GEO)
 def a12(spark, d):
-    return sae.monosemanticity_geo(_scaled(spark, d), _located(spark, d), 16).select("neuron", r6(F.col("score")).alias("score"))
+    return sae.monosemanticity_geo(_scaled(spark, d), _located(spark, d), 64).select("neuron", r6(F.col("score")).alias("score"))
 
 
 @query("A12_monosemanticity_geo_tree", _GEO)
 def a12_tree(spark, d):
     """By the tree, with a bound far below the digits compared."""
-    return geotree.monosemanticity_geo_tree(_scaled(spark, d), _located(spark, d), 16, tau=1e-11).select("neuron", r6(F.col("score")).alias("score"))
+    return geotree.monosemanticity_geo_tree(_scaled(spark, d), _located(spark, d), 64, tau=1e-11).select("neuron", r6(F.col("score")).alias("score"))
 
 
-@query("A13_score_summary", f"WITH {VISUAL} SELECT 'visual' AS metric, round(min(score), 6) + 0.0 AS min, round(max(score), 6) + 0.0 AS max, round(avg(score), 6) + 0.0 AS mean, round(stddev_samp(score), 6) + 0.0 AS std, 20 - count(score) AS dead, CAST(20 AS BIGINT) AS total FROM vs")
+@query("A13_score_summary", f"WITH {VISUAL} SELECT 'visual' AS metric, round(min(score), 6) + 0.0 AS min, round(max(score), 6) + 0.0 AS max, round(avg(score), 6) + 0.0 AS mean, round(stddev_samp(score), 6) + 0.0 AS std, 70 - count(score) AS dead, CAST(70 AS BIGINT) AS total FROM vs")
 def a13(spark, d):
-    s = sae.score_summary(_visual(spark, d), "visual", 20)
+    s = sae.score_summary(_visual(spark, d), "visual", 70)
     return s.select("metric", *(r6(F.col(c)).alias(c) for c in ("min", "max", "mean", "std")), "dead", "total")
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from terravec.functions.arrays import doubles
-from terravec.operators import cluster, saliency, splice
+from terravec.operators import cluster, sae, saliency, splice
 from terravec.plans.base import query, r6, table
 from terravec.plans.q_points import PLANE, plane
 from terravec.plans.q_sae import FIRE, LOG
@@ -173,20 +173,30 @@ def _stream(spark, d, name: str):
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
 
 
+def _arrivals(spark, d, parts: int = 3):
+    """All events in parts by id, none of which cuts a step."""
+    e = table(spark, d, "events").select("event_id", "user_id", "value")
+    top = e.agg(F.max("event_id")).first()[0] or 0
+    ends = [(top + 1) * i // parts // 25 * 25 for i in range(1, parts)]
+    return [e.filter(F.col("event_id").between(a, b - 1)) for a, b in zip([-(1 << 62), *ends], [*ends, 1 << 62], strict=True)]
+
+
 @query("T1_stream_threshold_ema", f"""WITH {LOG}, n AS (SELECT run, step, m, row_number() OVER (PARTITION BY run ORDER BY step) AS k FROM lg WHERE step > 300)
 SELECT run, step, round(pow(0.999, k) * sum((CASE WHEN k = 1 THEN 1 ELSE 0.001 END) * m * pow(0.999, -k)) OVER (PARTITION BY run ORDER BY k), 6) + 0.0 AS threshold FROM n""")
 def t1(spark, d):
-    rows = _stream(spark, d, "events").select((F.col("user_id") % 5).cast("int").alias("run"), F.floor(F.col("event_id") / 25).alias("step"), "value")
-    name = f"t1_{uuid.uuid4().hex}"
-    return stream.run_to_table(stream.stream_threshold_ema(rows), name, "append", _scratch(spark)).withColumn("threshold", r6(F.col("threshold")))
+    """The events arrive in three parts, each some micro-batches."""
+    rows = lambda s: s.select((F.col("user_id") % 5).cast("int").alias("run"), F.floor(F.col("event_id") / 25).alias("step"), "value")
+    out = stream.run_arrivals(_arrivals(spark, d), lambda s: stream.stream_threshold_ema(rows(s)), f"t1_{uuid.uuid4().hex}", _scratch(spark))
+    return out.withColumn("threshold", r6(F.col("threshold")))
 
 
 @query("T1_stream_rows_since_fired", f"""WITH {FIRE.replace("25 AS batch_size", "1 AS batch_size").replace("SELECT DISTINCT event_id // 25 AS step FROM events", "SELECT event_id AS step FROM events")}, c AS (SELECT *, sum(batch_size) OVER (PARTITION BY neuron ORDER BY step) AS seen FROM f)
 SELECT CAST(neuron AS INTEGER) AS neuron, step, since, since >= 8 AS dead FROM (SELECT neuron, step, CAST(seen - coalesce(max(CASE WHEN fired THEN seen END) OVER (PARTITION BY neuron ORDER BY step), 0) AS BIGINT) AS since FROM c)""")
 def t1b(spark, d):
-    rows = _stream(spark, d, "events").select(F.col("event_id").alias("step"), F.explode(F.array(*map(F.lit, range(6)))).alias("neuron"))
-    rows = rows.select("neuron", "step", F.lit(1).alias("batch_size"), ((F.col("step") * 7 + F.col("neuron") * 13) % 11 == 0).alias("fired"))
-    return stream.run_to_table(stream.stream_rows_since_fired(rows, 8), f"t1b_{uuid.uuid4().hex}", "append", _scratch(spark))
+    fired = (F.col("step") * 7 + F.col("neuron") * 13) % 11 == 0
+    rows = lambda s: s.select(F.col("event_id").alias("step"), F.explode(F.array(*map(F.lit, range(6)))).alias("neuron")).select("neuron", "step", F.lit(1).alias("batch_size"), fired.alias("fired"))
+    out = stream.run_arrivals(_arrivals(spark, d), lambda s: stream.stream_rows_since_fired(rows(s), 1000), f"t1b_{uuid.uuid4().hex}", _scratch(spark))
+    return sae.settled(out, 8)
 
 
 @query("T2_stream_decompose_signs", f"WITH {SIGNS} SELECT concept_id, round(sum(weight) / (SELECT count(*) FROM v), 6) + 0.0 AS weight FROM w GROUP BY concept_id")

@@ -2,59 +2,56 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravec.operators.sae import DEAD_AFTER_ROWS, EMA_BETA, EMA_FROM_STEP, ema
-
-#: Rows of a frame that a stateful step hands on.
-OUT_ROWS = 50_000
+from terravec.operators.sae import EMA_BETA, EMA_FROM_STEP, ema
 
 
 def stream_threshold_ema(rows: DataFrame, beta: float = EMA_BETA, after: int = EMA_FROM_STEP) -> DataFrame:
     """(run, step, threshold) as rows (run, step, value) arrive; all rows of a step come in one micro-batch, steps in order.
-    State by run: the moving average so far."""
+    State by run: the moving average so far. Each task first keeps the minimum of its rows of a step, so that the state gets a row
+    for each step and task, however many rows a step has."""
+
+    def minima(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        least = None
+        for some in frames:
+            now = some.groupby(["run", "step"], as_index=False)["value"].min()
+            least = now if least is None else pd.concat([least, now]).groupby(["run", "step"], as_index=False)["value"].min()
+        if least is not None:
+            yield least
 
     def update(key, frames: Iterator[pd.DataFrame], state):
-        least = pd.Series(dtype=float)
-        for some in frames:  # one frame and the minima so far; a step's rows can be in several frames
-            now = some[some.step > after].groupby("step")["value"].min()
-            least = now if least.empty else pd.concat([least, now]).groupby(level=0).min()
-        least = least.sort_index()
-        if least.empty:
-            return
+        least = pd.concat([f[["step", "value"]] for f in frames]).groupby("step")["value"].min().sort_index()
         start = state.get[0] if state.exists else None
         values = ema(least.to_numpy(float), beta, start)
         state.update((float(values[-1]),))
         yield pd.DataFrame({"run": key[0], "step": least.index.astype(np.int64), "threshold": values})
 
-    return rows.groupBy("run").applyInPandasWithState(update, "run int, step bigint, threshold double", "threshold double", "append", "NoTimeout")
+    some = rows.select(F.col("run").cast("int"), F.col("step").cast("long"), F.col("value").cast("double")).filter(F.col("step") > after)
+    least = some.mapInPandas(minima, "run int, step long, value double")
+    return least.groupBy("run").applyInPandasWithState(update, "run int, step bigint, threshold double", "threshold double", "append", "NoTimeout")
 
 
-def stream_rows_since_fired(rows: DataFrame, dead_after: int = DEAD_AFTER_ROWS) -> DataFrame:
-    """(neuron, step, since, dead) as rows (neuron, step, batch_size, fired) arrive, steps in order. State by feature: the
-    rows seen and the count at which it last fired."""
+def stream_rows_since_fired(rows: DataFrame, steps: int = 10_000) -> DataFrame:
+    """(neuron, part, step, seen, last) as rows (neuron, step, batch_size, fired) arrive, steps in order. State by feature and range of
+    ``steps`` steps: the rows seen in it and the count at which the feature last fired there. So a feature's micro-batch is
+    as many groups as it has ranges; ``sae.settled`` joins the ranges of what has been written."""
 
     def update(key, frames: Iterator[pd.DataFrame], state):
-        # frames come in no order, so the three numbers of each row of the micro-batch are held, and no frame
-        parts = [(f["step"].to_numpy(np.int64, copy=True), f["batch_size"].to_numpy(np.int64, copy=True), f["fired"].to_numpy(bool, copy=True)) for f in frames]
-        step, size, fired = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        order = np.argsort(step, kind="stable")
+        pdf = pd.concat([f[["step", "batch_size", "fired"]] for f in frames]).sort_values("step", kind="stable")
         seen0, last0 = state.get if state.exists else (0, 0)
-        for a in range(0, len(order), OUT_ROWS):
-            at = order[a : a + OUT_ROWS]
-            seen = seen0 + size[at].cumsum()
-            last = np.maximum(np.maximum.accumulate(np.where(fired[at], seen, 0)), last0)
-            seen0, last0 = int(seen[-1]), int(last[-1])
-            yield pd.DataFrame({"neuron": key[0], "step": step[at], "since": seen - last, "dead": seen - last >= dead_after})
-        state.update((seen0, last0))
+        seen = seen0 + pdf["batch_size"].to_numpy(np.int64).cumsum()
+        last = np.maximum(np.maximum.accumulate(np.where(pdf["fired"].to_numpy(bool), seen, 0)), last0)
+        state.update((int(seen[-1]), int(last[-1])))
+        yield pd.DataFrame({"neuron": key[0], "part": key[1], "step": pdf["step"].to_numpy(np.int64), "seen": seen, "last": last})
 
-    return rows.groupBy("neuron").applyInPandasWithState(update, "neuron int, step bigint, since bigint, dead boolean", "seen bigint, last bigint", "append", "NoTimeout")
+    some = rows.select(F.col("neuron").cast("int"), "step", "batch_size", "fired", F.floor(F.col("step") / steps).cast("long").alias("part"))
+    return some.groupBy("neuron", "part").applyInPandasWithState(update, "neuron int, part bigint, step bigint, seen bigint, last bigint", "seen bigint, last bigint", "append", "NoTimeout")
 
 
 def stream_decompose(encoded: DataFrame) -> DataFrame:
@@ -82,3 +79,13 @@ def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> Da
         out = f"{out}/batch-{max(done)}" if done else out
     read = stream.sparkSession.read.schema(stream.schema)
     return read.parquet(out) if mode == "append" or done else stream.sparkSession.createDataFrame([], stream.schema)
+
+
+def run_arrivals(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame], name: str, folder: str) -> DataFrame:
+    """What an append stream writes as parts arrive one after another: each is written beside those before it, and the query goes on
+    from its checkpoint, with the state it left."""
+    spark, out = parts[0].sparkSession, None
+    for i, part in enumerate(parts):
+        part.write.parquet(f"{folder}/in/arrival={i}")
+        out = run_to_table(build(spark.readStream.schema(part.schema).parquet(f"{folder}/in/*")), name, "append", f"{folder}/state")
+    return out

@@ -36,10 +36,10 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner
     broadcast, and only the others are shuffled.
     """
     counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = left.count()
-    hot = cut(counts.filter(F.col("_n") > max(1000, HOT * total)).drop("_n"))
-    if not hot.count():
+    most, total = counts.agg(F.coalesce(F.max("_n"), F.lit(0)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    if most <= (least := max(1000, HOT * total)):
         return left.join(right, keys, how)
+    hot = cut(counts.filter(F.col("_n") > least).drop("_n"))
     few = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     marked = left.join(few, keys, "left")
     some = right.join(F.broadcast(hot), keys, "left_semi")

@@ -6,15 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravec.functions.arrays import center_normalize, doubles, l2_normalize
 from terravec.functions.text import format_metric
+from terravec.operators.screening import active_set, split_weights
+from terravec.operators.shared import cut, lookup
 from terravec.operators.vectors import vector_mean
 
 L1, RHO, TOL, MAX_ROUNDS = 0.175, 5.0, 1e-6, 2000
-LASSO_ROUNDS = 10_000
 #: Weights at or below this count as zero.
 ZERO = 1e-7
 MAX_CONCEPTS = 200_000
@@ -28,15 +31,18 @@ def build_dictionary(concepts: DataFrame, vector: str = "embedding") -> DataFram
     return concepts.join(F.broadcast(mean)).select("concept_id", "concept", center_normalize(doubles(F.col(vector)), F.col("mean")).alias("vector"))
 
 
-def dictionary_matrix(dictionary: DataFrame, max_concepts: int = MAX_CONCEPTS) -> tuple[list[int], np.ndarray]:
-    """Ids and matrix on the driver, for a broadcast; more than max_concepts rows or MAX_BYTES are refused before any is read."""
+def fits(dictionary: DataFrame) -> bool:
+    """Whether a dictionary is within the bounds of a broadcast."""
     n, size = dictionary.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("vector").cast("bigint")), F.lit(0))).first()
-    if n > max_concepts or 8 * size > MAX_BYTES:
-        raise ValueError(f"{n} concepts of {size} numbers are more than {max_concepts} concepts or {MAX_BYTES} bytes")
+    return n <= MAX_CONCEPTS and 8 * size <= MAX_BYTES
+
+
+def dictionary_matrix(dictionary: DataFrame) -> tuple[list[int], np.ndarray]:
+    """Ids and matrix on the driver, for a broadcast; of a dictionary that ``fits``."""
     rows = dictionary.select("concept_id", doubles(F.col("vector")).alias("vector")).orderBy("concept_id").toArrow()
-    if not n:
+    if not rows.num_rows:
         return [], np.zeros((0, 0))
-    return rows.column("concept_id").to_pylist(), rows.column("vector").combine_chunks().flatten().to_numpy().reshape(n, -1)
+    return rows.column("concept_id").to_pylist(), rows.column("vector").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
 
 
 def admm(c: np.ndarray, v: np.ndarray, lam: float = L1, rho: float = RHO, tol: float = TOL, rounds: int = MAX_ROUNDS) -> np.ndarray:
@@ -51,7 +57,7 @@ def admm(c: np.ndarray, v: np.ndarray, lam: float = L1, rho: float = RHO, tol: f
         x = solve(cv[live] + rho * (z - u))
         new = np.maximum(x + u - lam / rho, 0)
         u = u + x - new
-        primal, dual, z = np.abs(x - new).max(axis=1), rho * np.abs(new - z).max(axis=1), new
+        primal, dual, z = np.linalg.norm(x - new, axis=1), rho * np.linalg.norm(new - z, axis=1), new
         if k % 10 == 9:
             done = (primal < tol) & (dual < tol)
             if done.any():
@@ -63,22 +69,9 @@ def admm(c: np.ndarray, v: np.ndarray, lam: float = L1, rho: float = RHO, tol: f
     return out
 
 
-def lasso(c: np.ndarray, v: np.ndarray, lam: float = L1, tol: float = TOL, rounds: int = LASSO_ROUNDS) -> np.ndarray:
-    """The same by coordinate descent, all rows at once; what is held is the rest of each vector, not the concepts' products."""
-    w, rest = np.zeros((len(v), len(c))), np.array(v, dtype=np.float64)
-    diagonal = np.maximum((c**2).sum(axis=1), 1e-12)
-    for _ in range(rounds):
-        most = 0.0
-        for k in range(len(c)):
-            new = np.maximum(rest @ c[k] + w[:, k] * diagonal[k] - lam / 2, 0) / diagonal[k]
-            step = new - w[:, k]
-            if (m := np.abs(step).max(initial=0.0)) > 0:
-                rest -= step[:, None] * c[k][None]
-                w[:, k] = new
-                most = max(most, m)
-        if most < tol:
-            break
-    return w
+def lasso(c: np.ndarray, v: np.ndarray, lam: float = L1, tol: float = TOL) -> np.ndarray:
+    """The same by active sets: descent runs over the few concepts that a row uses, never over all of them."""
+    return active_set(c, v, lam, tol * 1e-2)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -90,8 +83,11 @@ def splice_encode(df: DataFrame, dictionary: DataFrame, mean: np.ndarray, key: s
 
     Rows are normalised, centred on ``mean``, normalised and decomposed; the rebuilt vector is
     normalise(normalise(w C) + mean). Dictionary and factor are broadcast; nothing is shuffled. Rows are solved in blocks whose
-    dense weights take BLOCK_BYTES.
+    dense weights take BLOCK_BYTES. A dictionary that is too large for that is split, and the rows (no stream then) are solved by
+    active sets, whichever solver is named: the optimum is one.
     """
+    if not fits(dictionary):
+        return _encode_split(df, dictionary, mean, key, vector, lam, extra, rebuilt, tol)
     ids, c = dictionary_matrix(dictionary)
     shared = df.sparkSession.sparkContext.broadcast((np.array(ids), c, np.asarray(mean)))
     keep = [key, *(extra or [])]
@@ -122,29 +118,53 @@ def splice_encode(df: DataFrame, dictionary: DataFrame, mean: np.ndarray, key: s
     return df.select(*keep, vector).filter(F.col(vector).isNotNull()).mapInPandas(run, schema)
 
 
+def _encode_split(df: DataFrame, dictionary: DataFrame, mean: np.ndarray, key: str, vector: str, lam: float, extra: list[str] | None, rebuilt: bool, tol: float) -> DataFrame:
+    keep, m = [key, *(extra or [])], np.asarray(mean)
+    centre = df.sparkSession.sparkContext.broadcast(m)
+
+    def centred(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                x = unit(np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vector]]))
+                yield pdf[keep].assign(_x=list(x), _v=list(unit(x - centre.value)))
+
+    fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
+    # a row's number holds, as the rows are checkpointed with it
+    rows = df.select(*keep, vector).filter(F.col(vector).isNotNull()).mapInPandas(centred, f"{fields}, _x array<double>, _v array<double>")
+    rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
+    w = split_weights(rows.select(F.col("_row").alias("row"), F.col("_v").alias("v")), dictionary, len(m), lam, tol * 1e-2)
+
+    def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            x, again = np.stack(pdf["_x"].to_list()), unit(unit(np.stack(pdf["sum"].to_list())) + centre.value)
+            on = [np.asarray(v) > ZERO for v in pdf["w"]]
+            out = pdf[keep].copy()
+            out["concepts"] = [np.asarray(v)[k].tolist() for v, k in zip(pdf["names"], on, strict=True)]
+            out["weights"] = [np.asarray(v)[k].tolist() for v, k in zip(pdf["w"], on, strict=True)]
+            out["l0"], out["mse"], out["cosine"] = [int(k.sum()) for k in on], ((x - again) ** 2).mean(axis=1), (x * again).sum(axis=1)
+            if rebuilt:
+                out["rebuilt"] = list(again)
+            yield out
+
+    schema = f"{fields}, concepts array<int>, weights array<double>, l0 bigint, mse double, cosine double" + (", rebuilt array<double>" if rebuilt else "")
+    return rows.join(w, rows["_row"] == w["row"]).select(*keep, "_x", "names", "w", "sum").mapInPandas(measured, schema)
+
+
 def recompose(w: np.ndarray, c: np.ndarray, mean: np.ndarray) -> np.ndarray:
     return unit(unit(w @ c) + mean)
 
 
 def recompose_long(weights: DataFrame, dictionary: DataFrame, mean: np.ndarray, key: str) -> DataFrame:
-    """(key, rebuilt) from long weights (key, concept_id, weight)."""
-    ids, c = dictionary_matrix(dictionary)
-    shared = weights.sparkSession.sparkContext.broadcast(({x: k for k, x in enumerate(ids)}, c, np.asarray(mean)))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, c, m = shared.value
-        step = max(1, BLOCK_BYTES // (8 * max(1, len(c))))
-        for whole in frames:
-            for a in range(0, len(whole), step):
-                pdf = whole.iloc[a : a + step]
-                w = np.zeros((len(pdf), len(at)))
-                for i, row in enumerate(pdf.ws):
-                    for x in row:
-                        w[i, at[x["concept_id"]]] = x["weight"]
-                yield pdf[[key]].assign(rebuilt=list(recompose(w, c, m)))
-
-    kind = weights.schema[key].dataType.simpleString()
-    return weights.groupBy(key).agg(F.collect_list(F.struct("concept_id", "weight")).alias("ws")).mapInPandas(run, f"`{key}` {kind}, rebuilt array<double>")
+    """(key, rebuilt) from long weights (key, concept_id, weight): the weighted sum of each key's concepts, normalised, moved by the
+    mean, normalised. Sums are made before the shuffle by key; the dictionary is looked up, whatever its size."""
+    long = cut(weights.select(key, "concept_id", F.col("weight").cast("double")))  # looked at more than once
+    met = lookup(long, dictionary.select("concept_id", "vector"), ["concept_id"])
+    mean_of = vector_to_array(Summarizer.mean(array_to_vector(doubles(F.col("vector"))), F.col("weight")))
+    sums = met.filter("weight > 0").groupBy(key).agg(mean_of.alias("m"))  # the sum's direction is the mean's
+    centre = F.array(*map(F.lit, np.asarray(mean, dtype=float).tolist()))
+    return sums.select(key, l2_normalize(F.zip_with(l2_normalize(F.col("m")), centre, lambda a, b: a + b)).alias("rebuilt"))
 
 
 def long_weights(encoded: DataFrame, *keys: str) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from terravec.functions import encodings as E
 from terravec.functions.arrays import doubles, l2_normalize
-from terravec.operators import nets, splice, vectors
+from terravec.operators import nets, screening, splice, vectors
 from terravec.operators import points as P
+from terravec.operators.shared import cut
 from terravec.plans.base import entries, located, points, query, r6, sql_entries, sql_points, table
 from terravec.plans.q_points import INSIDE, SHAPES
 
@@ -146,6 +147,14 @@ def u4_signs(spark, d):
     return splice.long_weights(encoded_by_signs(spark, d, "lasso"), "vec_id").select("vec_id", "concept_id", r6(F.col("weight")).alias("weight"))
 
 
+@query("U3_decompose_split_signs", f"WITH {SIGNS} SELECT vec_id, concept_id, round(weight, 6) + 0.0 AS weight FROM w")
+def u3_split(spark, d):
+    """The dictionary in four parts, no task with all of it."""
+    v = cut(_vectors(spark, d).select("vec_id", l2_normalize(F.col("embedding")).alias("v")))
+    w = screening.split_weights(v.select(F.col("vec_id").alias("row"), "v"), signs(spark), 64, splice.L1, 1e-12, part_bytes=16 * 64 * 8)
+    return w.select(F.col("row").alias("vec_id"), F.inline(F.arrays_zip("names", "w"))).select("vec_id", F.col("names").alias("concept_id"), r6(F.col("w")).alias("weight")).filter("weight > 1e-7")
+
+
 @query("U5_recompose_signs", f"""WITH {SIGNS} SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, round(sum(weight * c[i]) / any_value(size), 6) + 0.0 AS value FROM w JOIN h ON h.k = w.concept_id JOIN g USING (vec_id), range(1, 65) AS t(i) GROUP BY vec_id, i""")
 def u5_signs(spark, d):
     """Vectors rebuilt from long weights."""

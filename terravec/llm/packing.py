@@ -1,10 +1,11 @@
 """Best-fit packing: documents cut to pieces of at most one sequence, and few sequences that hold all pieces.
 
 Only the histogram of piece lengths decides which lengths share a sequence, and it has as many entries as a sequence has
-tokens, however large the corpus is. A configuration linear program over it is solved by multiplicative weights: each
-length has a price, a bounded knapsack dynamic program finds the fullest-priced way to fill a sequence, whole sequences are
-filled so, and the prices of the lengths they cover fall. Only the last few sequences are packed best-fit decreasing. Each
-piece then finds its place from its rank among the pieces of its length.
+tokens, however large the corpus is. The dual of the configuration linear program over it is solved by multiplicative weights:
+each length has a price, a knapsack dynamic program finds the fills of greatest price, and the prices of the lengths that these
+cover too often fall. The program is rounded by handing out whole sequences at these prices, by knapsacks over the pieces that are
+left; only the last few and the emptiest sequences are packed best-fit decreasing. The prices also prove a lower bound. Each piece
+then finds its place from its rank among the pieces of its length.
 """
 
 from __future__ import annotations
@@ -26,17 +27,16 @@ CAPACITY = 2048
 SEPARATOR = 0
 #: Parts in which the multiplicative weights hand out the sequences.
 ROUNDS = 128
-#: Learning rates, in the order they are tried. The first only breaks ties between equally full sequences.
-RATES = (1 / 4096, 0.5, 2.0, 8.0)
-#: Share over the lower bound of sequences at which no further rate is tried.
-ENOUGH = 0.002
+#: Learning rates, in the order they are tried. The first little more than breaks ties between equally full sequences.
+RATES = (0.02, 0.5, 2.0, 8.0)
 LEAD = 0.5
-#: The knapsack chooses from so many lengths of each band.
+#: The knapsack first looks for a full sequence among so many lengths of each band; if there is none it takes all lengths.
 BANDS, PER_BAND = 16, 24
-#: So many sequences at the end are packed best-fit.
+#: So many sequences at the end are packed best-fit; and these shares of the emptiest ones are, one after another, where it helps.
 LAST = 4
-#: Pieces of one length are ranked in so many buckets, by a hash of document and piece.
-BUCKETS = 256
+REOPENED = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9)
+#: Pieces of one length are ranked in buckets, by a hash of document and piece: so many, or more with more than so many pieces each.
+BUCKETS, BUCKET_ROWS = 256, 1_000_000
 #: Entries of each of the two generations of a worker's cache of words.
 CACHE = 400_000
 
@@ -134,9 +134,9 @@ def candidates(ahead: np.ndarray, left: np.ndarray, capacity: int, bands: int =
     return np.sort(have[order[rank < per_band]])
 
 
-def fill(price: np.ndarray, left: np.ndarray, capacity: int, lengths: np.ndarray) -> tuple[int, ...]:
-    """Bounded knapsack by dynamic programming: of these lengths, each as often as pieces are left, those of greatest total price
-    that fit together. A length's pieces are taken in powers of two."""
+def table(price: np.ndarray, left: np.ndarray, capacity: int, lengths: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]], list[np.ndarray]]:
+    """Bounded knapsack by dynamic programming: the greatest total price in each room up to the capacity, of these lengths, each as
+    often as pieces are left (in powers of two); and what ``traced`` needs to say which they are."""
     value, spare = np.zeros(capacity + 1), np.empty(capacity + 1)
     items, taken = [], []
     for length in lengths.tolist():
@@ -150,36 +150,101 @@ def fill(price: np.ndarray, left: np.ndarray, capacity: int, lengths: np.ndarray
             items.append((length, n))
             taken.append(with_it > room)
             np.maximum(room, with_it, out=room)
-    out: list[int] = []
-    room = capacity
+    return value, items, taken
+
+
+def traced(rooms: np.ndarray, items: list[tuple[int, int]], taken: list[np.ndarray], width: int) -> np.ndarray:
+    """(rooms, lengths): how often each length is in the best fill of each room."""
+    rooms, out = rooms.copy(), np.zeros((len(rooms), width), dtype=np.int64)
     for (length, n), better in zip(reversed(items), reversed(taken), strict=True):
-        if room >= length * n and better[room - length * n]:
-            out += [length] * n
-            room -= length * n
-    return tuple(sorted(out, reverse=True))
+        rows = np.flatnonzero(rooms >= length * n)
+        rows = rows[better[rooms[rows] - length * n]]
+        out[rows, length] += n
+        rooms[rows] -= length * n
+    return out
+
 
+def fill(price: np.ndarray, left: np.ndarray, capacity: int, lengths: np.ndarray) -> tuple[int, ...]:
+    """Of these lengths those of greatest total price that fit together."""
+    _, items, taken = table(price, left, capacity, lengths)
+    many = traced(np.array([capacity]), items, taken, len(left))[0]
+    return tuple(np.repeat(np.arange(len(left)), many)[::-1].tolist())
 
-def configurations(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, rate: float = RATES[0]) -> tuple[dict[tuple[int, ...], int], np.ndarray]:
-    """The linear program's configurations in whole numbers, and the pieces that are left for the last sequences.
 
-    counts[length] pieces of each length; sum(counts * length) / capacity sequences are the least that can do. A round hands
-    out the knapsack's configuration at the present prices: a ``rounds``-th part of all sequences, rounded to whole ones, but no
-    more than pieces are left; so rounding never leaves a surplus and the next round solves for what is left. A price is in
-    proportion to length, which is what it is when all sequences can be full, times exp(-rate * ahead), ahead being by how much
-    the covered share of the length's pieces is before that of all pieces. Long pieces should be ahead by LEAD times their
-    length, for what comes last has to be easy to place.
+def relaxation(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = 100) -> tuple[np.ndarray, float]:
+    """(prices, bound): dual prices of the configuration linear program, by multiplicative weights, and the best lower bound on the
+    number of sequences that any of them proved.
+
+    A piece of over half a sequence needs one of its own, so its price is what the best fill of the room beside it leaves of 1.
+    In a round one knapsack table gives the best fill beside each such length, and of a sequence without one. The prices of the
+    other lengths, scaled so that no sequence is worth more than 1, prove a bound; then they fall or rise by how far these fills
+    would cover each length more or less than its pieces.
+    """
+    half, size = capacity // 2, np.arange(len(counts))
+    big, small = half + 1 + np.flatnonzero(counts[half + 1 :]), np.flatnonzero(counts[: half + 1])
+    price, bound = size / capacity, float((counts * size).sum()) / capacity
+    if not len(small):
+        return price, max(bound, float(counts[big].sum()))
+    n, logs, top = counts[small].astype(float), np.log(small / capacity), -1.0
+    for t in range(rounds):
+        p = np.zeros(len(counts))
+        p[small] = np.exp(logs)
+        value, items, taken = table(p, counts, capacity, small)
+        beside = np.maximum(0, 1 - value[capacity - big] / value[capacity])
+        proved = float((p[small] * n).sum() / value[capacity] + (counts[big] * beside).sum())
+        if proved > top:
+            top, price = proved, p / value[capacity]
+            price[big] = beside
+        fills = traced(np.append(capacity - big, capacity), items, taken, half + 1)[:, small]
+        alone = max(0.0, max(top, bound) - float(counts[big].sum()))
+        covered = counts[big] @ fills[:-1] + alone * fills[-1]
+        logs -= 0.5 / np.sqrt(t + 1) * np.clip(covered / n - 1, -1, 2)
+        logs -= np.log((np.exp(logs) * n).sum() / (n * small).sum() * capacity)
+    return price, max(bound, top)
+
+
+def configurations(counts: np.ndarray, price: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, rate: float = RATES[0]) -> tuple[dict[tuple[int, ...], int], np.ndarray]:
+    """The program rounded: configurations in whole numbers, and the pieces that are left for the last sequences.
+
+    A round fills the room beside a ``rounds``-th of each length over half a sequence, at the dual prices times
+    exp(-rate * ahead), ahead being by how much the covered share of a length is before that of the long pieces. What is left is
+    handed out in the same way, at prices in proportion to length. No configuration is taken more often than pieces are left, so
+    rounding leaves no surplus, and each next knapsack is over what is there.
     """
-    size, left, numbers = np.arange(len(counts)), counts.copy(), Counter()
-    total = int((counts * size).sum())
+    half, size, left, numbers = capacity // 2, np.arange(len(counts)), counts.copy(), Counter()
+    rounds *= min(4, max(1, 512 // max(1, np.count_nonzero(counts))))  # fine steps cost little where lengths are few
+    big = half + 1 + np.flatnonzero(counts[half + 1 :])
+    tie = 1e-9 * size
+
+    def take(config: np.ndarray, most: int, first: int = 0) -> None:
+        need = np.flatnonzero(config)
+        times = min(most, int((left[need] // config[need]).min())) if len(need) else most
+        if times > 0:
+            numbers[(first,) * (first > 0) + tuple(np.repeat(need, config[need])[::-1].tolist())] += times
+            left[need] -= times * config[need]
+            left[first] -= times * (first > 0)
+
+    for r in range(rounds):
+        here = big[left[big] > 0][::-1]
+        if not len(here):
+            break
+        ahead = (counts - left) / np.maximum(counts, 1) - (1 - left[big].sum() / counts[big].sum())
+        _, items, taken = table(price * np.exp(-rate * np.clip(ahead, -1, 1)) + tie, left, capacity, np.flatnonzero(left[: half + 1]))
+        for length, config in zip(here.tolist(), traced(capacity - here, items, taken, half + 1), strict=True):
+            take(config, -(-int(left[length]) // (rounds - r)), length)
+    for length in big[::-1].tolist():  # whose fills others have taken
+        while left[length]:
+            _, items, taken = table(price + tie, left, capacity, np.flatnonzero(left[: capacity - length + 1]))
+            take(traced(np.array([capacity - length]), items, taken, half + 1)[0], int(left[length]), length)
+    start, total = left.copy(), int((left * size).sum())
     step = max(1, -(-total // (capacity * rounds)))
     while (rest := int((left * size).sum())) > LAST * capacity:
-        ahead = (counts - left) / np.maximum(counts, 1) - (1 - rest / total) - LEAD * size / capacity
-        config = fill(size * np.exp(-rate * np.clip(ahead, -1, 1)), left, capacity, candidates(ahead, left, capacity))
-        needs = Counter(config)
-        times = min(step, *(int(left[k]) // m for k, m in needs.items()))
-        numbers[config] += times
-        for k, m in needs.items():
-            left[k] -= times * m
+        ahead = (start - left) / np.maximum(start, 1) - (1 - rest / total) - LEAD * size / capacity
+        p = size * np.exp(-rate * np.clip(ahead, -1, 1))
+        config = fill(p, left, capacity, candidates(ahead, left, capacity))
+        if sum(config) < capacity:  # a full sequence can't be bettered; else all lengths are priced
+            config = fill(p, left, capacity, np.flatnonzero(left))
+        take(np.bincount(config, minlength=len(counts)), step)
     return dict(numbers), left
 
 
@@ -210,21 +275,40 @@ def best_fit_decreasing(counts: np.ndarray, capacity: int = CAPACITY) -> dict[tu
     return dict(out)
 
 
+def repaired(found: Counter, counts: np.ndarray, capacity: int = CAPACITY) -> Counter:
+    """The same pieces in fewer sequences, where opening the emptiest ones and packing them again does that."""
+    for share in REOPENED:
+        kept, left, open_ = Counter(found), np.zeros(len(counts), dtype=np.int64), int(share * found.total())
+        for config, n in sorted(found.items(), key=lambda c: (sum(c[0]), c[0])):
+            times = min(n, open_)
+            if times <= 0:
+                break
+            open_ -= times
+            kept[config] -= times
+            left += times * np.bincount(config, minlength=len(counts))
+        again = +kept
+        again.update(best_fit_decreasing(left, capacity))
+        if again.total() < found.total():
+            found = again
+    return found
+
+
 def plan(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> dict[tuple[int, ...], int]:
-    """Configurations for exactly these pieces: those of the program, and the last LAST sequences best-fit.
+    """Configurations for exactly these pieces: the program rounded, the last LAST sequences best-fit, and the emptiest repaired.
 
-    A low rate does where full sequences abound, a high one where lengths go badly together. Rates are tried in turn until the
-    count is within ENOUGH of its lower bound; else the one with the fewest sequences counts.
+    A low rate does where full sequences abound, a high one where lengths go badly together. All are tried, and the fewest
+    sequences count, unless one reaches the bound that the dual prices prove.
     """
-    enough = -(-int((counts * np.arange(len(counts))).sum()) // capacity) * (1 + ENOUGH)
+    price, bound = relaxation(counts, capacity)
     best: Counter = Counter()
     for rate in RATES:
-        numbers, left = configurations(counts, capacity, rounds, rate)
+        numbers, left = configurations(counts, price, capacity, rounds, rate)
         found = Counter(numbers)
         found.update(best_fit_decreasing(left, capacity))
+        found = repaired(found, counts, capacity)
         if not best or found.total() < best.total():
             best = found
-        if best.total() <= enough:
+        if best.total() <= np.ceil(bound - 1e-6):
             break
     return dict(best)
 
@@ -252,7 +336,7 @@ def packed(parts: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) ->
     The driver gets the histogram, at most ``capacity`` rows. Ranks within a length are made by bucket, with the buckets'
     counts added up before them, so that a length with a third of all pieces isn't one task.
     """
-    keyed = parts.withColumn("_bucket", F.pmod(F.xxhash64("doc", "piece"), F.lit(BUCKETS)))
+    keyed = parts.withColumn("_bucket", F.pmod(F.xxhash64("doc", "piece"), F.lit(max(BUCKETS, -(-parts.count() // BUCKET_ROWS)))))
     sizes = cut(keyed.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n")))
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in sizes.groupBy("length").agg(F.sum("_n")).collect():

@@ -74,7 +74,8 @@ def test_packing(spark, documents):
     assert sorted(map(tuple, got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False))) == sorted(want)
     s = got.sort_values(["sequence_id", "offset"])
     assert (s.offset == s.groupby("sequence_id").length.cumsum() - s.length).all() and s.groupby("sequence_id").length.sum().max() <= 2048
-    assert got.sequence_id.nunique() <= 1.02 * np.ceil(got.length.sum() / 2048) + 1
+    counts = np.bincount(got.length, minlength=2049)
+    assert got.sequence_id.nunique() <= sum(packing.best_fit_decreasing(counts).values())
 
 
 def test_sentencepiece(spark, documents):

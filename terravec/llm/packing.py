@@ -134,7 +134,7 @@ def candidates(ahead: np.ndarray, left: np.ndarray, capacity: int, bands: int =
     return np.sort(have[order[rank < per_band]])
 
 
-def table(price: np.ndarray, left: np.ndarray, capacity: int, lengths: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]], list[np.ndarray]]:
+def knapsack(price: np.ndarray, left: np.ndarray, capacity: int, lengths: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]], list[np.ndarray]]:
     """Bounded knapsack by dynamic programming: the greatest total price in each room up to the capacity, of these lengths, each as
     often as pieces are left (in powers of two); and what ``traced`` needs to say which they are."""
     value, spare = np.zeros(capacity + 1), np.empty(capacity + 1)
@@ -166,7 +166,7 @@ def traced(rooms: np.ndarray, items: list[tuple[int, int]], taken: list[np.ndarr
 
 def fill(price: np.ndarray, left: np.ndarray, capacity: int, lengths: np.ndarray) -> tuple[int, ...]:
     """Of these lengths those of greatest total price that fit together."""
-    _, items, taken = table(price, left, capacity, lengths)
+    _, items, taken = knapsack(price, left, capacity, lengths)
     many = traced(np.array([capacity]), items, taken, len(left))[0]
     return tuple(np.repeat(np.arange(len(left)), many)[::-1].tolist())
 
@@ -189,7 +189,7 @@ def relaxation(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = 100)
     for t in range(rounds):
         p = np.zeros(len(counts))
         p[small] = np.exp(logs)
-        value, items, taken = table(p, counts, capacity, small)
+        value, items, taken = knapsack(p, counts, capacity, small)
         beside = np.maximum(0, 1 - value[capacity - big] / value[capacity])
         proved = float((p[small] * n).sum() / value[capacity] + (counts[big] * beside).sum())
         if proved > top:
@@ -229,12 +229,12 @@ def configurations(counts: np.ndarray, price: np.ndarray, capacity: int = CAPACI
         if not len(here):
             break
         ahead = (counts - left) / np.maximum(counts, 1) - (1 - left[big].sum() / counts[big].sum())
-        _, items, taken = table(price * np.exp(-rate * np.clip(ahead, -1, 1)) + tie, left, capacity, np.flatnonzero(left[: half + 1]))
+        _, items, taken = knapsack(price * np.exp(-rate * np.clip(ahead, -1, 1)) + tie, left, capacity, np.flatnonzero(left[: half + 1]))
         for length, config in zip(here.tolist(), traced(capacity - here, items, taken, half + 1), strict=True):
             take(config, -(-int(left[length]) // (rounds - r)), length)
     for length in big[::-1].tolist():  # whose fills others have taken
         while left[length]:
-            _, items, taken = table(price + tie, left, capacity, np.flatnonzero(left[: capacity - length + 1]))
+            _, items, taken = knapsack(price + tie, left, capacity, np.flatnonzero(left[: capacity - length + 1]))
             take(traced(np.array([capacity - length]), items, taken, half + 1)[0], int(left[length]), length)
     start, total = left.copy(), int((left * size).sum())
     step = max(1, -(-total // (capacity * rounds)))

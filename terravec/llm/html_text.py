@@ -18,6 +18,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,14 +46,16 @@ SELF_CLOSING = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 MAIN = {"article", "main"}
 ASIDES = {"aside", "header", "footer", "nav"}
 #: Names of classes, ids and roles that mark text which is not the article: those that hardly ever mean anything else, and others.
-NOISE = re.compile(r"advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|signup|share|sharing|social|sidebar|breadcrumbs?|pagination|comments?|commentlist|respond|disqus", re.I)
-DOUBTFUL = re.compile(r"ads?|banner|notice|alert|overlay|related|recommend\w*|widget|menu|nav\w*|pager|toolbar|header|masthead|footer|copyright|reply|replies|discussion|login|search|skip|form", re.I)
+NOISE = re.compile(r"advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|signup|share|sharing|social|sidebar|breadcrumbs?|pagination|comments?|commentlist|respond|disqus|ads?", re.I)
+DOUBTFUL = re.compile(r"banner|notice|alert|overlay|related|recommend\w*|widget|menu|nav\w*|pager|toolbar|header|masthead|footer|copyright|reply|replies|discussion|login|search|skip|form", re.I)
 #: A part after one of these says what the page has, not what the element is.
 _HAVING = re.compile(r"has|have|no|not|with|without|is|hide|show", re.I)
 #: What a name weighs before any page is seen: a whole name, and a doubtful one that is a part of a name or stands on a line of text.
 WHOLE, PART = -4.0, -1.5
-#: Wrappers of one page that are looked for, from the outside in.
-WRAPPERS = 8
+#: Words of a line of prose, at least.
+PROSE_WORDS = 8
+#: What a linked word in a main element still earns: a list of links there is text, if nothing else speaks against it.
+LINKED = 0.1
 #: Words that the prior of a name counts as.
 PRIOR_WORDS = 200
 #: Elements whose content is a line of text.
@@ -72,7 +75,7 @@ class Block:
     """Text between two tags that end blocks: its words, those in links, the tags before it, and its surroundings.
 
     noise: it is in an aside or hidden. names: those of the elements around it that tell something. wrap: where the outermost
-    element of such a name begins, or -1; inner: a main element is between.
+    element of such a name begins, or -1; inner: a main element is between. node: the innermost such element outside main ones.
     """
 
     text: str
@@ -85,6 +88,11 @@ class Block:
     wrap: int = -1
     inner: bool = False
     names: tuple[str, ...] = ()
+    node: int = -1
+
+    @property
+    def prose(self) -> bool:
+        return self.words >= PROSE_WORDS and 2 * self.link_words < self.words
 
 
 @dataclass
@@ -112,7 +120,7 @@ def telling(names: list[str], line: bool) -> tuple[str, ...]:
             if k and _HAVING.fullmatch(parts[k - 1]):
                 continue
             if NOISE.fullmatch(part) or DOUBTFUL.fullmatch(part):
-                weak = line or (len(parts) > 1 and DOUBTFUL.fullmatch(part))
+                weak = line or (len(parts) > 1 and (DOUBTFUL.fullmatch(part) or part.lower() in ("ad", "ads")))
                 out.append(("~" if weak else "") + part.lower())
     return tuple(out)
 
@@ -124,41 +132,61 @@ def prior(name: str) -> float:
 def blocks(page: str) -> tuple[list[Block], list[str]]:
     """The blocks of a page in order, and the tags after the last one.
 
-    The name of the page's wrapper tells nothing; what is in a wrapper is judged by itself. Where more than WRAPPERS of them are in
-    each other, no name on the page tells anything.
+    The name of the page's wrapper tells nothing; what is in a wrapper is judged by itself, wrappers in it too.
     """
     spared: set[int] = set()
-    for _ in range(WRAPPERS):
-        found, rest, whole = _blocks(page, spared)
-        wrapper = _wrapper(found, whole)
-        if wrapper < 0:
+    while True:
+        found, rest, whole, elements = _blocks(page, spared)
+        wrappers = _wrappers(found, whole, elements)
+        if not wrappers:
             return found, rest
-        spared.add(wrapper)
-    return _blocks(page, None)[:2]
+        spared.update(wrappers)
 
 
-def _wrapper(found: list[Block], whole: set[int]) -> int:
-    """Where an element begins that is noise by its name but holds most words of the page, or -1.
+def _wrappers(found: list[Block], whole: set[int], elements: list[tuple[int, int]]) -> list[int]:
+    """Where elements begin that are noise by their names but hold most words of the page: one, and those in it that are so too.
 
     It has to hold a main element with most of its words, and more than main elements elsewhere; or no element elsewhere is main
-    and its name only has a telling part (header-fixed; whole names are in whole), or all words are in it.
+    and its name only has a telling part (header-fixed; whole names are in whole), or all words are in it. An element in it that
+    holds most words, and all of its words that are in main elements, is one for the same reason. elements: (the one around it, where
+    it begins) of named elements that are in no main one.
     """
     if all(b.wrap < 0 for b in found):
-        return -1
+        return []
     shown = [b for b in found if not b.noise or b.wrap >= 0]
     total, outer = sum(b.words for b in shown), sum(b.words for b in shown if b.main)
-    for wrap in dict.fromkeys(b.wrap for b in shown if b.wrap >= 0):
-        n, inner = sum(b.words for b in shown if b.wrap == wrap), sum(b.words for b in shown if b.wrap == wrap and b.inner)
-        if 2 * n > total and (2 * inner > n and inner > outer or outer == 0 and (n == total or wrap not in whole)):
-            return wrap
-    return -1
-
-
-def _blocks(page: str, spared: set[int] | None) -> tuple[list[Block], list[str], set[int]]:
-    """The blocks and the tags after the last one, and where elements begin that a whole word names as noise; names of the
-    elements that begin at spared (None: of any) don't count."""
+    n, inner = Counter(), Counter()
+    for b in shown:
+        if b.wrap >= 0:
+            n[b.wrap] += b.words
+            inner[b.wrap] += b.words * b.inner
+    for wrap in n:
+        by_main = 2 * inner[wrap] > n[wrap] and inner[wrap] > outer
+        if 2 * n[wrap] <= total or not (by_main or outer == 0 and (n[wrap] == total or wrap not in whole)):
+            continue
+        held, main = [0] * len(elements), [0] * len(elements)
+        for b in shown:
+            if b.node >= 0:
+                held[b.node] += b.words
+                main[b.node] += b.words * b.inner
+        for k in range(len(elements) - 1, -1, -1):
+            if (up := elements[k][0]) >= 0:
+                held[up], main[up] = held[up] + held[k], main[up] + main[k]
+        large = {up: k for k, (up, _) in enumerate(elements) if 2 * held[k] > total}  # at most one in each
+        at, out = next(k for k, (_, start) in enumerate(elements) if start == wrap), [wrap]
+        while (k := large.get(at)) is not None and main[k] == main[at] and (by_main or held[k] == total or elements[k][1] not in whole):
+            out.append(elements[k][1])
+            at = k
+        return out
+    return []
+
+
+def _blocks(page: str, spared: set[int]) -> tuple[list[Block], list[str], set[int], list[tuple[int, int]]]:
+    """The blocks and the tags after the last one, where elements begin that a whole word names as noise, and the named elements;
+    names of the elements that begin at spared don't count."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, int, bool, tuple[str, ...]]] = []  # name, surroundings, noise, wrap, inner, names
+    stack: list[tuple[str, str, bool, int, bool, tuple[str, ...], int]] = []  # name, surroundings, noise, wrap, inner, names, node
+    elements: list[tuple[int, int]] = []
     ends: dict[str, dict[int, int] | list[int]] = {}
     headed = (-1, -1, False)  # from where to where no heading was looked for in vain, or one was found
     loud_names: tuple[str, ...] = ()
@@ -174,11 +202,11 @@ def _blocks(page: str, spared: set[int] | None) -> tuple[list[Block], list[str],
         joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
         text = []
         if joined:
-            _, around, noise, wrap, inner, names = stack[-1] if stack else ("", "plain", False, -1, False, ())
+            _, around, noise, wrap, inner, names, node = stack[-1] if stack else ("", "plain", False, -1, False, (), -1)
             words = joined.count(" ") + 1
             if loud >= words:  # nothing else is in the line
                 names += tuple(x for x in loud_names if x not in names)
-            out.append(Block(joined, words, links, tags, around, around == "main", noise, wrap, inner, names))
+            out.append(Block(joined, words, links, tags, around, around == "main", noise, wrap, inner, names, node))
             tags = []
         links = loud = 0
         loud_names = ()
@@ -237,13 +265,16 @@ def _blocks(page: str, spared: set[int] | None) -> tuple[list[Block], list[str],
         elif name not in VOID:
             if name in SELF_CLOSING and stack and stack[-1][0] == name:
                 stack.pop()
-            _, around, noise, wrap, inner, names = stack[-1] if stack else ("", "plain", False, -1, False, ())
+            _, around, noise, wrap, inner, names, node = stack[-1] if stack else ("", "plain", False, -1, False, (), -1)
             own = _named(attributes)
-            told = () if spared is None or at in spared or name in ("html", "body", *MAIN) else telling(own, name in LINES)
-            if name == "form" and spared is not None and at not in spared and _skip(page, pos, name, ends) > pos:
-                told += ("form",)
+            told = () if at in spared or name in ("html", "body", *MAIN) else telling(own, name in LINES)
+            if name == "form" and at not in spared and _skip(page, pos, name, ends) > pos:
+                told += ("<form>",)
             if told:
                 names += tuple(x for x in told if x not in names)
+                if around != "main" and not inner:
+                    elements.append((node, at))
+                    node = len(elements) - 1
                 if wrap < 0:
                     wrap = at
                     if any(NOISE.fullmatch(x) or DOUBTFUL.fullmatch(x) for x in own):
@@ -264,9 +295,9 @@ def _blocks(page: str, spared: set[int] | None) -> tuple[list[Block], list[str],
                 around = "main"
             elif around == "plain" and name == "div" and MAIN_NAME.search(" ".join(own)):
                 around = "named"
-            stack.append((name, around, noise, wrap, inner or wrap >= 0 and name in MAIN, names))
+            stack.append((name, around, noise, wrap, inner or wrap >= 0 and name in MAIN, names, node))
     flush()
-    return out, tags, whole
+    return out, tags, whole, elements
 
 
 def _named(attributes: str) -> list[str]:
@@ -302,7 +333,11 @@ def _skip(page: str, pos: int, name: str, ends: dict[str, dict[int, int] | list[
 
 def _inside(b: Block) -> bool:
     """The label: in the main element, and in nothing there that is surely something else."""
-    return b.main and not b.noise and all(prior(x) > WHOLE for x in b.names)
+    return b.main and not b.noise and all(_doubtful(x) or prior(x) > WHOLE for x in b.names)
+
+
+def _doubtful(name: str) -> bool:
+    return DOUBTFUL.fullmatch(name.lstrip("~")) is not None and not NOISE.fullmatch(name.lstrip("~"))
 
 
 def fit(pages: list[str]) -> Weights:
@@ -351,23 +386,35 @@ def _around(b: Block, has_main: bool) -> str:
 
 
 def _gains(found: list[Block], w: Weights) -> list[float | None]:
-    """What the words of each block earn; None: it is left out of the text, so it stands in no region's way."""
+    """What the words of each block earn; None: it is left out of the text, so it stands in no region's way.
+
+    In a main element doubtful names weigh nothing on blocks among which is prose, and elsewhere no name weighs more than its prior
+    there; where none does, linked words earn something too.
+    """
     has_main, out = any(b.main for b in found), []
-    for b in found:
-        name = max(-6.0, sum(w.name.get(x, prior(x)) for x in set(b.names)))
-        each = w.word.get(_around(b, has_main), 0.6) + name
-        gain = b.words * each + b.link_words * w.link
-        out.append(None if b.noise and each <= 0 or name < 0 and gain <= 0 else gain)
+    for (names, main), run in groupby(found, key=lambda b: (b.names, b.main)):
+        together = list(run)
+        prose = main and any(b.prose for b in together)
+        weights = (prior(x) if main else w.name.get(x, prior(x)) for x in set(names) if not (prose and _doubtful(x)))
+        name = max(-6.0, sum(weights))
+        for b in together:
+            each = w.word.get(_around(b, has_main), 0.6) + name
+            link = max(w.link, LINKED - each) if main and name >= 0 else w.link
+            gain = b.words * each + b.link_words * link
+            out.append(None if b.noise and each <= 0 or name < 0 and gain <= 0 else gain)
     return out
 
 
 def region(found: list[Block], w: Weights, gains: list[float | None] | None = None) -> tuple[int, int]:
     """The blocks [a, b) of the highest score; the first of equals, and (0, 0) if none is above zero."""
-    best, span, run, start = 0.0, (0, 0), 0.0, 0
+    best, span, run, start, within = 0.0, (0, 0), 0.0, 0, False
     for k, (b, gain) in enumerate(zip(found, gains or _gains(found, w), strict=True)):
         if gain is None:
             continue
         cost = sum(w.tag.get(t, w.other_tag) for t in b.tags)
+        if b.main and within:  # tags within a main element don't part its text, however short
+            cost = min(cost, max(gain, 0.0) / 2)
+        within = b.main
         if run - cost <= 0:
             run, start = gain, k  # the tags before the first block are outside
         else:

@@ -335,14 +335,17 @@ def test_html(spark):
     assert html_text.extracted(pages.limit(0), html_text.DEFAULT).count() == 0
 
 
-def test_html_scan_decides_within_main():
+def test_html_scan_leaves_out_links_beside_main_and_keeps_those_in_it():
+    """Of the article nothing but menus and their like is left out, and a list of links is none by itself."""
     prose = "words of the story that is told here " * 6
     links = "<ul>" + "".join(f"<li><a href='/{k}'>other page number {k}</a></li>" for k in range(8)) + "</ul>"
     w = html_text.fit([f"<body><div>{links}</div><article><h1>Head</h1><p>{prose}</p><p>{prose}</p></article><div>{links}</div></body>"] * 20)
     told = f"Head\n\n{prose.strip()}\n\n{prose.strip()}"
     body = f"<h1>Head</h1><p>{prose}</p><p>{prose}</p>"
-    for page in (f"<article>{body}</article>", f"<article>{body}{links}</article>", f"<article>{links}{body}</article>"):
-        assert html_text.main_text(f"<body>{page}</body>", w) == told
+    listed = "\n\n".join(f"other page number {k}" for k in range(8))
+    for page, text in ((f"<article>{body}</article>", told), (f"{links}<article>{body}</article>{links}", told), (f"<article>{body}{links}</article>", f"{told}\n\n{listed}"), (f"<article>{links}{body}</article>", f"{listed}\n\n{told}")):
+        assert html_text.main_text(f"<body>{page}</body>", w) == text
+    assert html_text.main_text(f"<body><article>{body}<nav>{links}</nav></article></body>", w) == told
     # nothing above zero: the element is the text
     assert html_text.main_text("<article><a href='/x'>one link</a></article>", html_text.Weights(word={"main": 0.5})) == "one link"
 
@@ -362,6 +365,55 @@ def test_html_names_of_noise_on_wrappers():
         assert html_text.main_text(f"<body><article>{body}</article>{beside}</body>") == told
 
 
+def html_weights():
+    pages = [h for (h,) in duck("SELECT html FROM pages ORDER BY page_id LIMIT 200", "/root/testdata/sf0.01").itertuples(index=False)]
+    return html_text.fit(pages)
+
+
+def test_html_names_alone_remove_no_prose_of_an_article():
+    six = " ".join(f"Sentence number {k} tells some more of the story." for k in range(6))
+    for w in (html_weights(), html_text.DEFAULT):
+        for name in ("discussion", "related", "search", "menu", "alert", "banner", "reply", "notice", "header", "related-work", "search-methods"):
+            for tag in ("section", "div"):
+                page = f"<body><nav><a href='/'>Home</a></nav><article><h1>Head</h1><p>{six}</p><{tag} class='{name}'><p>{six}</p><p>{six}</p></{tag}><p>{six}</p></article><footer>c</footer></body>"
+                assert html_text.main_text(page, w) == "\n\n".join(["Head", six, six, six, six]), (name, tag)
+        # what is never the article's goes from it too
+        for name in ("ad", "ads", "advert", "comments", "newsletter", "share", "cookie-notice", "sponsored"):
+            page = f"<body><article><h1>Head</h1><p>{six}</p><div class='{name}'><p>{six}</p></div><p>{six}</p></article></body>"
+            assert html_text.main_text(page, w) == "\n\n".join(["Head", six, six]), name
+        # short lines of a doubtful name are no prose
+        page = f"<body><article><h1>Head</h1><p>{six}</p><div class='related-posts'><ul><li><a href='/a'>Another story</a></li></ul></div><p>The end.</p></article></body>"
+        assert html_text.main_text(page, w).endswith("The end.")
+
+
+def test_html_keeps_references_links_and_short_ends_of_an_article():
+    prose = "words of the story that is told here, and more of them. " * 4
+    entries = [f"Author {k}, Title of the work {k}, 19{k}0" for k in range(8)]
+    linked = "".join(f"<li><a href='/r{k}'>{x}</a></li>" for k, x in enumerate(entries))
+    for w in (html_weights(), html_text.DEFAULT):
+        for title in ("", "<h2>References</h2>"):
+            page = f"<body><div><ul>{linked}</ul></div><article><h1>Head</h1><p>{prose}</p>{title}<ol>{linked}</ol></article></body>"
+            assert html_text.main_text(page, w) == "\n\n".join(["Head", prose.strip(), *(["References"] if title else []), *entries])
+        for end in ("Fin", "The end"):
+            for dropped in ("<div class='ad'><p>Buy this now</p></div>", "<aside>More</aside>", "<form>Send</form>"):
+                page = f"<body><article><h1>Head</h1><p>{prose}</p>{dropped}<p>{end}</p></article></body>"
+                assert html_text.main_text(page, w) == f"Head\n\n{prose.strip()}\n\n{end}", (end, dropped)
+
+
+@pytest.mark.parametrize("depth", [1, 7, 8, 9, 12, 40, 3000])
+def test_html_wrappers_of_any_depth(depth):
+    """An advert in the article is left out however many wrappers with telling names are around it, in time that grows with the page."""
+    prose = "words of the story that is told here, and more of them. " * 6
+    for inside in ("<article>{}</article>", "<main>{}</main>"):
+        for extra in ("", "<p>x</p>"):
+            body = inside.format(f"<h1>Head</h1><p>{prose}</p><div class='ad'>Buy this</div><p>{prose}</p>")
+            page = f"<body>{('<div class=sidebar>' + extra) * depth}{body}{'</div>' * depth}</body>"
+            began = time.time()
+            assert html_text.main_text(page).startswith(f"Head\n\n{prose.strip()}\n\n{prose.strip()}") or extra and depth > 40
+            assert "Buy this" not in html_text.main_text(page) or extra and depth > 40
+            assert time.time() - began < 5
+
+
 def test_html_keeps_words_within_a_line():
     page = "<article><p>One <span class='alert'>word</span> and <a class='social-link' href='/x'>a link</a>, <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> is kept.</p><p><a class='share' href='/y'>Share it</a></p><p>The end <span hidden>not</span> here.</p></article>"
     assert html_text.main_text(page) == "One word and a link, x=1 is kept.\n\nThe end here."

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terravec.functions.arrays import NORM_FLOOR
+from terravec.operators.points import split_train_val_test
+from terravec.sources.io import write_splits
 
 
 def activation(x: Column, name: str, w0: float = 30.0) -> Column:
@@ -123,6 +125,17 @@ def encode_points(points: DataFrame, encoding: Column, net: Net, out: str = "loc
     return apply_net(points.withColumn("_encoded", encoding), net, "_encoded", out).drop("_encoded")
 
 
+def precompute_embeddings(rows: DataFrame, encoding: Column, net: Net, path: str, key: str, val_fraction: float = 0.1, test_fraction: float = 0.1, keep: list[str] | None = None, order: Column | None = None, out: str = "location_embedding") -> DataFrame:
+    """Encodes all rows, splits them exactly into train, val and test, writes one folder for each split below path, and returns what
+    has been written. keep: columns that go along, all by default. A split column of rows' own is kept instead of a new one."""
+    own = [c for c in (keep or rows.columns) if c != out]
+    encoded = encode_points(rows, encoding, net, out)
+    if "split" not in rows.columns:
+        encoded = split_train_val_test(encoded, val_fraction, test_fraction, key, order=order)
+    write_splits(encoded.select(*dict.fromkeys([*own, "split", out])), path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def project_embeddings(df: DataFrame, net: Net, vector: str, out: str = "projected") -> DataFrame:
     return apply_net(df, net, vector, out)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from terravec.functions import encodings as E
 from terravec.functions.arrays import doubles, l2_normalize
 from terravec.operators import nets, screening, splice, vectors
 from terravec.operators import points as P
-from terravec.operators.shared import cut
+from terravec.operators.shared import cut, shared_dir
 from terravec.plans.base import entries, located, points, query, r6, sql_entries, sql_points, table
 from terravec.plans.q_points import INSIDE, SHAPES
 
@@ -279,11 +280,11 @@ SELECT point_id AS doc_id, split, round(e[1] / greatest(sqrt(list_inner_product(
 
 @query("U9_precompute_embeddings", U9_SQL)
 def u9(spark, d):
-    """Documents at their points, encoded, with their split."""
+    """Documents at their points, encoded and written by split, and read again."""
     docs = located(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     net = nets.residual_fc((_matrix(6, 4, 3), _bias(6)), [((_matrix(6, 6, 5), _bias(6)), (_matrix(6, 6, 8), _bias(6)))], unit=True)
-    enc = nets.encode_points(docs, E.wrap(F.col("lon"), F.col("lat")), net)
-    out = P.split_train_val_test(enc, 0.1, 0.1, "doc_id", order=(F.col("doc_id") * 7919) % 10007)
+    path = f"{shared_dir(spark)}/precomputed-{uuid.uuid4().hex}"
+    out = nets.precompute_embeddings(docs, E.wrap(F.col("lon"), F.col("lat")), net, path, "doc_id", keep=["doc_id", "lon", "lat", "text"], order=(F.col("doc_id") * 7919) % 10007)
     return out.select("doc_id", "split", r6(F.get("location_embedding", F.lit(0))).alias("first"), F.size("location_embedding").alias("dims"))
 
 

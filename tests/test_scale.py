@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from terravec.operators import raster, sae, sampling
+from terravec.functions import encodings
+from terravec.operators import nets, raster, sae, sampling
 from terravec.streaming import stream
 
 
@@ -100,3 +101,17 @@ def test_raster_blocks(spark, monkeypatch, limit):
     for block in (4, 32):
         got = {r.point_id: r["values"] for r in raster.raster_lookup(pts, table, h, w, block=block).collect()}
         assert set(got) == set(want) and all(np.allclose(got[i], want[i], atol=1e-12) for i in want)
+
+
+def test_precomputed_embeddings_are_written_by_split(spark, tmp_path):
+    import os
+
+    net = nets.residual_fc((np.eye(4), np.zeros(4)), [], unit=True)
+    rows = spark.range(200).select("id", (F.col("id") % 180).cast("double").alias("lon"), (F.col("id") % 90).cast("double").alias("lat"), F.lit("t").alias("text"))
+    path = str(tmp_path / "out")
+    out = nets.precompute_embeddings(rows, encodings.wrap(F.col("lon"), F.col("lat")), net, path, "id")
+    assert {r.split: r["count"] for r in out.groupBy("split").count().collect()} == {"test": 20, "val": 18, "train": 162}
+    assert {d for d in os.listdir(path) if d.startswith("split=")} == {"split=test", "split=val", "split=train"}
+    assert set(out.columns) == {"id", "lon", "lat", "text", "split", "location_embedding"}
+    again = nets.precompute_embeddings(rows.withColumn("split", F.lit("all")), encodings.wrap(F.col("lon"), F.col("lat")), net, path, "id", keep=["id"])
+    assert set(again.columns) == {"id", "split", "location_embedding"} and again.filter("split = 'all'").count() == 200

@@ -25,13 +25,16 @@ from terravec.llm.common import cut, table
 
 CAPACITY = 2048
 SEPARATOR = 0
-#: Parts in which the multiplicative weights hand out the sequences.
-ROUNDS = 128
+#: Parts in which the sequences are handed out (more where lengths are few, as fine steps cost little there), and in which those
+#: without a long piece are. Rounds of multiplicative weights, and after how many they end if none bettered the plain bound of all
+#: lengths over the capacity.
+ROUNDS, STEPS = 16, 128
+WEIGHINGS, PLAIN = 100, 12
 #: Learning rates, in the order they are tried. The first little more than breaks ties between equally full sequences.
 RATES = (0.02, 0.5, 2.0, 8.0)
 LEAD = 0.5
 #: The knapsack first looks for a full sequence among so many lengths of each band; if there is none it takes all lengths.
-BANDS, PER_BAND = 16, 24
+BANDS, PER_BAND = 16, 12
 #: So many sequences at the end are packed best-fit; and these shares of the emptiest ones are, one after another, where it helps.
 LAST = 4
 REOPENED = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9)
@@ -171,7 +174,7 @@ def fill(price: np.ndarray, left: np.ndarray, capacity: int, lengths: np.ndarray
     return tuple(np.repeat(np.arange(len(left)), many)[::-1].tolist())
 
 
-def relaxation(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = 100) -> tuple[np.ndarray, float]:
+def relaxation(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = WEIGHINGS) -> tuple[np.ndarray, float]:
     """(prices, bound): dual prices of the configuration linear program, by multiplicative weights, and the best lower bound on the
     number of sequences that any of them proved.
 
@@ -195,6 +198,8 @@ def relaxation(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = 100)
         if proved > top:
             top, price = proved, p / value[capacity]
             price[big] = beside
+        if t >= PLAIN and top <= bound * (1 + 1e-6):
+            break
         fills = traced(np.append(capacity - big, capacity), items, taken, half + 1)[:, small]
         alone = max(0.0, max(top, bound) - float(counts[big].sum()))
         covered = counts[big] @ fills[:-1] + alone * fills[-1]
@@ -212,7 +217,7 @@ def configurations(counts: np.ndarray, price: np.ndarray, capacity: int = CAPACI
     rounding leaves no surplus, and each next knapsack is over what is there.
     """
     half, size, left, numbers = capacity // 2, np.arange(len(counts)), counts.copy(), Counter()
-    rounds *= min(4, max(1, 512 // max(1, np.count_nonzero(counts))))  # fine steps cost little where lengths are few
+    rounds *= min(32, max(1, 4000 // max(1, np.count_nonzero(counts))))
     big = half + 1 + np.flatnonzero(counts[half + 1 :])
     tie = 1e-9 * size
 
@@ -237,7 +242,7 @@ def configurations(counts: np.ndarray, price: np.ndarray, capacity: int = CAPACI
             _, items, taken = knapsack(price + tie, left, capacity, np.flatnonzero(left[: capacity - length + 1]))
             take(traced(np.array([capacity - length]), items, taken, half + 1)[0], int(left[length]), length)
     start, total = left.copy(), int((left * size).sum())
-    step = max(1, -(-total // (capacity * rounds)))
+    step = max(1, -(-total // (capacity * STEPS)))
     while (rest := int((left * size).sum())) > LAST * capacity:
         ahead = (start - left) / np.maximum(start, 1) - (1 - rest / total) - LEAD * size / capacity
         p = size * np.exp(-rate * np.clip(ahead, -1, 1))
@@ -296,8 +301,8 @@ def repaired(found: Counter, counts: np.ndarray, capacity: int = CAPACITY) -> Co
 def plan(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> dict[tuple[int, ...], int]:
     """Configurations for exactly these pieces: the program rounded, the last LAST sequences best-fit, and the emptiest repaired.
 
-    A low rate does where full sequences abound, a high one where lengths go badly together. All are tried, and the fewest
-    sequences count, unless one reaches the bound that the dual prices prove.
+    A low rate does where full sequences abound, a high one where lengths go badly together. Rates are tried from the lowest on,
+    as long as each takes fewer sequences than the one before and none has reached the bound that the dual prices prove.
     """
     price, bound = relaxation(counts, capacity)
     best: Counter = Counter()
@@ -306,8 +311,9 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) ->
         found = Counter(numbers)
         found.update(best_fit_decreasing(left, capacity))
         found = repaired(found, counts, capacity)
-        if not best or found.total() < best.total():
-            best = found
+        if best and found.total() >= best.total():
+            break
+        best = found
         if best.total() <= np.ceil(bound - 1e-6):
             break
     return dict(best)

@@ -40,8 +40,8 @@ LAST = 4
 REOPENED = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9)
 #: Pieces of one length are ranked in buckets, by a hash of document and piece: so many, or more with more than so many pieces each.
 BUCKETS, BUCKET_ROWS = 256, 1_000_000
-#: Entries of each of the two generations of a worker's cache of words.
-CACHE = 400_000
+#: Bytes of each of the two generations of a worker's cache of words, and what an entry takes besides its word and ids.
+CACHE_BYTES, ENTRY_BYTES = 40 << 20, 180
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -65,6 +65,7 @@ class WordIds(dict):
         self.plain.normalizer = None
         self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.old: dict[str, bytes] = {}
+        self.held = 0
         self.parts = regex.compile(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 
     def __missing__(self, chunk: str) -> bytes:
@@ -76,10 +77,11 @@ class WordIds(dict):
             else:
                 simple = chunk.isalpha() and chunk.islower() and max(chunk) <= "\u00ff"
                 got = np.array((self.plain if simple else self.tokenizer).encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) >= CACHE:
-            self.old = dict(self)
+        if self.held >= CACHE_BYTES:
+            self.old, self.held = dict(self), 0
             self.clear()
         self[chunk] = got
+        self.held += len(chunk) + len(got) + ENTRY_BYTES
         return got
 
     def of(self, text: str) -> bytes:

@@ -93,8 +93,8 @@ def _first_parities(regions: DataFrame, edges: DataFrame) -> DataFrame:
 
 @dataclass
 class EdgeIndex:
-    """cells: level, i, j, held (for each polygon with something there: region, pid, odd, edges; no edges: wholly inside);
-    edges: with each polygon's first level; levels: those that occur."""
+    """cells: level, i, j, held (for each polygon with something there: region, pid, odd, edges; no edges: wholly inside, or with odd
+    null, where a crossing to its anchor was left open, as the plain test says); edges: with each polygon's first level; levels: those that occur."""
 
     cells: DataFrame
     edges: DataFrame
@@ -120,7 +120,7 @@ def edge_index(polygons: DataFrame, whole: bool = False) -> EdgeIndex:
         state = cut(parities.join(counts, keys, "left").select(*keys, "odd", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(split, F.lit(False)).alias("split")))
         full = touched.join(state.filter("n > 0 AND NOT split").select(*keys), keys, "left_semi").groupBy(*keys).agg(F.collect_list(struct).alias("edges"))
         done.append(state.filter("n > 0 AND NOT split").select(*keys, "odd").join(full, keys))
-        done.append(state.filter("n = 0 AND odd").select(*keys, "odd", F.array().cast(full.schema["edges"].dataType).alias("edges")))
+        done.append(state.filter("n = 0 AND coalesce(odd, true)").select(*keys, "odd", F.array().cast(full.schema["edges"].dataType).alias("edges")))
         stats = state.agg(F.collect_set("level").alias("levels"), F.count_if("split").alias("split")).first()
         levels |= set(stats.levels)
         if not stats.split:

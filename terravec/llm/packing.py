@@ -11,12 +11,14 @@ then finds its place from its rank among the pieces of its length.
 from __future__ import annotations
 
 import functools
+import os
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,8 +42,10 @@ LAST = 4
 REOPENED = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9)
 #: Pieces of one length are ranked in buckets, by a hash of document and piece: so many, or more with more than so many pieces each.
 BUCKETS, BUCKET_ROWS = 256, 1_000_000
-#: Bytes of each of the two generations of a worker's cache of words, and what an entry takes besides its word and ids.
-CACHE_BYTES, ENTRY_BYTES = 40 << 20, 180
+#: Texts are encoded in groups of about so many bytes, and so many distinct words of a group in one call.
+GROUP_BYTES, TOGETHER = 8 << 20, 20_000
+#: Text that isn't Latin-1 or may hold a special token, and words that the tokenizer's normalizing and splitting leave as they are.
+SPECIAL_TEXT, PLAIN_WORD = r"[^\x00-\x{ff}]|<\|", r"^[a-z\x{df}-\x{f6}\x{f8}-\x{ff}]+$"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -50,50 +54,101 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-class WordIds(dict):
-    """white-space-free chunk of text -> its ids as little-endian unsigned 32-bit bytes. White space only separates in this
-    tokenizer, so a text's ids are those of its chunks in a row."""
+def byte_letters() -> dict[int, str]:
+    """For str.translate: the Latin-1 characters as the tokenizer spells their UTF-8 bytes, one letter a byte."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in own)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
+
+
+def spans(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The positions first, first + 1, ... of each span, ``many`` of them, in a row."""
+    to = np.cumsum(many, dtype=np.int32)
+    return np.repeat(first - to + many, many) + np.arange(to[-1] if len(to) else 0, dtype=np.int32)
+
+
+def strings(column: pa.Array) -> list[str]:
+    """A column of strings without line feeds as a list, faster than by to_pylist."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+class WordIds:
+    """The ids of texts, by their distinct white-space-free chunks. White space only separates in this tokenizer, so a text's ids are
+    those of its chunks in a row.
+
+    Texts are worked in groups, whose distinct chunks Arrow finds. Chunks of Latin-1 characters are lower-cased, split and spelled
+    as letters of bytes like the tokenizer does, and their distinct parts go to its BPE model in a few calls. Others, and those that
+    may hold special tokens, are encoded one by one.
+    """
 
     def __init__(self, path: str):
-        super().__init__()
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one thread
         self.tokenizer = Tokenizer.from_file(path)
-        # for words of lower-case Latin-1 letters, which normalising and splitting leave as they are
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = None
-        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.old: dict[str, bytes] = {}
-        self.held = 0
-        self.parts = regex.compile(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-
-    def __missing__(self, chunk: str) -> bytes:
-        got = self.old.get(chunk)
-        if got is None:
-            pieces = None if chunk.isalpha() or "'" in chunk or "<|" in chunk or not chunk.isascii() else self.parts(chunk)
-            if pieces and len(pieces) > 1:
-                got = b"".join([self[p] for p in pieces])
-            else:
-                simple = chunk.isalpha() and chunk.islower() and max(chunk) <= "\u00ff"
-                got = np.array((self.plain if simple else self.tokenizer).encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if self.held >= CACHE_BYTES:
-            self.old, self.held = dict(self), 0
-            self.clear()
-        self[chunk] = got
-        self.held += len(chunk) + len(got) + ENTRY_BYTES
-        return got
+        self.joint = Tokenizer(self.tokenizer.model)
+        self.joint.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.letters = byte_letters() | {ord(" "): " "}
+        # the tokenizer's parts, and line feeds; its white space in Latin-1 is written out
+        self.parts = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0\p{L}\p{N}]+").findall
+
+    def _of_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct parts in a row, and how many each has."""
+        ids = [np.zeros(0, dtype="<u4")]
+        for a in range(0, len(parts), TOGETHER):
+            text = " ".join(parts[a : a + TOGETHER]).translate(self.letters)
+            ids.append(np.array(self.joint.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4"))
+        ids = np.concatenate(ids)
+        return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1).astype(np.int32)
+
+    def _of_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, many): the ids of all chunks, where those of each begin and how many it has."""
+        special, plain = (pc.match_substring_regex(chunks, p).to_numpy(zero_copy_only=False) for p in (SPECIAL_TEXT, PLAIN_WORD))
+        order = np.argsort(np.where(special, 2, np.where(plain, 0, 1)), kind="stable")
+        sorted_ = strings(chunks.take(pa.array(order)))
+        a, b = int(plain.sum()), len(sorted_) - int(special.sum())
+        mixed = self.parts("\n".join(sorted_[a:b]).lower())
+        line = np.cumsum(np.fromiter((p == "\n" for p in mixed), bool, len(mixed)))
+        coded = pa.array(sorted_[:a] + mixed, pa.string()).dictionary_encode()
+        parts, index = strings(coded.dictionary), coded.indices.to_numpy()
+        feed = parts.index("\n") if b - a > 1 else len(parts)
+        of_part, many = self._of_parts([p for p in parts if p != "\n"])
+        first = np.cumsum(many, dtype=np.int32) - many
+        if feed < len(parts):
+            first, many = np.insert(first, feed, 0), np.insert(many, feed, 0)
+        one_by_one = [np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, dtype="<u4") for c in sorted_[b:]]
+        ids = np.concatenate([of_part[spans(first[index], many[index])], *one_by_one])
+        of_mixed = np.bincount(line, weights=many[index[a:]], minlength=b - a)
+        lengths = np.concatenate([many[index[:a]], of_mixed, np.fromiter(map(len, one_by_one), np.int32, len(one_by_one))]).astype(np.int32)
+        first, many = np.empty((2, len(order)), dtype=np.int32)
+        first[order], many[order] = np.cumsum(lengths) - lengths, lengths
+        return ids, first, many
+
+    def of_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each whole text as little-endian unsigned 32-bit bytes, in order; a null text has none."""
+        texts = pc.fill_null(texts, "")
+        group = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64) // GROUP_BYTES
+        starts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            some = texts.slice(a, b - a)
+            # where the tokenizer would do the same, lower-casing makes for fewer chunks; it looks for special tokens before it does
+            some = pc.if_else(pc.match_substring_regex(some, SPECIAL_TEXT), some, pc.ascii_lower(some))
+            words = pc.ascii_split_whitespace(some)
+            chunks = words.values.dictionary_encode()
+            ids, first, many = self._of_chunks(chunks.dictionary)
+            index = chunks.indices.to_numpy()
+            raw = ids[spans(first[index], many[index])].tobytes()
+            ends = np.insert(np.cumsum(many[index], dtype=np.int64), 0, 0)[words.offsets.to_numpy()] * 4
+            for at, to in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                yield raw[at:to]
 
     def of(self, text: str) -> bytes:
-        """The ids of a whole text. Characters that str.split() takes for white space and the tokenizer doesn't go its own way."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        try:  # the tokenizer lower-cases by itself; where both agree, doing so first makes for fewer chunks
-            text.isascii() or text.encode("latin-1")
-            text = text.lower()
-        except UnicodeEncodeError:
-            pass
-        return b"".join(map(self.__getitem__, text.split()))
+        """The ids of a whole text."""
+        return next(self.of_all(pa.array([text], pa.string())))
 
 
 @functools.cache
@@ -113,8 +168,8 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         ids_of = word_ids(path)
         for batch in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(batch.column("_text")):
-                raw = ids_of.of(text.as_py() or "") + end
+            for i, raw in enumerate(ids_of.of_all(batch.column("_text"))):
+                raw += end
                 for k, a in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[a : a + 4 * capacity]
                     row.append(i)

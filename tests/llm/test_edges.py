@@ -3,11 +3,13 @@
 import hashlib
 import itertools
 import multiprocessing
+import random
 import time
 import zlib
 from concurrent.futures import ProcessPoolExecutor
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +210,45 @@ def test_packing_ids(docs):
         assert np.frombuffer(ids_of.of(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def odd_texts():
+    """Texts of all Latin-1 characters, of others that combine or change with case, and of special tokens in any case."""
+    rng = random.Random(7)
+    pools = [[chr(c) for c in range(256)], list("abcdefgh ÉéßÀ.,'sSTtreLLvmd123 \n"), list("abAB \u0301\u030c\u0307JIİſKÅﬁ中щЩ😀\u00a0\u1680\u3000é\x1c\x85")]
+    texts = ["".join(rng.choice(pools[i % 3]) for _ in range(rng.randrange(60))) for i in range(600)]
+    return [*texts, *(f"{chr(c)}a{chr(c)} {chr(c)}" for c in range(256)), "<|STARTOFTEXT|>", "É <|EndOfText|>b c<|endoftext|>D", "", "\n", None]
+
+
+@pytest.mark.parametrize("sizes", [None, (200, 3)])
+def test_packing_ids_of_odd_texts(sizes, monkeypatch):
+    from tokenizers import Tokenizer
+
+    if sizes:
+        monkeypatch.setattr(packing, "GROUP_BYTES", sizes[0])
+        monkeypatch.setattr(packing, "TOGETHER", sizes[1])
+    t, ids_of, texts = Tokenizer.from_file(packing.tokenizer_path()), packing.WordIds(packing.tokenizer_path()), odd_texts()
+    found = list(ids_of.of_all(pa.array(texts)))
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert list(ids_of.of_all(pa.array([], pa.string()))) == [] and list(ids_of.of_all(pa.array([None, "", " "]))) == [b"", b"", b""]
+
+
+def test_packing_encodes_new_words_together():
+    """The tokenizer is called a few times, not once for each of 5,000 words that no other text has."""
+    ids_of, calls = packing.WordIds(packing.tokenizer_path()), []
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def __getattr__(self, name):
+            return lambda *args, **more: calls.append(name) or getattr(self.tokenizer, name)(*args, **more)
+
+    for name in [k for k, v in vars(ids_of).items() if type(v).__name__ == "Tokenizer"]:
+        setattr(ids_of, name, Counted(getattr(ids_of, name)))
+    letters = [chr(c) for c in range(ord("a"), ord("z") + 1)]
+    text = " ".join(f"{a}{b}{c}é{',' * (a < 'd')}" for a in letters[:8] for b in letters for c in letters[:25])
+    assert len(text.split()) > 5000 and len(ids_of.of(text)) > 4 * 5000 and 0 < len(calls) < 20
+
+
 def test_packing_counts():
     counts = np.zeros(2049, dtype=np.int64)
     for length, n in ((700, 300), (1300, 100), (500, 500), (1025, 70), (690, 90), (2048, 11)):

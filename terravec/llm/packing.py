@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terravec.llm.arrow import trimmed
 from terravec.llm.common import cut, table
 
 CAPACITY = 2048
@@ -43,7 +44,7 @@ REOPENED = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9)
 #: Pieces of one length are ranked in buckets, by a hash of document and piece: so many, or more with more than so many pieces each.
 BUCKETS, BUCKET_ROWS = 256, 1_000_000
 #: Texts are encoded in groups of about so many bytes, and so many distinct words of a group in one call.
-GROUP_BYTES, TOGETHER = 8 << 20, 20_000
+GROUP_BYTES, TOGETHER = 2 << 20, 4_000
 #: Text that isn't Latin-1 or may hold a special token, and words that the tokenizer's normalizing and splitting leave as they are.
 SPECIAL_TEXT, PLAIN_WORD = r"[^\x00-\x{ff}]|<\|", r"^[a-z\x{df}-\x{f6}\x{f8}-\x{ff}]+$"
 
@@ -182,7 +183,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             columns = [batch.column("doc").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), names=schema.fieldNames())
 
-    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text")).mapInArrow(trimmed(run), schema)
 
 
 def candidates(ahead: np.ndarray, left: np.ndarray, capacity: int, bands: int = BANDS, per_band: int = PER_BAND) -> np.ndarray:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravec.llm.arrow import Forest, groups
+from terravec.llm.arrow import Forest, groups, trimmed
 from terravec.llm.common import ascii_lower, components, cut, partitions, table, tile_pairs, words
 
 SHINGLE_WORDS = 3
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc, text_hash, fp long) of each row; a null, empty or blank text has fingerprint 0."""
     own = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("_t"))
     hashed = shingle_hashes(own, "_t", shingle).select("doc", "text_hash", "_h")
-    return hashed.mapInArrow(_majority, f"doc {docs.schema[id_col].dataType.simpleString()}, text_hash bigint, fp bigint")
+    return hashed.mapInArrow(trimmed(_majority), f"doc {docs.schema[id_col].dataType.simpleString()}, text_hash bigint, fp bigint")
 
 
 def neighbour_cells(radius: int, segments: int) -> list[tuple[int, ...]]:
@@ -123,7 +123,7 @@ def fingerprint_links(reps: DataFrame, radius: int = RADIUS, segments: int | Non
     keys = ["cell", "tile_i", "tile_j"]
     sorted_tiles = cells.repartition(partitions(reps.sparkSession), *keys).sortWithinPartitions(*keys)
     kind = reps.schema["rep"].dataType.simpleString()
-    return sorted_tiles.mapInArrow(_linked(radius), f"a {kind}, b {kind}")
+    return sorted_tiles.mapInArrow(trimmed(_linked(radius)), f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, radius: int = RADIUS, segments: int | None = None, per_tile: int = PER_TILE) -> DataFrame:

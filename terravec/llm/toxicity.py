@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terravec.llm.arrow import trimmed
 from terravec.llm.common import table
 
 BUCKETS = 1 << 17
@@ -306,7 +307,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
             yield batch.append_column(score_col, pa.array(m.scores(texts)))
 
     own = docs.drop(score_col)
-    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return own.mapInArrow(trimmed(run), T.StructType([*own.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

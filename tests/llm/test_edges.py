@@ -249,6 +249,35 @@ def test_packing_encodes_new_words_together():
     assert len(text.split()) > 5000 and len(ids_of.of(text)) > 4 * 5000 and 0 < len(calls) < 20
 
 
+def worker_memory(batches):
+    """(pid, now, peak): MB of this Python worker without mapped files, peak being since the call before; each call takes a while,
+    so that all workers get one."""
+    import os
+    import re
+    import time
+
+    for _ in batches:
+        pass
+    time.sleep(0.5)
+    status = dict(re.findall(r"(\w+):\s+(\d+) kB", open("/proc/self/status").read()))
+    now, peak = int(status["RssAnon"]), int(status["VmHWM"]) - int(status["RssFile"])
+    with open("/proc/self/clear_refs", "w") as f:
+        f.write("5")
+    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (os.getpid(), now // 1024, peak // 1024)], names=["pid", "now", "peak"])
+
+
+def test_packing_workers_stay_small(spark):
+    """Workers that encode 16 MB of mostly distinct words each: what they take meanwhile, and what they hold when idle."""
+    measured = lambda: spark.range(0, 8, 1, 8).mapInArrow(worker_memory, "pid long, now long, peak long").toPandas().groupby("pid").max()
+    letters = F.translate(F.hex(F.xxhash64("id", "x")), "0123456789ABCDEF", "abcdefghijklmnop")
+    word = spark.range(0, 4000, 1, 4).select("id", F.explode(F.sequence(F.lit(1), F.lit(2700))).alias("x")).select("id", F.substring(letters, 1, 5).alias("w"))
+    docs = spark.createDataFrame(word.groupBy("id").agg(F.concat_ws(" ", F.collect_list("w")).alias("text")).collect(), "doc_id long, text string").repartition(4)
+    before = measured()
+    assert packing.pieces(docs, packing.tokenizer_path()).count() > 4000
+    grown = measured()[["now", "peak"]].sub(before.now, axis=0).dropna()
+    assert len(grown) and grown.now.max() < 70 and grown.peak.max() < 220, grown
+
+
 def test_packing_counts():
     counts = np.zeros(2049, dtype=np.int64)
     for length, n in ((700, 300), (1300, 100), (500, 500), (1025, 70), (690, 90), (2048, 11)):

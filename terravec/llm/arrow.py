@@ -1,5 +1,5 @@
-"""Small helpers inside tasks: consecutive groups of a sorted Arrow stream, links folded into a spanning forest, and free memory
-given back."""
+"""Small helpers inside tasks: consecutive groups of a sorted Arrow stream, links folded into a spanning forest, ids of distinct words,
+and free memory given back."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def give_back() -> None:
@@ -33,6 +34,60 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return mapped
 
 
+def spans(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The positions first, first + 1, ... of each span, ``many`` of them, in a row."""
+    to = np.cumsum(many, dtype=np.int32)
+    return np.repeat(first - to + many, many) + np.arange(to[-1] if len(to) else 0, dtype=np.int32)
+
+
+def strings(column: pa.Array) -> list[str]:
+    """A column of strings without line feeds as a list, faster than by to_pylist."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def byte_groups(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of consecutive groups of texts of about ``size`` bytes."""
+    group = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64) // size
+    starts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+    yield from zip(starts[:-1], starts[1:], strict=True)
+
+
+class Known:
+    """The ids of distinct strings, of which those of earlier calls are kept in Arrow and numpy arrays: some 40 bytes a word, a fifth of
+    what a dict takes. Beyond ``most`` bytes those used last stay, in half of that.
+
+    ``encode`` gives the ids of new strings in a row, and how many each has.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int):
+        self.encode, self.most, self.calls = encode, most, 0
+        self.words, self.ids = pa.array([], pa.string()), np.zeros(0, dtype="<u4")
+        self.first, self.many, self.last = np.zeros((3, 0), dtype=np.int32)
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, many): where among ids those of each of these strings, all distinct, begin, and how many it has."""
+        self.calls += 1
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().copy()
+        new = at < 0
+        fresh = words.filter(pa.array(new))
+        ids, many = self.encode(strings(fresh))
+        at[new] = len(self.words) + np.arange(len(fresh))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(many, dtype=np.int32) - many])
+        self.many = np.concatenate([self.many, many])
+        self.ids, self.words = np.concatenate([self.ids, ids]), pa.concat_arrays([self.words, fresh])
+        self.last = np.append(self.last, np.zeros(len(fresh), dtype=np.int32))
+        self.last[at] = self.calls
+        got = self.ids, self.first[at], self.many[at]
+        size = pc.binary_length(self.words).to_numpy() + 4 * self.many + 16
+        if size.sum(dtype=np.int64) > self.most:
+            order = np.argsort(-self.last, kind="stable")
+            kept = np.sort(order[np.cumsum(size[order], dtype=np.int64) <= self.most // 2])
+            self.words, self.ids = self.words.take(pa.array(kept)), self.ids[spans(self.first[kept], self.many[kept])]
+            self.many, self.last = self.many[kept], self.last[kept]
+            self.first = np.cumsum(self.many, dtype=np.int32) - self.many
+        return got
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
     """The runs of equal keys (integers) of a stream sorted by them, each whole, whatever batches it spans."""
     held: list[pa.RecordBatch] = []

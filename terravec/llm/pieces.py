@@ -7,7 +7,7 @@ of pieces: in max-plus terms, weight 0 for a pair that stays apart and minus inf
 "last piece, and how far it reaches over a cut".
 
 Where no piece can cross (before a space, around characters without a piece) there is one state, and units between such
-places are cached. A document longer than a chunk is cut anywhere: each chunk gives the transfer matrix of its boundary
+places are cached: words by Arrow and numpy arrays. A document longer than a chunk is cut anywhere: each chunk gives the transfer matrix of its boundary
 states, sparse since few pieces cover a cut; matrices of a document combine associatively into the states at each cut; then
 each chunk is traced back by itself.
 """
@@ -21,18 +21,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terravec.llm.arrow import groups
+from terravec.llm.arrow import Known, byte_groups, groups, spans, trimmed
 from terravec.llm.common import cut, partitions, table
 
 SPACE_MARK = "▁"
 #: Characters of a chunk of a long document.
 CHUNK = 1 << 15
-#: Entries of each of the two generations of a worker's cache of words, and of other units.
-CACHE, OTHER_CACHE = 250_000, 60_000
+#: Texts are encoded in groups of about so many bytes; a worker keeps so many bytes of words and their ids.
+GROUP_BYTES, WORD_BYTES = 2 << 20, 24 << 20
+#: Entries of a worker's other caches: endings and pairs, and each of two generations of units that aren't words between single spaces.
+CACHE, OTHER_CACHE = 100_000, 20_000
+#: Chunks of long texts that are worked together.
+CHUNKS = 64
+#: Text with spaces, line ends or beginnings beside one another, whose units aren't all words with one space before.
+_ODD = r"  |^[ \n]| $| \n|\n "
 _UNITS = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+")
 
 
@@ -43,7 +50,7 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 
 
 class _Cache(dict):
-    def __init__(self, make, size: int = CACHE):
+    def __init__(self, make, size: int):
         super().__init__()
         self.make, self.size, self.old = make, size, {}
 
@@ -77,7 +84,7 @@ class Vocabulary:
             self.raw[i] = p.replace(SPACE_MARK, " ").encode()
         for b, i in self.byte.items():
             self.raw[i] = bytes([b])
-        self.bytes = _Cache(lambda p: np.array(self.ids(p), dtype="<i4").tobytes())
+        self.bytes = _Cache(lambda p: np.array(self.ids(p), dtype="<i4").tobytes(), CACHE)
         self.rows: dict[str, dict[str, bool]] = {}
         self.pairs = 0
 
@@ -192,13 +199,14 @@ def trace(ends: list[dict[str, list]], at: int, piece: str, stop: int) -> list[s
 
 
 class Encoder:
-    """Encodes texts, unit by unit, with a cache of units."""
+    """Encodes texts, unit by unit. The distinct words of a group of texts are found by Arrow and kept with their ids; units that aren't
+    words between single spaces have a cache of their own."""
 
     def __init__(self, v: Vocabulary):
         self.v = v
         self.unit = _Cache(self.encode_unit, OTHER_CACHE)
         self.last: dict[str, str] = {}
-        self.spaced = _Cache(lambda w: self.encode_unit(SPACE_MARK + w))
+        self.words = Known(self.encode_words, WORD_BYTES)
         self.newline = self.encode_unit("\n")
 
     def last_piece(self, unit: str) -> str:
@@ -235,26 +243,32 @@ class Encoder:
         out.reverse()
         return b"".join(out)
 
-    def text(self, text: str, spaced: bool = True) -> bytes:
-        """Ids (little-endian 32 bits) of a text; spaced: with the space that goes before a whole text."""
-        if not text:
-            return b""
-        out: list[bytes] = []
-        if SPACE_MARK in text:
-            text = text.replace(SPACE_MARK, " ")
-        unit, word = self.unit.__getitem__, self.spaced.__getitem__
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append(self.newline)
-                spaced = False
-            parts = line.split(" ")
-            if "" in parts:
-                marked = (SPACE_MARK if spaced else "") + line.replace(" ", SPACE_MARK)
-                out.extend(map(unit, _UNITS.findall(marked)))
-            else:
-                out.append(word(parts[0]) if spaced else unit(parts[0]))
-                out.extend(map(word, parts[1:]))
-        return b"".join(out)
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words in a row, and how many each has: of one after a line end that end goes before, before others a space does."""
+        of, end, mark = self.encode_unit, self.newline, SPACE_MARK
+        ids = [of(mark + w) if w and w[0] != "\n" else end + of(w[1:]) if w else b"" for w in words]
+        return np.frombuffer(b"".join(ids), dtype="<u4"), np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+
+    def texts(self, texts: pa.Array) -> list[bytes]:
+        """Ids (little-endian 32 bits) of each whole text, with the space that goes before it. The texts make one group."""
+        texts = pc.replace_substring(texts, SPACE_MARK, " ")
+        odd = pc.match_substring_regex(texts, _ODD)
+        words = pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", texts), "\n", " \n"), " ")
+        chunks = words.values.dictionary_encode()
+        ids, first, many = self.words.of(chunks.dictionary)
+        index = chunks.indices.to_numpy()
+        raw = ids[spans(first[index], many[index])].tobytes()
+        ends = (np.insert(np.cumsum(many[index], dtype=np.int64), 0, 0)[words.offsets.to_numpy()] * 4).tolist()
+        out = [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self.text_marked(SPACE_MARK + texts[i].as_py().replace(" ", SPACE_MARK))
+        return out
+
+    def texts_marked(self, marked: list[str]) -> list[bytes]:
+        """The same of texts as ``text_marked`` takes them."""
+        spaced = [len(m) > 1 and m[0] == SPACE_MARK for m in marked]
+        found = self.texts(pa.array([m[1:] if x else "" for m, x in zip(marked, spaced, strict=True)], pa.string()))
+        return [ids if x else self.text_marked(m) for ids, x, m in zip(found, spaced, marked, strict=True)]
 
     def text_marked(self, marked: str) -> bytes:
         """Ids of text whose spaces are marked, and that begins and ends where no piece can cross."""
@@ -318,19 +332,20 @@ def resolve(matrices: list[dict[State, list[State]]]) -> list[State]:
     return [FREE, *states[::-1]]
 
 
-def trace_chunk(enc: Encoder, core: str, right: str, start: State, end: State | None) -> bytes:
-    """The ids of the pieces that start within a chunk, between two known states (end None: the end of the text)."""
+def trace_chunk(enc: Encoder, core: str, right: str, start: State, end: State | None) -> tuple[bytes, str, bytes]:
+    """Of the pieces that start within a chunk, between two known states (end None: the end of the text): ids, the marked text whose
+    ids follow, ids."""
     v = enc.v
     a, b = first_free(core), last_free(core)
     if a < 0:
         ends, finals = scan(v, core, {start: 1}, right if end else "")
-        return _ids(v, _way(ends, finals, len(core), end, start))
+        return _ids(v, _way(ends, finals, len(core), end, start)), "", b""
     ends, finals = scan(v, core[:a], {start: 1})
     head = _ids(v, _way(ends, finals, a, None, start))
     if b >= len(core):
-        return head + enc.text_marked(core[a:])
+        return head, core[a:], b""
     ends, finals = scan(v, core[b:], {FREE: 1}, right if end else "")
-    return head + enc.text_marked(core[a:b]) + _ids(v, _way(ends, finals, len(core) - b, end, FREE))
+    return head, core[a:b], _ids(v, _way(ends, finals, len(core) - b, end, FREE))
 
 
 def _way(ends, finals, n: int, end: State | None, start: State) -> list[str]:
@@ -373,14 +388,19 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield b.slice(a, rows)
 
 
+def _with_text(v: Vocabulary, b: pa.RecordBatch, ids: list[np.ndarray]) -> pa.RecordBatch:
+    """b with the decoded text and the CRC-32 of the ids of its rows."""
+    return b.append_column("text", pa.array([decode_ids(v, x) for x in ids], pa.string())).append_column("ids_crc32", pa.array([zlib.crc32(x) for x in ids], pa.int64()))
+
+
 def _lists(ids: list[bytes]) -> pa.Array:
     """Little-endian 32-bit ids of each row as a list array."""
     ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
 
 
-def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """(doc, ids array<int>) of each row. A null or empty text has no ids. Repeated rows stay, null ids are ids, and other columns
+def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, decoded: bool = False) -> DataFrame:
+    """(doc, ids array<int>) of each row; decoded: with the columns that ``decode`` adds, for most texts in the task that encodes. A null or empty text has no ids. Repeated rows stay, null ids are ids, and other columns
     aren't looked at; an empty table gives an empty result.
 
     Texts of up to ``chunk`` characters are encoded where they are read. Longer ones become chunk rows, dealt over all tasks:
@@ -396,8 +416,11 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in _small(batches):
-            yield pa.RecordBatch.from_arrays([b.column("doc"), _lists([enc.text(t.as_py()) for t in b.column("_t")])], names=["doc", "ids"])
+        for b in batches:
+            for at, to in byte_groups(b.column("_t"), GROUP_BYTES):
+                found = enc.texts(b.column("_t").slice(at, to - at))
+                out = pa.RecordBatch.from_arrays([b.column("doc").slice(at, to - at), _lists(found)], names=["doc", "ids"])
+                yield _with_text(enc.v, out, [np.frombuffer(x, "<u4") for x in found]) if decoded else out
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         margin = vocabulary(path).longest
@@ -412,7 +435,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for b in batches:
+        for b in _small(batches, CHUNKS):
             out = [_pack(list(matrix(v, *x).items())) for x in zip(*(b.column(c).to_pylist() for c in ("core", "left", "right")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("k"), pa.array(out)], names=["uid", "k", "m"])
 
@@ -424,23 +447,27 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
-            ids = []
+        for b in _small(batches, CHUNKS):
+            found = []
             for core, right, states in zip(*(b.column(c).to_pylist() for c in ("core", "right", "states")), strict=True):
                 start, end = json.loads(states)
-                ids.append(trace_chunk(enc, core, right, _state(start), end and _state(end)))
+                found.append(trace_chunk(enc, core, right, _state(start), end and _state(end)))
+            heads, middles, tails = zip(*found, strict=True)
+            ids = [b"".join(x) for x in zip(heads, enc.texts_marked(list(middles)), tails, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc"), b.column("k"), _lists(ids)], names=["uid", "doc", "k", "ids"])
 
     schema = lambda *fields: T.StructType([T.StructField(x, t) for x, t in fields])
+    text = (("text", T.StringType()), ("ids_crc32", T.LongType())) if decoded else ()
     ids, uid, k = ("ids", T.ArrayType(T.IntegerType())), ("uid", T.LongType()), ("k", T.IntegerType())
-    short = rows.filter(~long_text).mapInArrow(whole, schema(("doc", kind), ids))
-    parts = rows.filter(long_text).withColumn("uid", F.monotonically_increasing_id()).mapInArrow(split, schema(uid, ("doc", kind), k, ("core", T.StringType()), ("left", T.StringType()), ("right", T.StringType())))
+    short = rows.filter(~long_text).mapInArrow(trimmed(whole), schema(("doc", kind), ids, *text))
+    parts = rows.filter(long_text).withColumn("uid", F.monotonically_increasing_id()).mapInArrow(trimmed(split), schema(uid, ("doc", kind), k, ("core", T.StringType()), ("left", T.StringType()), ("right", T.StringType())))
     parts = cut(parts.repartition(n, "uid", "k"))
-    found = parts.select("uid", "k", "core", "left", "right").mapInArrow(matrices, schema(uid, k, ("m", T.StringType())))
-    states = found.repartition(n, "uid").sortWithinPartitions("uid", "k").mapInArrow(cuts, schema(uid, k, ("states", T.StringType())))
-    done = parts.join(states, ["uid", "k"]).mapInArrow(traced, schema(uid, ("doc", kind), k, ids))
+    found = parts.select("uid", "k", "core", "left", "right").mapInArrow(trimmed(matrices), schema(uid, k, ("m", T.StringType())))
+    states = found.repartition(n, "uid").sortWithinPartitions("uid", "k").mapInArrow(trimmed(cuts), schema(uid, k, ("states", T.StringType())))
+    done = parts.join(states, ["uid", "k"]).mapInArrow(trimmed(traced), schema(uid, ("doc", kind), k, ids))
     joined = done.groupBy("uid").agg(F.first("doc").alias("doc"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return short.unionByName(joined.select("doc", "ids"))
+    joined = joined.select("doc", "ids")
+    return short.unionByName(decode(joined, path) if decoded else joined)
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
@@ -452,14 +479,13 @@ def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") ->
         v = vocabulary(path)
         none = np.zeros(0, dtype="<u4")
         for b in _small(batches):
-            ids = [x.values.to_numpy().astype("<u4") if x.is_valid else none for x in b.column(ids_col)]
-            yield b.append_column("text", pa.array([decode_ids(v, x) for x in ids], pa.string())).append_column("ids_crc32", pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()))
+            yield _with_text(v, b, [x.values.to_numpy().astype("<u4") if x.is_valid else none for x in b.column(ids_col)])
 
     own = encoded.drop("text", "ids_crc32")
-    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("text", T.StringType()), T.StructField("ids_crc32", T.LongType())]))
+    return own.mapInArrow(trimmed(run), T.StructType([*own.schema.fields, T.StructField("text", T.StringType()), T.StructField("ids_crc32", T.LongType())]))
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: n_ids, the CRC-32 of its ids, and the SHA-256 of the text decoded from them."""
-    coded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded=True)
     return coded.select(F.col("doc").alias("doc_id"), F.size("ids").cast("bigint").alias("n_ids"), "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))

@@ -587,6 +587,35 @@ def test_sentencepiece(docs, empty):
     assert pieces.encode(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [None, 2000])
+def test_sentencepiece_groups_of_odd_texts(most):
+    """Line ends and spaces in all places; with a cache that holds a few words only, too."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    enc, rng = pieces.Encoder(pieces.Vocabulary(pieces.model_path())), random.Random(3)
+    enc.words.most = most or enc.words.most
+    texts = ["".join(rng.choice(["a", "the", "Été", "\u2581", " ", " ", " ", "\n", "中", "\t", "q" * 70]) for _ in range(rng.randrange(12))) for _ in range(1500)]
+    texts += ["one two\nthree\n\nfour", "\n", " ", "", "\u2581", "x\n", "\r\nx"]
+    for a in range(0, len(texts), 300):
+        found = enc.texts(pa.array(texts[a : a + 300]))
+        assert [np.frombuffer(x, "<u4").tolist() for x in found] == [sp.encode(x) for x in texts[a : a + 300]]
+        assert most is None or len(enc.words.words) < 100
+
+
+def test_sentencepiece_workers_stay_small(spark, tmp_path):
+    """Workers that encode and decode 240,000 mostly distinct words each: what they hold when idle."""
+    measured = lambda: spark.range(0, 8, 1, 8).mapInArrow(worker_memory, "pid long, now long, peak long").toPandas().groupby("pid").max()
+    letters = F.translate(F.hex(F.xxhash64("id", "x")), "0123456789ABCDEF", "abcdefghijklmnop")
+    word = spark.range(0, 2400, 1, 4).select("id", F.explode(F.sequence(F.lit(1), F.lit(400))).alias("x")).select("id", F.substring(letters, 1, 7).alias("w"))
+    texts = word.groupBy("id").agg(F.concat_ws(" ", F.collect_list("w")).alias("text"))
+    texts.select(F.col("id").alias("doc_id"), "text").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    before = measured()
+    assert pieces.op10_sentencepiece(spark, str(tmp_path)).filter("n_ids > 400 AND decoded_sha256 IS NOT NULL AND ids_crc32 >= 0").count() == 2400
+    grown = measured()[["now", "peak"]].sub(before.now, axis=0).dropna()
+    assert len(grown) and grown.now.max() < 70, grown
+
+
 def test_digests_are_of_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, "a\n" * 3, "en", "s", 1), (2, None, "en", "s", 1)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     out = {r.doc_id: r for r in line_dedup.op1_line_dedup(spark, str(tmp_path)).collect()}

@@ -5,12 +5,16 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Bytes that a word takes in ``Known`` besides its own and its ids.
+BESIDE = 160
+
 
 def give_back() -> None:
     """Returns what Arrow's pool and malloc hold unused to the system."""
@@ -53,37 +57,40 @@ def byte_groups(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
 
 
 class Known:
-    """The ids of distinct strings, of which those of earlier calls are kept in Arrow and numpy arrays: some 40 bytes a word, a fifth of
-    what a dict takes. Beyond ``most`` bytes those used last stay, in half of that.
+    """The ids of distinct strings, of which those of earlier calls are kept, with their ids in one array. Beyond ``most`` bytes those used
+    last stay, in half of that.
 
-    ``encode`` gives the ids of new strings in a row, and how many each has.
+    ``encode`` does for new strings what ``of`` does for all.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int):
+    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]], most: int):
         self.encode, self.most, self.calls = encode, most, 0
-        self.words, self.ids = pa.array([], pa.string()), np.zeros(0, dtype="<u4")
-        self.first, self.many, self.last = np.zeros((3, 0), dtype=np.int32)
+        self.row: dict[str, int] = {}
+        self.ids, (self.first, self.many, self.last, self.size) = np.zeros(0, dtype="<u4"), np.zeros((4, 0), dtype=np.int32)
 
     def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, first, many): where among ids those of each of these strings, all distinct, begin, and how many it has."""
         self.calls += 1
-        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().copy()
-        new = at < 0
-        fresh = words.filter(pa.array(new))
-        ids, many = self.encode(strings(fresh))
-        at[new] = len(self.words) + np.arange(len(fresh))
-        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(many, dtype=np.int32) - many])
-        self.many = np.concatenate([self.many, many])
-        self.ids, self.words = np.concatenate([self.ids, ids]), pa.concat_arrays([self.words, fresh])
-        self.last = np.append(self.last, np.zeros(len(fresh), dtype=np.int32))
+        names = strings(words)
+        at = np.fromiter(map(self.row.get, names, itertools.repeat(-1)), np.int32, len(names))
+        new = np.flatnonzero(at < 0)
+        fresh = words.take(pa.array(new))
+        ids, first, many = self.encode(fresh)
+        at[new] = len(self.first) + np.arange(len(new))
+        self.row.update(zip([names[i] for i in new.tolist()], at[new].tolist(), strict=True))
+        size = pc.binary_length(fresh).to_numpy() + 4 * many + BESIDE
+        self.first, self.ids = np.concatenate([self.first, first + np.int32(len(self.ids))]), np.concatenate([self.ids, ids])
+        self.many, self.size = np.concatenate([self.many, many]), np.concatenate([self.size, size])
+        self.last = np.append(self.last, np.zeros(len(new), dtype=np.int32))
         self.last[at] = self.calls
         got = self.ids, self.first[at], self.many[at]
-        size = pc.binary_length(self.words).to_numpy() + 4 * self.many + 16
-        if size.sum(dtype=np.int64) > self.most:
+        if self.size.sum(dtype=np.int64) > self.most:
             order = np.argsort(-self.last, kind="stable")
-            kept = np.sort(order[np.cumsum(size[order], dtype=np.int64) <= self.most // 2])
-            self.words, self.ids = self.words.take(pa.array(kept)), self.ids[spans(self.first[kept], self.many[kept])]
-            self.many, self.last = self.many[kept], self.last[kept]
+            kept = np.sort(order[np.cumsum(self.size[order], dtype=np.int64) <= self.most // 2])
+            names = list(self.row)
+            self.row = {names[i]: k for k, i in enumerate(kept.tolist())}
+            self.ids = self.ids[spans(self.first[kept], self.many[kept])]
+            self.many, self.last, self.size = self.many[kept], self.last[kept], self.size[kept]
             self.first = np.cumsum(self.many, dtype=np.int32) - self.many
         return got
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terravec.llm.arrow import trimmed
+from terravec.llm.arrow import Known, byte_groups, spans, strings, trimmed
 from terravec.llm.common import cut, table
 
 CAPACITY = 2048
@@ -43,8 +43,9 @@ LAST = 4
 REOPENED = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9)
 #: Pieces of one length are ranked in buckets, by a hash of document and piece: so many, or more with more than so many pieces each.
 BUCKETS, BUCKET_ROWS = 256, 1_000_000
-#: Texts are encoded in groups of about so many bytes, and so many distinct words of a group in one call.
-GROUP_BYTES, TOGETHER = 2 << 20, 4_000
+#: Texts are encoded in groups of about so many bytes, and so many distinct words of a group in one call; a worker keeps so many bytes
+#: of words and their ids.
+GROUP_BYTES, TOGETHER, WORD_BYTES = 2 << 20, 4_000, 32 << 20
 #: Text that isn't Latin-1 or may hold a special token, and words that the tokenizer's normalizing and splitting leave as they are.
 SPECIAL_TEXT, PLAIN_WORD = r"[^\x00-\x{ff}]|<\|", r"^[a-z\x{df}-\x{f6}\x{f8}-\x{ff}]+$"
 
@@ -62,24 +63,13 @@ def byte_letters() -> dict[int, str]:
     return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
 
 
-def spans(first: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """The positions first, first + 1, ... of each span, ``many`` of them, in a row."""
-    to = np.cumsum(many, dtype=np.int32)
-    return np.repeat(first - to + many, many) + np.arange(to[-1] if len(to) else 0, dtype=np.int32)
-
-
-def strings(column: pa.Array) -> list[str]:
-    """A column of strings without line feeds as a list, faster than by to_pylist."""
-    return column.to_numpy(zero_copy_only=False).tolist()
-
-
 class WordIds:
     """The ids of texts, by their distinct white-space-free chunks. White space only separates in this tokenizer, so a text's ids are
     those of its chunks in a row.
 
     Texts are worked in groups, whose distinct chunks Arrow finds. Chunks of Latin-1 characters are lower-cased, split and spelled
-    as letters of bytes like the tokenizer does, and their distinct parts go to its BPE model in a few calls. Others, and those that
-    may hold special tokens, are encoded one by one.
+    as letters of bytes like the tokenizer does, and their distinct parts that aren't kept from earlier groups go to its BPE model in a
+    few calls. Others, and those that may hold special tokens, are encoded one by one.
     """
 
     def __init__(self, path: str):
@@ -91,39 +81,41 @@ class WordIds:
         self.joint = Tokenizer(self.tokenizer.model)
         self.joint.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocab = self.tokenizer.get_vocab()
+        self.words = Known(self._of_parts, WORD_BYTES)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.letters = byte_letters() | {ord(" "): " "}
         # the tokenizer's parts, and line feeds; its white space in Latin-1 is written out
         self.parts = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0\p{L}\p{N}]+").findall
 
-    def _of_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of distinct parts in a row, and how many each has."""
-        ids = [np.zeros(0, dtype="<u4")]
+    def _of_parts(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, many) of distinct parts."""
+        parts, ids = strings(words), [np.zeros(0, dtype="<u4")]
         for a in range(0, len(parts), TOGETHER):
             text = " ".join(parts[a : a + TOGETHER]).translate(self.letters)
             ids.append(np.array(self.joint.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4"))
         ids = np.concatenate(ids)
-        return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1).astype(np.int32)
+        to = np.flatnonzero(self.ends[ids]).astype(np.int32) + np.int32(1)
+        many = np.diff(to, prepend=np.int32(0))
+        return ids, to - many, many
 
     def _of_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, first, many): the ids of all chunks, where those of each begin and how many it has."""
         special, plain = (pc.match_substring_regex(chunks, p).to_numpy(zero_copy_only=False) for p in (SPECIAL_TEXT, PLAIN_WORD))
-        order = np.argsort(np.where(special, 2, np.where(plain, 0, 1)), kind="stable")
-        sorted_ = strings(chunks.take(pa.array(order)))
-        a, b = int(plain.sum()), len(sorted_) - int(special.sum())
-        mixed = self.parts("\n".join(sorted_[a:b]).lower())
+        kind = np.where(special, 2, np.where(plain, 0, 1))
+        order, (a, n, _) = np.argsort(kind, kind="stable"), np.bincount(kind, minlength=3).tolist()
+        of_kind = lambda k: chunks.filter(pa.array(kind == k))
+        mixed = self.parts("\n".join(strings(of_kind(1))).lower())
         line = np.cumsum(np.fromiter((p == "\n" for p in mixed), bool, len(mixed)))
-        coded = pa.array(sorted_[:a] + mixed, pa.string()).dictionary_encode()
-        parts, index = strings(coded.dictionary), coded.indices.to_numpy()
-        feed = parts.index("\n") if b - a > 1 else len(parts)
-        of_part, many = self._of_parts([p for p in parts if p != "\n"])
-        first = np.cumsum(many, dtype=np.int32) - many
-        if feed < len(parts):
+        coded = pa.concat_arrays([of_kind(0), pa.array(mixed, pa.string())]).dictionary_encode()
+        parts, index = coded.dictionary, coded.indices.to_numpy()
+        feed = pc.index(parts, "\n").as_py()
+        of_part, first, many = self.words.of(parts.filter(pc.not_equal(parts, "\n")))
+        if feed >= 0:
             first, many = np.insert(first, feed, 0), np.insert(many, feed, 0)
-        one_by_one = [np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, dtype="<u4") for c in sorted_[b:]]
+        one_by_one = [np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, dtype="<u4") for c in of_kind(2).to_pylist()]
         ids = np.concatenate([of_part[spans(first[index], many[index])], *one_by_one])
-        of_mixed = np.bincount(line, weights=many[index[a:]], minlength=b - a)
+        of_mixed = np.bincount(line, weights=many[index[a:]], minlength=n)
         lengths = np.concatenate([many[index[:a]], of_mixed, np.fromiter(map(len, one_by_one), np.int32, len(one_by_one))]).astype(np.int32)
         first, many = np.empty((2, len(order)), dtype=np.int32)
         first[order], many[order] = np.cumsum(lengths) - lengths, lengths
@@ -132,9 +124,7 @@ class WordIds:
     def of_all(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each whole text as little-endian unsigned 32-bit bytes, in order; a null text has none."""
         texts = pc.fill_null(texts, "")
-        group = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64) // GROUP_BYTES
-        starts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
+        for a, b in byte_groups(texts, GROUP_BYTES):
             some = texts.slice(a, b - a)
             # where the tokenizer would do the same, lower-casing makes for fewer chunks; it looks for special tokens before it does
             some = pc.if_else(pc.match_substring_regex(some, SPECIAL_TEXT), some, pc.ascii_lower(some))
@@ -226,10 +216,14 @@ def traced(rooms: np.ndarray, items: list[tuple[int, int]], taken: list[np.ndarr
 
 
 def fill(price: np.ndarray, left: np.ndarray, capacity: int, lengths: np.ndarray) -> tuple[int, ...]:
-    """Of these lengths those of greatest total price that fit together."""
+    """Of these lengths those of greatest total price that fit together, longest first: the same as ``traced`` of the one room."""
     _, items, taken = knapsack(price, left, capacity, lengths)
-    many = traced(np.array([capacity]), items, taken, len(left))[0]
-    return tuple(np.repeat(np.arange(len(left)), many)[::-1].tolist())
+    room, many = capacity, Counter()
+    for (length, n), better in zip(reversed(items), reversed(taken), strict=True):
+        if room >= length * n and better[room - length * n]:
+            many[length] += n
+            room -= length * n
+    return tuple(length for length in sorted(many, reverse=True) for _ in range(many[length]))
 
 
 def relaxation(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = WEIGHINGS) -> tuple[np.ndarray, float]:
@@ -297,8 +291,8 @@ def configurations(counts: np.ndarray, price: np.ndarray, capacity: int = CAPACI
             take(config, -(-int(left[length]) // (rounds - r)), length)
     for length in big[::-1].tolist():  # whose fills others have taken
         while left[length]:
-            _, items, taken = knapsack(price + tie, left, capacity, np.flatnonzero(left[: capacity - length + 1]))
-            take(traced(np.array([capacity - length]), items, taken, half + 1)[0], int(left[length]), length)
+            beside = fill(price + tie, left, capacity - length, np.flatnonzero(left[: capacity - length + 1]))
+            take(np.bincount(beside, minlength=half + 1) if beside else np.zeros(half + 1, dtype=np.int64), int(left[length]), length)
     start, total = left.copy(), int((left * size).sum())
     step = max(1, -(-total // (capacity * STEPS)))
     while (rest := int((left * size).sum())) > LAST * capacity:
@@ -314,23 +308,33 @@ def configurations(counts: np.ndarray, price: np.ndarray, capacity: int = CAPACI
 def best_fit_decreasing(counts: np.ndarray, capacity: int = CAPACITY) -> dict[tuple[int, ...], int]:
     """Longest first, each into the fullest sequence that still has room, all pieces of a length at once."""
     by_room: dict[int, list[list]] = {}
+    rooms = 0  # a bit for each room that sequences have left
+
+    def put(room: int, group: list) -> None:
+        nonlocal rooms
+        by_room.setdefault(room, []).append(group)
+        rooms |= 1 << room
+
     for length in range(len(counts) - 1, 0, -1):
         n = int(counts[length])
         while n > 0:
-            room = next((r for r in range(length, capacity + 1) if by_room.get(r)), None)
-            if room is None:
+            fitting = rooms >> length
+            if not fitting:
                 fit = min(capacity // length, n)
-                by_room.setdefault(capacity - fit * length, []).append([(length,) * fit, n // fit])
+                put(capacity - fit * length, [(length,) * fit, n // fit])
                 n -= (n // fit) * fit
                 continue
+            room = length + (fitting & -fitting).bit_length() - 1
             group = by_room[room][-1]
             fit = min(room // length, n)
             take = min(group[1], n // fit)
-            by_room.setdefault(room - fit * length, []).append([group[0] + (length,) * fit, take])
+            put(room - fit * length, [group[0] + (length,) * fit, take])
             group[1] -= take
             n -= take * fit
             if not group[1]:
                 by_room[room].remove(group)
+                if not by_room[room]:
+                    rooms ^= 1 << room
     out: Counter = Counter()
     for groups in by_room.values():
         for config, n in groups:

@@ -7,7 +7,7 @@ of pieces: in max-plus terms, weight 0 for a pair that stays apart and minus inf
 "last piece, and how far it reaches over a cut".
 
 Where no piece can cross (before a space, around characters without a piece) there is one state, and units between such
-places are cached: words by Arrow and numpy arrays. A document longer than a chunk is cut anywhere: each chunk gives the transfer matrix of its boundary
+places are cached. A document longer than a chunk is cut anywhere: each chunk gives the transfer matrix of its boundary
 states, sparse since few pieces cover a cut; matrices of a document combine associatively into the states at each cut; then
 each chunk is traced back by itself.
 """
@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terravec.llm.arrow import Known, byte_groups, groups, spans, trimmed
+from terravec.llm.arrow import Known, byte_groups, groups, spans, strings, trimmed
 from terravec.llm.common import cut, partitions, table
 
 SPACE_MARK = "▁"
 #: Characters of a chunk of a long document.
 CHUNK = 1 << 15
 #: Texts are encoded in groups of about so many bytes; a worker keeps so many bytes of words and their ids.
-GROUP_BYTES, WORD_BYTES = 2 << 20, 24 << 20
+GROUP_BYTES, WORD_BYTES = 2 << 20, 48 << 20
 #: Entries of a worker's other caches: endings and pairs, and each of two generations of units that aren't words between single spaces.
 CACHE, OTHER_CACHE = 100_000, 20_000
 #: Chunks of long texts that are worked together.
@@ -243,11 +243,12 @@ class Encoder:
         out.reverse()
         return b"".join(out)
 
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words in a row, and how many each has: of one after a line end that end goes before, before others a space does."""
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, many) of words: of one after a line end that end goes before, before others a space does."""
         of, end, mark = self.encode_unit, self.newline, SPACE_MARK
-        ids = [of(mark + w) if w and w[0] != "\n" else end + of(w[1:]) if w else b"" for w in words]
-        return np.frombuffer(b"".join(ids), dtype="<u4"), np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        ids = [of(mark + w) if w and w[0] != "\n" else end + of(w[1:]) if w else b"" for w in strings(words)]
+        many = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        return np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(many, dtype=np.int32) - many, many
 
     def texts(self, texts: pa.Array) -> list[bytes]:
         """Ids (little-endian 32 bits) of each whole text, with the space that goes before it. The texts make one group."""

@@ -249,6 +249,38 @@ def test_packing_encodes_new_words_together():
     assert len(text.split()) > 5000 and len(ids_of.of(text)) > 4 * 5000 and 0 < len(calls) < 20
 
 
+@pytest.mark.parametrize("most", [None, 1000])
+def test_packing_keeps_words_of_earlier_groups(most, monkeypatch):
+    """Words of an earlier group don't go to the tokenizer again; where few are kept, ids are the same."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "GROUP_BYTES", 2000)
+    t, ids_of, sent = Tokenizer.from_file(packing.tokenizer_path()), packing.WordIds(packing.tokenizer_path()), []
+    if most:
+        ids_of.words.most = most
+    joint = ids_of.joint
+
+    class Counted:
+        def encode_batch_fast(self, texts, **more):
+            sent.extend(w for text in texts for w in text.split())
+            return joint.encode_batch_fast(texts, **more)
+
+    ids_of.joint = Counted()
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 9) + rng.choice(["", ",", "'s É", "\n7"]) for _ in range(60)) for _ in range(200)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids_of.of_all(pa.array(texts))] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert (len(ids_of.words.row) < 10) if most else (len(sent) == len(set(sent)) > 60)
+
+
+def test_packing_fill_is_the_traced_one():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        left, price = rng.integers(0, 5, 41), rng.random(41)
+        left[0], lengths = 0, np.flatnonzero(rng.random(41) < 0.6)[1:]
+        _, items, taken = packing.knapsack(price, left, 40, lengths)
+        assert (np.bincount(packing.fill(price, left, 40, lengths), minlength=41) == packing.traced(np.array([40]), items, taken, 41)[0]).all()
+
+
 def worker_memory(batches):
     """(pid, now, peak): MB of this Python worker without mapped files, peak being since the call before; each call takes a while,
     so that all workers get one."""
@@ -600,7 +632,7 @@ def test_sentencepiece_groups_of_odd_texts(most):
     for a in range(0, len(texts), 300):
         found = enc.texts(pa.array(texts[a : a + 300]))
         assert [np.frombuffer(x, "<u4").tolist() for x in found] == [sp.encode(x) for x in texts[a : a + 300]]
-        assert most is None or len(enc.words.words) < 100
+        assert most is None or len(enc.words.row) < 100
 
 
 def test_sentencepiece_workers_stay_small(spark, tmp_path):

@@ -4,13 +4,16 @@ import hashlib
 import itertools
 import multiprocessing
 import random
+import re
 import time
+import tracemalloc
 import zlib
 from concurrent.futures import ProcessPoolExecutor
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from terravec.llm import chat, embed_dedup, html_text, langid, line_dedup, packing, pieces, quality, simhash, toxicity
@@ -122,6 +125,38 @@ def test_simhash_segments_do_not_matter(spark):
     assert found[0] == found[1] == found[2] == found[3]
 
 
+def test_simhash_hashes_equal_the_library(monkeypatch):
+    """At any borders of groups and blocks, in both string layouts, within a slice."""
+    draw = random.Random(1)
+    words = ["X" * k for k in range(1, 80)] + ["É", "日本語", "ǅ", "\u00a0", "\x1c", "\x00", "y" * 1000]
+    texts = [None, "", " \t ", "a", "A b"] + ["".join(draw.choice(words) + draw.choice([" ", "\n", "  ", "\t\x0b\x0c\r"]) for _ in range(draw.randint(0, 60))) for _ in range(100)] + ["q w e " * 9000, "", "z"]
+    upper = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    for n, block in itertools.product((1, 3, 5), (7, 1 << 14)):
+        monkeypatch.setattr(simhash, "SHINGLES", block)
+        want = []
+        for t in texts[2:]:
+            w = re.findall(r"[^\x20\x09-\x0D]+", t.translate(upper))
+            want.append([xxhash.xxh64_intdigest(" ".join(w[k : k + n]), 42) for k in range(max(min(len(w), 1), len(w) - n + 1))])
+        for kind in (pa.string(), pa.large_string()):
+            hashes, many = simhash.shingle_hashes(pa.array(texts, kind).slice(2), n)
+            assert many.tolist() == list(map(len, want)) and hashes.tolist() == [h for x in want for h in x]
+
+
+def test_simhash_makes_no_objects_of_words(docs):
+    """Words split in the JVM filled an executor's heap with garbage: texts go to the worker whole, and are hashed in bounded blocks."""
+    plan = simhash.fingerprints(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "split(" not in plan and "transform(" not in plan
+    texts = pa.array([" ".join(f"word{(i * 37 + k) % 997}" for k in range(300)) for i in range(8000)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8000)), texts], names=["doc", "_t"])
+    tracemalloc.start()
+    try:
+        done = list(simhash._fingerprinted(3)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert done[0].num_rows == 8000 and batch.nbytes > 15e6 and peak < 30e6
+
+
 def test_simhash_only_nulls(spark):
     only = spark.createDataFrame([(None, "a b c d e f")], "doc_id long, text string")
     assert simhash.near_duplicates(only).first().component is None

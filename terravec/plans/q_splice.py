@@ -153,7 +153,7 @@ def u3_split(spark, d):
     """The dictionary in four parts, no task with all of it."""
     v = cut(_vectors(spark, d).select("vec_id", l2_normalize(F.col("embedding")).alias("v")))
     w = screening.split_weights(v.select(F.col("vec_id").alias("row"), "v"), signs(spark), 64, splice.L1, 1e-12, part_bytes=16 * 64 * 8)
-    return w.select(F.col("row").alias("vec_id"), F.inline(F.arrays_zip("names", "w"))).select("vec_id", F.col("names").alias("concept_id"), r6(F.col("w")).alias("weight")).filter("weight > 1e-7")
+    return w.select(F.col("row").alias("vec_id"), F.inline(F.arrays_zip("names", "w"))).filter("w > 1e-7").select("vec_id", F.col("names").alias("concept_id"), r6(F.col("w")).alias("weight"))
 
 
 @query("U5_recompose_signs", f"""WITH {SIGNS} SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, round(sum(weight * c[i]) / any_value(size), 6) + 0.0 AS value FROM w JOIN h ON h.k = w.concept_id JOIN g USING (vec_id), range(1, 65) AS t(i) GROUP BY vec_id, i""")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terravec.operators import joins, pairs
-from terravec.plans import base, q_joins
+from terravec.plans import base, q_joins, q_splice
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -67,3 +67,13 @@ def test_a_stream_is_cut_between_groups():
         seen = [set(g.column("k").to_pylist()) for g in got]
         assert pa.concat_tables(got).combine_chunks() == t and sum(map(len, seen)) == 4
 
+
+def test_weights_below_half_the_last_digit_stay(spark, monkeypatch):
+    """A weight of 3e-7 is over the bound, though its six decimals are 0."""
+    h = np.array([[(1 - 2 * (bin(k & j).count("1") % 2)) / 8 for j in range(64)] for k in range(64)])
+    w = np.array([0.0875 + 3e-7, 0.0])
+    w[1] = math.sqrt(1 - w[0] ** 2)
+    row = spark.createDataFrame([(1, 0, (w @ h[:2]).tolist())], "vec_id long, label int, embedding array<double>")
+    monkeypatch.setattr(q_splice, "_vectors", lambda *_: row)
+    got = {r.concept_id: r.weight for r in q_splice.u3_split(spark, SMALL).collect()}
+    assert got == {0: 0.0, 1: pytest.approx(w[1] - 0.0875, abs=1e-6)}

@@ -9,8 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terravec.operators import joins, pairs
-from terravec.plans import base, q_joins, q_splice
+from terravec.operators import joins, pairs, saliency
+from terravec.plans import base, q_joins, q_saliency, q_splice
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -36,7 +36,6 @@ def test_large_crosses_are_dealt_to_tasks(spark, monkeypatch):
 
 @pytest.mark.parametrize("most", [10, 1])
 def test_pairs_have_the_values_of_plain_loops(spark, monkeypatch, most):
-    monkeypatch.setattr(pairs, "PAIRS", 4)
     v = [[1.0, 2.0], [1.0, 2.0 + 1e-5], [0.0, 0.0], None, [3.0, None], [3.0], [math.inf, 0.0], [-3e5, 4e5]]
     df = spark.createDataFrame(list(enumerate(v)), "id long, embedding array<double>")
     got = {(r.id, r.other): r.dist for r in joins.pairwise_euclidean(df, df, "id", "embedding", 10 if most > 1 else 1).collect()}
@@ -77,3 +76,20 @@ def test_weights_below_half_the_last_digit_stay(spark, monkeypatch):
     monkeypatch.setattr(q_splice, "_vectors", lambda *_: row)
     got = {r.concept_id: r.weight for r in q_splice.u3_split(spark, SMALL).collect()}
     assert got == {0: 0.0, 1: pytest.approx(w[1] - 0.0875, abs=1e-6)}
+
+
+def test_similarity_maps_take_no_shuffle_of_pairs(spark, monkeypatch):
+    for query in (q_saliency.u12, q_saliency.u12b):
+        plan = _plan(query(spark, SMALL))
+        assert "Pandas" not in plan and "Join" not in plan and plan.count("MapInArrow") == 1, plan
+    g = np.random.default_rng(5)
+    rows = [(t, k, g.normal(size=3).tolist()) for t, n in ((0, 9), (1, 4), (2, 5), (3, 4)) for k in range(n + 1)]
+    rows += [(3, 5, None), (4, 1, [1.0, 0.0, 0.0]), *((5, k, [1.0, 2.0, 3.0]) for k in range(1, 5))]  # a row without a vector, one patch, a flat tile
+    patches = spark.createDataFrame(rows, "tile long, pos int, vec array<double>")
+    places = spark.createDataFrame([(k, g.normal(size=3).tolist()) for k in range(5)], "location_id long, vec array<double>")
+    red = F.array(*map(F.lit, [0.1, 0.2, 0.3]))
+    for of, keys in ((saliency.surgery_similarity, ["tile", "location_id", "pos"]), (lambda *a: saliency.resized_similarity(*a[:3], 3, 2, *a[3:]), ["tile", "location_id", "y", "x"])):
+        got, want = ({tuple(r[k] for k in keys): r.value for r in of(patches, places, red, most).collect()} for most in (10, 1))
+        assert got.keys() == want.keys() and len(got) > 100
+        for k in got:
+            assert got[k] == pytest.approx(want[k], abs=1e-12, nan_ok=True), k

@@ -93,3 +93,10 @@ def test_similarity_maps_take_no_shuffle_of_pairs(spark, monkeypatch):
         assert got.keys() == want.keys() and len(got) > 100
         for k in got:
             assert got[k] == pytest.approx(want[k], abs=1e-12, nan_ok=True), k
+
+
+def test_small_maps_are_dealt_and_made_once(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "TASK_PAIRS", 1152)
+    assert q_saliency.heat(spark, SMALL).rdd.getNumPartitions() == 10  # ten suppliers of 8 x 12 x 12 values in one row group
+    one = q_saliency.heat(spark, SMALL)
+    assert "ENSURE_REQUIREMENTS" not in _plan(q_saliency.a20(spark, SMALL)) and one.count() == 11520

@@ -98,5 +98,18 @@ def test_similarity_maps_take_no_shuffle_of_pairs(spark, monkeypatch):
 def test_small_maps_are_dealt_and_made_once(spark, monkeypatch):
     monkeypatch.setattr(pairs, "TASK_PAIRS", 1152)
     assert q_saliency.heat(spark, SMALL).rdd.getNumPartitions() == 10  # ten suppliers of 8 x 12 x 12 values in one row group
+    for query in (q_saliency.u13, q_saliency.u14, q_saliency.u14_whole):
+        plan = _plan(query(spark, SMALL))
+        assert "Generate" not in plan and "Pandas" not in plan, plan  # the sums of layers were kept
     one = q_saliency.heat(spark, SMALL)
     assert "ENSURE_REQUIREMENTS" not in _plan(q_saliency.a20(spark, SMALL)) and one.count() == 11520
+
+
+def test_tiles_of_a_stream_keep_to_themselves(spark):
+    rows = [(t, y, x, int(0 < y < 4 and 0 < x < 4 + (t or 0) % 3)) for t in (None, *range(40)) for y in range(5) for x in range(5 + (t or 0) % 3)]
+    masks = spark.createDataFrame(rows, "tile long, y int, x int, mask int")
+    got = saliency.open_mask(masks, 3).collect()
+    assert sorted(map(str, got)) == sorted(str(r) for r in masks.collect())  # a full rectangle is open
+    boxes = {r.tile: (r.x, r.y, r.w, r.h, r.area) for r in saliency.saliency_boxes(masks, 1 << 20).collect()}
+    assert boxes == {t: (1, 1, 3 + (t or 0) % 3, 3, 9 + 3 * ((t or 0) % 3)) for t in (None, *range(40))}
+    assert saliency.saliency_boxes(masks.withColumn("mask", F.lit(0)), 4).count() == 0

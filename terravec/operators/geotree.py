@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terravec.operators import sae
 from terravec.operators.shared import cut
 
 #: Levels of the octree (a cell of the last is 12 m wide); sites of a leaf, and of a block, at most; blocks at most.
@@ -29,6 +30,9 @@ LEVELS, LEAF_SITES, BLOCK_SITES, BLOCKS = 20, 16, 1024, 1 << 17
 FEATURE_TILE, NUMBERS = 256, 1 << 22
 #: Pairs of axes of a cell's second-order sums.
 AXES = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
+#: Numbers of a feature that a cell's sums have; share of all ordered pairs that the tree may leave. A pair of the tree costs more than one
+#: of plain blocks, as its sites travel to many small blocks.
+MOMENTS, SHARE = 10, 1 / 16
 
 
 @dataclass
@@ -178,8 +182,9 @@ def _energy(t: pa.Table, kernel: Kernel, neurons: int) -> np.ndarray:
     return total
 
 
-def sums_over_pairs(long: DataFrame, located: DataFrame, neurons: int, tau: float, key: str = "point_id", scale_km: float = 500.0, radius: float = 6371.0, leaf_sites: int = LEAF_SITES, block_sites: int = BLOCK_SITES) -> DataFrame:
-    """(neuron, top): twice the sum over pairs of rows of their activations' product times the kernel, each kernel within tau."""
+def sums_over_pairs(long: DataFrame, located: DataFrame, neurons: int, tau: float, key: str = "point_id", scale_km: float = 500.0, radius: float = 6371.0, leaf_sites: int = LEAF_SITES, block_sites: int = BLOCK_SITES, most_pairs: float = float("inf")) -> DataFrame | None:
+    """(neuron, top): twice the sum over pairs of rows of their activations' product times the kernel, each kernel within tau. None if
+    the tree leaves more than most_pairs pairs of a site with a site or a sum."""
     spark, kernel = long.sparkSession, Kernel(radius / scale_km, tau)
     at = located.select(key, F.radians("lon").alias("lon"), F.radians("lat").alias("lat")).filter("lon IS NOT NULL AND lat IS NOT NULL AND NOT isnan(lon) AND NOT isnan(lat)")
     at = at.select(key, (F.cos("lat") * F.cos("lon")).alias("x"), (F.cos("lat") * F.sin("lon")).alias("y"), F.sin("lat").alias("z"))
@@ -218,6 +223,13 @@ def sums_over_pairs(long: DataFrame, located: DataFrame, neurons: int, tau: floa
     leaves = known.select(F.col("leaf").alias("level"), of("leaf").alias("cell")).distinct().withColumn("leaf", F.lit(True))
     inner = large.filter(F.col("level") < LEVELS).select("level", "cell", F.lit(False).alias("leaf"))
     needs = cut(inner.unionByName(leaves).mapInArrow(sent, "level int, cell long, to int, kind int"))
+    number = spark.createDataFrame([(level, int(c), i) for i, (level, c) in enumerate(blocks.cells) if blocks.ends[i]], "level int, cell long, to int")
+    if most_pairs < float("inf"):
+        of_block = known.groupBy(F.col("block").alias("level"), of("block").alias("cell")).agg(F.count(F.lit(1)).alias("m")).join(F.broadcast(number), ["level", "cell"]).select("to", "m")
+        of_leaf = known.groupBy(F.col("leaf").alias("level"), of("leaf").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+        met = needs.filter("kind = 9").join(of_leaf, ["level", "cell"]).select("to", "n").unionByName(needs.filter("kind <> 9").select("to", F.lit(MOMENTS).alias("n")))
+        if (met.groupBy("to").agg(F.sum("n").alias("n")).join(of_block, "to").agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0) > most_pairs:
+            return None
     place, value = [F.col(c) for c in "xyz"], F.col("value")
     each = known.select(*"xyz", "code", "leaf", F.explode(F.arrays_zip("neurons", "values")).alias("e")).select(*"xyz", "code", "leaf", F.col("e.neurons").alias("neuron"), F.col("e.values").alias("value"))
     # sums around the origin add up; they are moved to a cell's centre where they are used
@@ -247,7 +259,6 @@ def sums_over_pairs(long: DataFrame, located: DataFrame, neurons: int, tau: floa
     far = needs.filter("kind <> 9").join(sums, ["level", "cell"]).select(columns)
     own = known.withColumns({"level": F.col("leaf"), "cell": of("leaf")})
     near = needs.filter("kind = 9").join(own, ["level", "cell"]).select(columns)
-    number = spark.createDataFrame([(level, int(c), i) for i, (level, c) in enumerate(blocks.cells) if blocks.ends[i]], "level int, cell long, to int")
     asks = known.withColumns({"level": F.col("block"), "cell": of("block")}).join(F.broadcast(number), ["level", "cell"]).withColumn("kind", F.lit(-1)).select(columns)
 
     def energy(t: pa.Table) -> pa.Table:
@@ -260,8 +271,11 @@ def sums_over_pairs(long: DataFrame, located: DataFrame, neurons: int, tau: floa
 
 def monosemanticity_geo_tree(long: DataFrame, located: DataFrame, neurons: int, tau: float = 1e-3, key: str = "point_id", scale_km: float = 500.0, radius: float = 6371.0, **sizes: int) -> DataFrame:
     """(neuron, score): scores within tau of ``sae.monosemanticity_geo``, which computes all pairs. Rows without a place are left out;
-    features with one active row have a null score, and those with none no row."""
-    top = sums_over_pairs(long, located, neurons, tau, key, scale_km, radius, **sizes)
-    placed = located.filter("lon IS NOT NULL AND lat IS NOT NULL AND NOT isnan(lon) AND NOT isnan(lat)").select(key)
-    w = long.filter("act > 0").join(placed, key, "left_semi").groupBy("neuron").agg(F.sum("act").alias("s1"), F.sum(F.col("act") * F.col("act")).alias("s2"), F.count(F.lit(1)).alias("n"))
+    features with one active row have a null score, and those with none no row. Where tau is so small, or the rows so few, that the tree
+    would leave a large share of all pairs, these are computed plainly."""
+    placed = located.filter("lon IS NOT NULL AND lat IS NOT NULL AND NOT isnan(lon) AND NOT isnan(lat)")
+    top = sums_over_pairs(long, located, neurons, tau, key, scale_km, radius, **({"most_pairs": SHARE * placed.count() ** 2} | sizes))
+    if top is None:
+        return sae.monosemanticity_geo(long.filter("act > 0").join(placed, key, "left_semi"), placed, neurons, key, scale_km=scale_km, radius=radius)
+    w = long.filter("act > 0").join(placed.select(key), key, "left_semi").groupBy("neuron").agg(F.sum("act").alias("s1"), F.sum(F.col("act") * F.col("act")).alias("s2"), F.count(F.lit(1)).alias("n"))
     return w.join(top, "neuron").select("neuron", F.when(F.col("n") > 1, F.col("top") / (F.col("s1") * F.col("s1") - F.col("s2"))).alias("score"))

@@ -126,3 +126,20 @@ def test_blocks_need_a_few_cells_however_many_rows(spark):
         size = np.where(leaf, np.array(list(cells.values())), 1)
         sent.append(size[i].sum() / tree.ends.sum())
     assert sent[1] < 3 * sent[0]
+
+
+def test_plain_pairs_where_the_tree_leaves_most_of_them(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    lon, lat = places("even", 400, rng)
+    a = rng.uniform(0, 2, (400, 2))
+    long, at = frames(spark, lon, lat, a)
+    at = at.unionByName(spark.createDataFrame([(400, None, 1.0)], at.schema))  # a row without a place
+    long = long.unionByName(spark.createDataFrame([(400, 0, 5.0)], long.schema))
+    called, plain = [], sae.monosemanticity_geo
+    monkeypatch.setattr(sae, "monosemanticity_geo", lambda *args, **more: called.append(1) or plain(*args, **more))
+    got = {r.neuron: r.score for r in geotree.monosemanticity_geo_tree(long, at, 2, 1e-11).collect()}
+    want = exact(lon, lat, a)
+    assert called and all(abs(got[j] - want[j]) < 1e-9 for j in range(2))
+    assert geotree.sums_over_pairs(long, at, 2, 1e-11, most_pairs=1e4) is None and geotree.sums_over_pairs(long, at, 2, 1e-11) is not None
+    got = {r.neuron: r.score for r in geotree.monosemanticity_geo_tree(long, at, 2, 1e-3, most_pairs=float("inf"), leaf_sites=4, block_sites=50).collect()}
+    assert len(called) == 1 and all(abs(got[j] - want[j]) <= 1e-3 for j in range(2))
